@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from . import wording
+from .binding import let
 from .text import strip, tokenize
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -88,16 +89,20 @@ def first_user_content(messages: Column) -> Column:
 
 def prefix_first_user(messages: Column, prefix: Column) -> Column:
     """The same messages with ``prefix`` put before the first user content."""
-    position = F.array_position(F.transform(messages, lambda m: m["role"]), F.lit("user"))
-    return F.transform(
-        messages,
-        lambda m, i: F.struct(
-            m["role"].alias("role"),
-            F.when(i + 1 == position, F.concat(prefix, m["content"]))
-            .otherwise(m["content"])
-            .alias("content"),
-        ),
-    )
+
+    def prefixed(v):
+        return F.transform(
+            v["messages"],
+            lambda m, i: F.struct(
+                m["role"].alias("role"),
+                F.when(i + 1 == v["place"], F.concat(prefix, m["content"]))
+                .otherwise(m["content"])
+                .alias("content"),
+            ),
+        )
+
+    place = F.array_position(F.transform(messages, lambda m: m["role"]), F.lit("user"))
+    return let(prefixed, messages=messages, place=place)
 
 
 def conversation(user: Column, assistant: Column) -> Column:

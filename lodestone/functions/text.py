@@ -7,15 +7,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 # A run of letters, digits and marks, or one visible symbol.
 TOKEN_PATTERN = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
 # Words of two or more word characters, as TF-IDF counts them.
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # What counts as white space when a string is split or stripped.
 SPACES = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85  "
-    "           "
-    "    　"
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE_RUN = f"[{SPACES}]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -86,20 +88,18 @@ def last_subsequence(main: Column, sub: Column) -> Column:
     Empty inputs are an error. Linear in the text: both lists are framed,
     reversed and searched once, and the frames before the hit are counted.
     """
-    haystack = F.reverse(framed(main))
-    needle = F.reverse(framed(sub))
-    hit = F.call_function("locate", needle, haystack)
-    before = F.length(haystack) - (hit + F.length(needle) - 1)
-    prefix = F.substr(framed(main), F.lit(1), before)
-    start = F.length(prefix) - F.length(F.replace(prefix, F.lit(FRAME), F.lit("")))
-    return (
-        F.when(
-            (F.size(main) == 0) | (F.size(sub) == 0),
-            F.raise_error(F.lit("last_subsequence needs two non-empty lists")).cast("int"),
-        )
-        .when(hit == 0, F.lit(-1))
-        .otherwise(start)
-    )
+
+    def start(v):
+        hit = F.call_function("locate", F.reverse(v["needle"]), F.reverse(v["haystack"]))
+        before = F.length(v["haystack"]) - (hit + F.length(v["needle"]) - 1)
+        prefix = F.substr(v["haystack"], F.lit(1), before)
+        frames = F.length(prefix) - F.length(F.replace(prefix, F.lit(FRAME), F.lit("")))
+        return F.when(hit == 0, F.lit(-1)).otherwise(frames)
+
+    return F.when(
+        (F.size(main) == 0) | (F.size(sub) == 0),
+        F.raise_error(F.lit("last_subsequence needs two non-empty lists")).cast("int"),
+    ).otherwise(let(start, haystack=framed(main), needle=framed(sub)))
 
 
 def stop_truncate(text: Column, stops: str = "\n.,") -> Column:
@@ -116,22 +116,27 @@ def has_answer(answers: Column, text: Column, decompose: bool = True) -> Column:
         text = nfd(text)
         joined = nfd(F.array_join(answers, "\u0002"))
         answers = F.when(F.size(answers) > 0, F.split(joined, "\u0002")).otherwise(answers)
-    haystack = framed(tokenize(text, uncased=True))
 
-    def occurs(answer):
-        run = tokenize(answer, uncased=True)
-        return (F.size(run) == 0) | F.contains(haystack, framed(run))
+    def found(v):
+        def occurs(answer):
+            run = tokenize(answer, uncased=True)
+            return (F.size(run) == 0) | F.contains(v["haystack"], framed(run))
 
-    return F.exists(answers, occurs)
+        return F.exists(v["answers"], occurs)
+
+    return let(found, haystack=framed(tokenize(text, uncased=True)), answers=answers)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All contiguous n-grams, each framed into one string."""
-    last = F.size(tokens) - (n - 1)
-    return F.when(
-        last >= 1,
-        F.transform(
-            F.sequence(F.lit(1), last),
-            lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), FRAME),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """All contiguous n-grams, each joined into one string."""
+    if n == 1:
+        return tokens
+
+    def grams(v):
+        return F.transform(
+            F.sequence(F.lit(1), F.size(v["tokens"]) - (n - 1)),
+            lambda i: F.array_join(F.slice(v["tokens"], i, F.lit(n)), FRAME),
+        )
+
+    none = F.array().cast("array<string>")
+    return F.when(F.size(tokens) >= n, let(grams, tokens=tokens)).otherwise(none)

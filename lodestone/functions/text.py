@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .binding import let
 
@@ -50,7 +50,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda word: word != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
 

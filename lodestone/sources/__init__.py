@@ -1,0 +1 @@
+"""Readers and writers for the file shapes the jobs exchange."""

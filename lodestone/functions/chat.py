@@ -71,15 +71,15 @@ def message_tokens(rendered: Column) -> Column:
     return tokenize(rendered, specials=wording.PROMPT_SPECIALS)
 
 
-def masked_head(role: Column, style: ChatStyle) -> Column:
-    """Number of leading tokens of an assistant message that carry no label.
+def quiet_tokens(role: Column, previous: Column, size: Column, style: ChatStyle) -> Column:
+    """Number of leading tokens of a rendered message that carry no label.
 
-    Only the tagged style has any: its assistant tag is masked with the turn
-    before it.
+    That is all of them unless an assistant speaks. The tagged style also masks
+    the assistant's tag when another role spoke just before.
     """
-    if style.before.get("assistant"):
-        return F.when(role == "assistant", F.size(message_tokens(F.lit(style.before["assistant"]))))
-    return F.lit(0)
+    tag = style.before.get("assistant")
+    head = F.when(previous != "assistant", F.size(message_tokens(F.lit(tag)))).otherwise(0) if tag else F.lit(0)
+    return F.when(role == "assistant", head).otherwise(size)
 
 
 def first_user_content(messages: Column) -> Column:

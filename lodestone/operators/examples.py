@@ -11,6 +11,7 @@ from ..functions.text import last_subsequence, strip, tokenize
 from .ordering import id_bucket, prefix_aggregates, seeded_shuffle
 
 IGNORED = wording.IGNORED_LABEL
+EXAMPLE = "struct<input_tokens:array<string>,labels:array<string>>"
 
 
 # --- chunks ---------------------------------------------------------------
@@ -117,8 +118,9 @@ def turn_spans(turns: DataFrame, conversation: str, turn: str, style: chat.ChatS
         {
             "char_start": ("sum", F.length("segment").cast("bigint")),
             "token_start": ("sum", F.col("n_tokens").cast("bigint")),
+            "_previous": ("max", F.struct(turn, "role")),
         },
-    )
+    ).withColumn("previous_role", F.col("_previous")["role"]).drop("_previous")
 
 
 def chat_label_mask(
@@ -133,9 +135,7 @@ def chat_label_mask(
     spans = turn_spans(turns, conversation, turn, style).filter(F.col("token_start") < max_len)
     room = (F.lit(max_len) - F.col("token_start")).cast("int")
     tokens = F.slice(chat.message_tokens(F.col("segment")), F.lit(1), room)
-    quiet = F.when(F.col("role") == "assistant", chat.masked_head(F.col("role"), style)).otherwise(
-        F.size("tokens")
-    )
+    quiet = chat.quiet_tokens(F.col("role"), F.col("previous_role"), F.size("tokens"), style)
     pieces = spans.withColumn("tokens", tokens).withColumn("labels", quiet_head(F.col("tokens"), quiet))
     gathered = pieces.groupBy(conversation).agg(
         F.array_sort(F.collect_list(F.struct(turn, "tokens", "labels"))).alias("_turns")
@@ -150,15 +150,13 @@ def chat_label_mask(
 def messages_label_mask(messages: Column, style: chat.ChatStyle = chat.INSTRUCT, max_len: int = 1024) -> Column:
     """struct(input_tokens, labels) of a chat held in one row."""
 
-    def piece(m):
+    def piece(m, previous):
         def labelled(v):
-            quiet = F.when(v["role"] == "assistant", chat.masked_head(v["role"], style)).otherwise(
-                F.size(v["tokens"])
-            )
+            quiet = chat.quiet_tokens(v["role"], v["previous"], F.size(v["tokens"]), style)
             return F.struct(v["tokens"].alias("tokens"), quiet_head(v["tokens"], quiet).alias("labels"))
 
         tokens = chat.message_tokens(chat.render_message(m["role"], m["content"], style))
-        return let(labelled, tokens=tokens, role=m["role"])
+        return let(labelled, tokens=tokens, role=m["role"], previous=previous)
 
     def whole(v):
         tokens = F.flatten(F.transform(v["pieces"], lambda p: p["tokens"]))
@@ -167,7 +165,15 @@ def messages_label_mask(messages: Column, style: chat.ChatStyle = chat.INSTRUCT,
             F.slice(tokens, 1, max_len).alias("input_tokens"), F.slice(labels, 1, max_len).alias("labels")
         )
 
-    return let(whole, pieces=F.transform(messages, piece))
+    roles = F.transform(messages, lambda m: m["role"])
+    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, F.lit(1), F.size(roles) - 1))
+    with_previous = F.zip_with(
+        messages, shifted, lambda m, p: F.struct(m.alias("m"), p.alias("previous"))
+    )
+    pieces = F.transform(with_previous, lambda x: piece(x["m"], x["previous"]))
+    return F.when(
+        F.size(messages) == 0, F.raise_error(F.lit("a chat needs at least one message")).cast(EXAMPLE)
+    ).otherwise(let(whole, pieces=pieces))
 
 
 def join_prompt(prompt: Column, completion: Column) -> Column:

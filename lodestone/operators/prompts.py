@@ -49,9 +49,8 @@ def tfidf_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
         .agg(F.count("*").alias("tf"))
     )
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("_n"))
-    with_n = df.join(F.broadcast(total))  # a single row
-    idf = with_n.withColumn("idf", F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1.0)
+    total = docs.agg(F.count("*")).scalar()
+    idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
     weighed = weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)])
     weighed = weighed.withColumn("weight", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
@@ -72,8 +71,8 @@ def tfidf_keywords(docs: DataFrame, key: str, text: str, k: int = 1) -> DataFram
     own = F.coalesce(F.transform("_top", lambda t: t["term"]), F.array().cast("array<string>"))
     # k absent terms lie among the first 2k terms of the corpus, as a short row holds fewer than k
     first = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).distinct()
-    first = first.orderBy("term").limit(2 * k).agg(F.sort_array(F.collect_list("term")).alias("_first"))
-    joined = docs.select(key).join(gathered, key, "left").join(F.broadcast(first))  # a single row
+    first = first.orderBy("term").limit(2 * k).agg(F.sort_array(F.collect_list("term"))).scalar()
+    joined = docs.select(key).join(gathered, key, "left").withColumn("_first", first)
 
     def filled(v):
         fill = F.filter(v["first"], lambda t: ~F.array_contains(v["own"], t))
@@ -183,7 +182,7 @@ def n_shot_prompts(
     if subject:
         joined = lookup_join(parts, shots, [subject], [F.col(key)], "left")
     else:
-        joined = parts.join(F.broadcast(shots))  # a single row
+        joined = parts.withColumn("shots", shots.select("shots").scalar())
     shots_or_none = F.coalesce("shots", F.array().cast("array<string>"))
     bare = full_prompt(F.col("_start"), F.array().cast("array<string>"), F.col("_example"), as_chat)
     fitted = joined.withColumn("n_shot", fitting_shots(prompt_length(bare), shots_or_none, limit))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HITS = "qid bigint, pid bigint, score double"
 BLOCK_CELLS = 4_000_000  # scores held at once: 32 MB
@@ -223,7 +223,8 @@ def nearest_cells(
     shared = vectors.sparkSession.sparkContext.broadcast(
         (table.column("cell").to_numpy()[order], matrix(table)[order])
     )
-    schema = vectors.schema.add("cell", "int").add("distance", "double")
+    extra = [T.StructField("cell", T.IntegerType()), T.StructField("distance", T.DoubleType())]
+    schema = T.StructType([*vectors.schema.fields, *extra])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, centres = shared.value

@@ -212,9 +212,9 @@ def pq_encode(t):
         p="""SELECT l.vec_id AS qid, x.vec_id AS pid, sum(l.d) AS score
              FROM lookup l JOIN encoded x USING (cell, part, code) WHERE l.vec_id <> x.vec_id
              GROUP BY l.vec_id, x.vec_id""",
-        # documents with equal codes tie; the sums may differ in their last bit
-        r="SELECT qid, pid, round(score, 9) AS score FROM p",
-        h=best("r", 10, "ASC"),
+        # documents with equal codes tie, but their sums may differ in the last bit
+        h="""SELECT qid, pid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9), pid) AS rank, score
+             FROM p QUALIFY rank <= 10""",
     )
     + OUT,
 )

@@ -16,7 +16,7 @@ from ..functions.text import (
     tokenize,
     words,
 )
-from .joins import is_small
+from .joins import small_copy
 
 
 def as_list(answer: Column) -> Column:
@@ -78,7 +78,9 @@ def find_answers(docs: DataFrame, answers: DataFrame, small_rows: int = 20_000,
     parsed = docs.select("doc_id", tokenize(nfd(F.col("text")), uncased=True).alias("_tokens"))
     framed_docs = parsed.select("doc_id", "_tokens", framed(F.col("_tokens")).alias("_haystack"))
     occurs = F.contains(F.col("_haystack"), F.col("_needle"))
-    if is_small(answers, small_rows):
+    local = small_copy(keyed, small_rows)
+    if local is not None:
+        keyed = local
         by_token = keyed.groupBy("token").agg(F.collect_list(F.struct("item_id", "_needle")).alias("_items"))
         exploded = framed_docs.select(
             "doc_id", "_haystack", F.explode(F.array_distinct("_tokens")).alias("token")

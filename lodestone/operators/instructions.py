@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import chat, wording
 from ..functions.binding import let
 from ..functions.choice import fill, pick
+from .joins import skewed_join
 from .ordering import head_n
 
 TEMPLATES = {
@@ -173,13 +174,12 @@ def instruction_profile(table: DataFrame) -> DataFrame:
 def backfill_background(table: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Give rows without a background the best text found for their first user
     message. ``retrieved`` is (query, text), one row per distinct query."""
-    query = chat.first_user_content(F.col("messages"))
-    missing = F.when(F.col("background").isNull(), query)
+    missing = F.when(F.col("background").isNull(), chat.first_user_content(F.col("messages")))
     keyed = table.withColumn("_query", missing)
-    # rows that need nothing get a key of their own, so they do not pile up on null
-    keyed = keyed.withColumn("_query", F.coalesce("_query", F.concat(F.lit("\u0000"), F.col("id"))))
     found = retrieved.select(F.col("query").alias("_query"), F.col("text").alias("_text"))
-    joined = keyed.join(found, "_query", "left")
+    # many rows may need nothing (null) or ask the same question
+    keyed = keyed.withColumn("_query", F.coalesce("_query", F.concat(F.lit("\u0000"), F.col("id"))))
+    joined = skewed_join(keyed, found, "_query", [F.col("id")], "left")
     return joined.withColumn("background", F.coalesce("background", "_text")).select(*table.columns)
 
 

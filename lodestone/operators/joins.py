@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A table with at most this many rows may be broadcast; callers pass narrow rows.
+# A table may be broadcast up to this many rows and bytes.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Counts at most ``rows + 1`` rows to decide whether ``df`` may be broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def small_copy(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df`` as a local table, or None when it is too large to broadcast.
+
+    At most ``rows + 1`` rows are fetched to find out, and a small table is
+    computed only once.
+    """
+    fetched = df.limit(rows + 1).toArrow()
+    if fetched.num_rows > rows or fetched.nbytes > BROADCAST_BYTES:
+        return None
+    if not fetched.num_rows:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.createDataFrame(fetched, df.schema)
 
 
 def lookup_join(
@@ -29,13 +39,45 @@ def lookup_join(
     rows of one key spread over that many tasks. ``spread_by`` are columns of
     ``big`` that differ between the rows of a key.
     """
-    if is_small(lookup, rows):
-        return big.join(F.broadcast(lookup), on, how)
+    small = small_copy(lookup, rows)
+    if small is not None:
+        return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
+def _split_join(
+    big: DataFrame,
+    top: DataFrame,
+    right: DataFrame,
+    key: str,
+    payload: list[str],
+    spread_by: list[Column],
+    how: str,
+) -> DataFrame:
+    """Join with ``top`` (few keys, broadcast) and the rest by shuffle.
+
+    Rows served by ``top`` carry a spread number that matches nothing on the
+    right and differs from row to row, so they neither join nor pile up.
+    """
+    served = top.select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
+    rest = right.select(
+        key, F.lit(-1).alias("_spread"), F.lit(True).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in payload]
+    )
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(4096)).cast("int")
+    marked = big.join(F.broadcast(served), key, "left").withColumn(
+        "_spread", F.when(F.col("_hot"), spread).otherwise(F.lit(-1))
+    )
+    joined = marked.join(rest, [key, "_spread"], "left")
+    if how == "inner":
+        joined = joined.filter(F.col("_hot").isNotNull() | F.col("_cold").isNotNull())
+    return joined.select(
+        *[F.col(c) for c in big.columns],
+        *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in payload],
+    )
+
+
 def weighted_lookup_join(
     big: DataFrame,
     lookup: DataFrame,
@@ -45,21 +87,32 @@ def weighted_lookup_join(
     spread_by: list[Column],
     heavy: int = 4096,
 ) -> DataFrame:
-    """Left join on a string key whose frequencies are known (``weight``).
+    """Left join with a table of unique keys that knows their frequencies.
 
     The ``heavy`` most frequent keys are broadcast: their number is fixed.
     Every other key holds less than one row in ``heavy``, so the rest can be
-    shuffled on the key. Rows already served are given a key that matches
-    nothing and differs from row to row, so they do not pile up either.
+    shuffled on the key.
     """
     top = lookup.orderBy(F.col(weight).desc(), F.col(key)).limit(heavy)
-    top = top.select(key, *[F.col(c).alias(f"_hot_{c}") for c in payload], F.lit(True).alias("_hot"))
-    rest = lookup.select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in payload])
-    marked = big.join(F.broadcast(top), key, "left")
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*spread_by), F.lit(4096)).cast("string"))
-    marked = marked.withColumn("_probe", F.when(F.col("_hot"), spread).otherwise(F.col(key)))
-    joined = marked.join(rest, F.col("_probe") == F.col("_cold_key"), "left")
-    return joined.select(
-        *[F.col(c) for c in big.columns],
-        *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in payload],
-    )
+    return _split_join(big, top, lookup, key, payload, spread_by, "left")
+
+
+def skewed_join(
+    big: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: list[Column],
+    how: str = "inner",
+    heavy: int = 256,
+) -> DataFrame:
+    """Join ``big`` with a table of unique keys whose frequencies are unknown.
+
+    The keys of ``big`` are counted first, reading the key column only. The
+    rows of ``right`` for the ``heavy`` most frequent keys are broadcast, every
+    other key holds less than one row in ``heavy``.
+    """
+    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    heaviest = counts.orderBy(F.col("_n").desc(), F.col(key)).limit(heavy).select(key)
+    top = right.join(F.broadcast(heaviest), key, "left_semi")
+    payload = [c for c in right.columns if c != key]
+    return _split_join(big, top, right, key, payload, spread_by, how)

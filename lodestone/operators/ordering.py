@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.choice import digest, leading_bits
+from .joins import lookup_join
 
 _FOLD = {"sum": F.sum, "max": F.max}
 
@@ -82,15 +83,31 @@ def seeded_shuffle(df: DataFrame, key: str, seed, epoch: int = 0) -> DataFrame:
     return placed.drop("_mark")
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed) -> DataFrame:
+def first_n(df: DataFrame, n: int, order: list[Column], bucket: Column) -> DataFrame:
+    """Exactly the first ``n`` rows in an order.
+
+    Buckets are counted from the order columns alone; only rows of buckets that
+    begin before the cut are shuffled, which are about ``n`` rows.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    offsets = counted.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    needed = lookup_join(rows, offsets.filter(F.col("_offset") < n), ["_bucket"], order, rows=100_000)
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    kept = needed.withColumn("_place", F.col("_offset") + place).filter(F.col("_place") <= n)
+    return kept.select(*df.columns)
+
+
+def sample_n(df: DataFrame, key: str, n: int, seed, epoch: int = 0) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows if there are fewer)."""
-    return seeded_shuffle(df, key, seed).filter(F.col("position") < n).drop("position")
+    mark = digest(seed, epoch, F.col(key))
+    return first_n(df, n, [mark, F.col(key)], leading_bits(mark, 4))
 
 
 def head_n(df: DataFrame, key: str, n: int, bits: int = 16) -> DataFrame:
     """The first ``n`` rows by an integer key."""
-    placed = with_position(df, [F.col(key)], id_bucket(F.col(key), bits))
-    return placed.filter(F.col("position") < n).drop("position")
+    return first_n(df, n, [F.col(key)], id_bucket(F.col(key), bits))
 
 
 def trailing_mean(

@@ -36,25 +36,30 @@ def passage_text(text: Column, retriever: str) -> Column:
 # --- keywords ---------------------------------------------------------------
 
 
-def tfidf_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, weight): l2-normalised TF-IDF with smooth idf.
-
-    idf = ln((1 + n) / (1 + df)) + 1 over lower-cased words of two or more word
-    characters. Counts collapse inside the task that holds the document; the
-    lookup of df treats frequent words apart from the rest.
-    """
+def _term_counts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, term, tf) and (term, df). Counts collapse inside the task that
+    holds the document before anything is shuffled."""
     counted = (
         docs.select(key, F.explode(terms(F.col(text))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    return counted, counted.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def tfidf_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, weight): l2-normalised TF-IDF with smooth idf.
+
+    idf = ln((1 + n) / (1 + df)) + 1 over lower-cased words of two or more word
+    characters. The lookup of df treats frequent words apart from the rest.
+    """
+    counted, df = _term_counts(docs, key, text)
     total = docs.agg(F.count("*")).scalar()
     idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
     weighed = weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)])
-    weighed = weighed.withColumn("weight", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weighed.withColumn("raw", F.col("weight")).withColumn("weight", F.col("weight") / length)
+    weighed = weighed.withColumn("raw", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighed.withColumn("weight", F.col("raw") / length)
 
 
 def tfidf_keywords(docs: DataFrame, key: str, text: str, k: int = 1) -> DataFrame:
@@ -62,16 +67,20 @@ def tfidf_keywords(docs: DataFrame, key: str, text: str, k: int = 1) -> DataFram
 
     Ties go to the alphabetically smaller term. A document with fewer than
     ``k`` distinct terms is filled with the alphabetically first terms of the
-    corpus it does not hold, which all score zero.
+    corpus it does not hold, which all score zero. The length of a document
+    does not change the order of its terms, so raw weights are compared.
     """
-    scored = tfidf_scores(docs, key, text)
-    best = Window.partitionBy(key).orderBy(F.col("raw").desc(), "term")
-    top = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
+    counted, df = _term_counts(docs, key, text)
+    total = docs.agg(F.count("*")).scalar()
+    idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
+    weighed = weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)])
+    best = Window.partitionBy(key).orderBy((F.col("tf") * F.col("idf")).desc(), "term")
+    top = weighed.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
     gathered = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_top"))
     own = F.coalesce(F.transform("_top", lambda t: t["term"]), F.array().cast("array<string>"))
     # k absent terms lie among the first 2k terms of the corpus, as a short row holds fewer than k
-    first = docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).distinct()
-    first = first.orderBy("term").limit(2 * k).agg(F.sort_array(F.collect_list("term"))).scalar()
+    head = df.select("term").orderBy("term").limit(2 * k)
+    first = head.agg(F.sort_array(F.collect_list("term"))).scalar()
     joined = docs.select(key).join(gathered, key, "left").withColumn("_first", first)
 
     def filled(v):

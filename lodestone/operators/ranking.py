@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors
+from .joins import lookup_join, skewed_join
+from .ordering import id_bucket, prefix_aggregates
 
 RECALL_CUTOFFS = [50, 200, 1000, 5000, 10_000]
 
@@ -95,6 +97,12 @@ def with_probabilities(ranking: DataFrame, k: int = 10, most: int = 100) -> Data
     return cut.withColumn("prob", F.col("_weight") / F.sum("_weight").over(query)).drop("_weight")
 
 
+def fetch_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """``hits`` with the columns of ``docs`` (pid, ...), one row per hit. A document
+    that very many queries hit is sent to them instead of drawing them together."""
+    return skewed_join(hits, docs, "pid", [F.col("qid")])
+
+
 def responses(hits: DataFrame) -> DataFrame:
     """(query, topk) with one array per query, best score first, ties by pid.
 
@@ -112,12 +120,12 @@ def responses(hits: DataFrame) -> DataFrame:
 
 def rerank_candidates(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates (qid, pid) ordered by the dot product of their vectors."""
-    scored = (
-        candidates.select("qid", "pid")
-        .join(docs.select("pid", F.col("embedding").alias("_doc")), "pid")
-        .join(queries.select("qid", F.col("embedding").alias("_query")), "qid")
-        .select("qid", "pid", vectors.dot(F.col("_query"), F.col("_doc")).alias("score"))
+    pairs = candidates.select("qid", "pid")
+    pairs = skewed_join(pairs, docs.select("pid", F.col("embedding").alias("_doc")), "pid", [F.col("qid")])
+    pairs = skewed_join(
+        pairs, queries.select("qid", F.col("embedding").alias("_query")), "qid", [F.col("pid")]
     )
+    scored = pairs.select("qid", "pid", vectors.dot(F.col("_query"), F.col("_doc")).alias("score"))
     best_first = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
     return scored.withColumn("rank", F.row_number().over(best_first))
 
@@ -141,8 +149,6 @@ def last_token_vector(tokens: DataFrame) -> DataFrame:
 
 def document_offsets(tokens: DataFrame, bits: int = 16) -> DataFrame:
     """(pid, length, start): how many vectors a document has and where they begin."""
-    from .ordering import id_bucket, prefix_aggregates
-
     lengths = tokens.groupBy("pid").agg(F.count("*").alias("length"))
     return prefix_aggregates(
         lengths, [], [F.col("pid")], id_bucket(F.col("pid"), bits), {"start": ("sum", F.col("length"))}
@@ -177,11 +183,12 @@ def late_interaction(
     of its maxima is at least 0; a document of full length has no such floor.
     A candidate is one row with both token matrices; no token pair becomes a row.
     """
-    joined = (
-        candidates.select("qid", "pid")
-        .join(_as_rows(doc_tokens, "pid", doc_max_len, "doc"), "pid")
-        .join(_as_rows(query_tokens, "qid", query_max_len, "query"), "qid")
-    )
+    pairs = candidates.select("qid", "pid")
+    wanted = doc_tokens.join(pairs.select("pid").distinct(), "pid", "left_semi")
+    docs = _as_rows(wanted, "pid", doc_max_len, "doc")
+    with_docs = skewed_join(pairs, docs, "pid", [F.col("qid")], heavy=64)
+    queries = _as_rows(query_tokens, "qid", query_max_len, "query")
+    joined = skewed_join(with_docs, queries, "qid", [F.col("pid")], heavy=64)
 
     def score(batches):
         for batch in batches:
@@ -218,7 +225,7 @@ def regroup_embeddings(backgrounds: DataFrame, key: str, column: str, vectors_by
     stays as null, which :func:`placeholder_audit` reports.
     """
     flat = backgrounds.select(key, F.posexplode(column).alias("_pos", "text"))
-    found = flat.join(vectors_by_text, "text", "left")
+    found = skewed_join(flat, vectors_by_text, "text", [F.col(key), F.col("_pos")], "left")
     gathered = found.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "embedding"))).alias("_v")
     )
@@ -231,8 +238,6 @@ def answer_repeated_once(questions: DataFrame, key: str, question: str, search)
     ``search`` maps (question) to (question, ...hits). Hits are nested to one
     row per distinct question first, so that the join back is many-to-one.
     """
-    from .joins import lookup_join
-
     distinct = questions.select(question).distinct()
     hits = search(distinct)
     fields = [c for c in hits.columns if c != question]

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .joins import BROADCAST_BYTES, lookup_join
+
 HITS = "qid bigint, pid bigint, score double"
 BLOCK_CELLS = 4_000_000  # scores held at once: 32 MB
 
@@ -107,12 +109,12 @@ def _grid(queries: DataFrame, docs: DataFrame, query_rows: int, doc_rows: int):
     """
     doc_blocks = _block_counts(docs, doc_rows, "doc_blocks")
     query_blocks = _block_counts(queries, query_rows, "query_blocks")
-    counts = doc_blocks.join(query_blocks, "cell")
+    counts = doc_blocks.join(query_blocks, "cell")  # one row per cell
 
     def spread(df, key, own, own_count, other, other_count):
         block = F.pmod(F.xxhash64(key), F.col(own_count)).cast("int")
         return (
-            df.join(counts, "cell")
+            lookup_join(df, counts, ["cell"], [F.col(key)], rows=100_000)
             .withColumn(own, block)
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
             .drop("doc_blocks", "query_blocks")
@@ -177,7 +179,7 @@ def exact_topk(
     """
     queries = queries.select("qid", "embedding")
     sample = queries.limit(broadcast_rows + 1).toArrow()
-    if len(sample) > broadcast_rows:
+    if len(sample) > broadcast_rows or sample.nbytes > BROADCAST_BYTES:
         everything = F.lit(0).alias("cell")
         return grid_topk(
             queries.select("*", everything), docs.select("*", everything), k, metric, exclude_self
@@ -211,7 +213,7 @@ def nearest_cells(
     """
     key = vectors.columns[0]
     table = centroids.select("cell", "embedding").limit(table_rows + 1).toArrow()
-    if len(table) > table_rows:
+    if len(table) > table_rows or table.nbytes > BROADCAST_BYTES:
         as_queries = vectors.select(F.col(key).alias("qid"), "embedding")
         as_docs = centroids.select(F.col("cell").cast("bigint").alias("pid"), "embedding")
         hits = exact_topk(as_queries, as_docs, nprobe, "l2")
@@ -267,27 +269,35 @@ def training_sample(vectors: DataFrame, ratio: float = 0.3, seed: int = 0) -> Da
     return vectors.sample(withReplacement=True, fraction=ratio, seed=seed)
 
 
-def _kmeans(vectors: DataFrame, k: int, seed: int, iterations: int) -> list[list[float]]:
+def train_cells(vectors: DataFrame, nlist: int = 32_768, seed: int = 0, iterations: int = 20) -> DataFrame:
+    """Centroid table (cell, embedding) of k-means with ``nlist`` cells."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     ready = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=iterations).fit(ready)
-    return [[float(x) for x in centre] for centre in model.clusterCenters()]
+    model = KMeans(k=nlist, seed=seed, maxIter=iterations).fit(ready)
+    rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(model.clusterCenters())]
+    return vectors.sparkSession.createDataFrame(rows, "cell int, embedding array<float>")
 
 
-def train_cells(vectors: DataFrame, nlist: int = 32_768, seed: int = 0, iterations: int = 20) -> DataFrame:
-    """Centroid table (cell, embedding) of k-means with ``nlist`` cells."""
-    centres = _kmeans(vectors, nlist, seed, iterations)
-    rows = [(number, centre) for number, centre in enumerate(centres)]
-    return vectors.sparkSession.createDataFrame(rows, "cell int, embedding array<float>")
+def write_cells(assigned: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Store assigned vectors clustered by cell and read them back.
+
+    Files are cut by range of (cell, id), so a large cell fills several files
+    and a small one shares a file; the cell statistics of the row groups let a
+    scan skip the cells it does not need.
+    """
+    ordered = assigned.repartitionByRange("cell", "pid").sortWithinPartitions("cell", "pid")
+    ordered.write.mode(mode).parquet(path)
+    return assigned.sparkSession.read.parquet(path)
 
 
 def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """``assigned`` (.., embedding, cell) with ``residual`` = embedding - centroid."""
     centre = centroids.select("cell", F.col("embedding").alias("_centre"))
     gap = F.zip_with("embedding", "_centre", lambda x, c: x.cast("double") - c.cast("double"))
-    return assigned.join(F.broadcast(centre), "cell").withColumn("residual", gap).drop("_centre")
+    joined = lookup_join(assigned, centre, ["cell"], [F.col("pid")], rows=100_000)
+    return joined.withColumn("residual", gap).drop("_centre")
 
 
 def part(vector: Column, number: Column | int, width: int) -> Column:
@@ -299,15 +309,52 @@ def part(vector: Column, number: Column | int, width: int) -> Column:
 def train_codes(
     assigned: DataFrame, centroids: DataFrame, m: int = 16, bits: int = 8, seed: int = 0, iterations: int = 20
 ) -> DataFrame:
-    """Codebook (part, code, embedding): one k-means per sub-vector of the residuals."""
-    gaps = residuals(assigned, centroids)
-    dim = len(gaps.select("residual").first()[0])
-    rows = []
-    for number in range(m):
-        piece = gaps.select(part(F.col("residual"), number, dim // m).alias("embedding"))
-        for code, centre in enumerate(_kmeans(piece, 2**bits, seed + number, iterations)):
-            rows.append((number, code, centre))
-    return assigned.sparkSession.createDataFrame(rows, "part int, code int, embedding array<float>")
+    """Codebook (part, code, embedding): k-means on each sub-vector of the residuals.
+
+    All sub-vectors are trained together, so an iteration is one pass over the
+    table instead of one per sub-vector. A task returns the sum and count per
+    code, m * 2**bits small rows however many vectors it read. The start is
+    2**bits rows picked by the md5 of their id; a code nobody chose stays.
+    """
+    gaps = residuals(assigned, centroids).select("pid", F.col("residual").alias("embedding"))
+    spark, size = assigned.sparkSession, 2**bits
+    start = matrix(gaps.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "pid")), "pid").limit(size).toArrow())
+    if len(start) < size:
+        raise ValueError(f"{size} codes need at least as many vectors, found {len(start)}")
+    book = np.ascontiguousarray(start.reshape(size, m, -1).transpose(1, 0, 2))
+    sums_schema = "part int, code int, n bigint, total array<double>"
+
+    for _ in range(iterations):
+        shared = spark.sparkContext.broadcast(book)
+
+        def gather(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            now = shared.value
+            totals, counts = np.zeros_like(now), np.zeros(now.shape[:2], dtype=np.int64)
+            for batch in batches:
+                pieces = matrix(batch).reshape(batch.num_rows, len(now), -1)
+                for j in range(len(now) if batch.num_rows else 0):
+                    code = goodness(pieces[:, j], now[j], "l2").argmax(axis=1)
+                    np.add.at(totals[j], code, pieces[:, j])
+                    counts[j] += np.bincount(code, minlength=now.shape[1])
+            part, code = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part, pa.int32()),
+                    pa.array(code, pa.int32()),
+                    pa.array(counts[part, code]),
+                    pa.array(list(totals[part, code]), pa.list_(pa.float64())),
+                ],
+                names=["part", "code", "n", "total"],
+            )
+
+        partial = gaps.select("embedding").mapInArrow(gather, sums_schema)
+        flat = partial.select("part", "code", "n", F.posexplode("total").alias("i", "x"))
+        means = flat.groupBy("part", "code", "i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+        book = book.copy()
+        where = tuple(means.column(c).to_numpy() for c in ("part", "code", "i"))
+        book[where] = means.column("x").to_numpy()
+    rows = [(j, code, book[j, code].tolist()) for j in range(m) for code in range(size)]
+    return spark.createDataFrame(rows, "part int, code int, embedding array<float>")
 
 
 def _codebook(codebook: DataFrame) -> np.ndarray:

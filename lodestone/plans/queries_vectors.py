@@ -19,6 +19,7 @@ from .registry import (
     query,
     tok,
     token_vectors,
+    trained,
     with_,
 )
 
@@ -87,7 +88,7 @@ def normalized_vectors(t):
 )
 def fetch_docs(t):
     docs = t.documents.select(F.col("doc_id").alias("pid"), "text")
-    return topk(t, 3).join(docs, "pid").select("qid", "pid", "rank", "text")
+    return ranking.fetch_documents(topk(t, 3), docs).select("qid", "pid", "rank", "text")
 
 
 @query(
@@ -122,8 +123,8 @@ ASSIGNED = "SELECT * FROM nearest WHERE place = 1"
 CELLS = {"v": VECTORS, "centroids": CENTROIDS, "nearest": NEAREST, "assigned": ASSIGNED}
 
 
-def assigned_cells(t):
-    return search.nearest_cells(as_docs(t.embeddings), label_means(t.embeddings))
+def assigned_cells(t, centroids=None):
+    return search.nearest_cells(as_docs(t.embeddings), centroids or label_means(t.embeddings))
 
 
 @query(
@@ -145,9 +146,11 @@ def ivf_assign(t):
     + OUT,
 )
 def ivf_probe_topk(t):
-    return search.probe_topk(
-        as_queries(t.embeddings), assigned_cells(t), label_means(t.embeddings), 10, nprobe=3, exclude_self=True
-    )
+    """Vectors stored by cell, then searched in the three nearest cells."""
+    centroids = label_means(t.embeddings)
+    assigned = search.nearest_cells(as_docs(t.embeddings), centroids)
+    cells = search.write_cells(assigned, scratch(t, "cells"))
+    return search.probe_topk(as_queries(t.embeddings), cells, centroids, 10, nprobe=3, exclude_self=True)
 
 
 PARTS, WIDTH = 8, 8
@@ -179,13 +182,13 @@ def label_codebook(t, cells, centroids):
     )
     means = flat.groupBy("part", "label", "i").agg(F.avg("x").alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return means.groupBy("part", F.col("label").alias("code")).agg(ordered.alias("m")).select(
-        "part", "code", F.transform("m", lambda m: m["x"]).alias("embedding")
-    )
+    book = means.groupBy("part", F.col("label").alias("code")).agg(ordered.alias("m"))
+    return trained(book.select("part", "code", F.transform("m", lambda m: m["x"]).alias("embedding")))
 
 
 def compressed(t):
-    cells, centroids = assigned_cells(t), label_means(t.embeddings)
+    centroids = label_means(t.embeddings)
+    cells = assigned_cells(t, centroids)
     codebook = label_codebook(t, cells, centroids)
     return search.pq_encode(cells, centroids, codebook), centroids, codebook
 
@@ -239,7 +242,7 @@ def ivf_train(t):
 @query("pq_train")
 def pq_train(t):
     centroids = label_means(t.embeddings)
-    book = search.train_codes(assigned_cells(t), centroids, m=PARTS, bits=4, seed=7, iterations=5)
+    book = search.train_codes(assigned_cells(t, centroids), centroids, m=PARTS, bits=4, seed=7, iterations=5)
     return book.select("part", "code", F.posexplode("embedding").alias("i", "x"))
 
 
@@ -363,7 +366,8 @@ def stream_retrieve(t):
 )
 def rerank_candidates(t):
     queries, docs = as_queries(t.embeddings), as_docs(t.embeddings)
-    found = search.probe_topk(queries, assigned_cells(t), label_means(t.embeddings), 20, 2, exclude_self=True)
+    centroids = label_means(t.embeddings)
+    found = search.probe_topk(queries, assigned_cells(t, centroids), centroids, 20, 2, exclude_self=True)
     return ranking.rerank_candidates(found, queries, docs).select("qid", "pid", "rank", "score")
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.joins import small_copy
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -153,6 +155,13 @@ def label_means(vectors: DataFrame, key: str = "cell") -> DataFrame:
     flat = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
     means = flat.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return means.groupBy("label").agg(ordered.alias("m")).select(
+    table = means.groupBy("label").agg(ordered.alias("m")).select(
         F.col("label").alias(key), F.transform("m", lambda m: m["x"]).alias("embedding")
     )
+    return trained(table)
+
+
+def trained(table: DataFrame) -> DataFrame:
+    """A small table that many steps look things up in, computed once."""
+    local = small_copy(table)
+    return table if local is None else local

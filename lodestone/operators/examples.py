@@ -100,6 +100,28 @@ def span_labels(tokens: Column, answer: Column, background: Column | None = None
     return let(labels, **values)
 
 
+def answer_example(
+    prompt: Column, answer: Column, background: Column | None = None, max_len: int = 1024
+) -> Column:
+    """struct(input_tokens, labels) of a prompt that holds its answer.
+
+    Labels are the last occurrence of the answer, of the background if given,
+    and the last token when the answer is found within ``max_len`` tokens.
+    """
+
+    def labelled(v):
+        labels = span_labels(v["tokens"], v["answer"], v["background"] if background is not None else None)
+        return F.struct(v["tokens"].alias("input_tokens"), labels.alias("labels"))
+
+    values = {
+        "tokens": F.slice(chat.message_tokens(prompt), 1, max_len),
+        "answer": chat.message_tokens(answer),
+    }
+    if background is not None:
+        values["background"] = chat.message_tokens(background)
+    return let(labelled, **values)
+
+
 def turn_spans(turns: DataFrame, conversation: str, turn: str, style: chat.ChatStyle, bits: int = 16) -> DataFrame:
     """Rendered turns with the place of each one in its conversation.
 
@@ -328,12 +350,16 @@ def pad_to(values: Column, width: Column, filler, side: str) -> Column:
     return F.concat(gap, values) if side == "left" else F.concat(values, gap)
 
 
-def collate(batched: DataFrame, ids: str = "ids", labels: str = "labels", pad_id: int = 0, side: str = "left") -> DataFrame:
-    """Pad ids and labels to the longest row of the batch and add the attention mask."""
+def collate(
+    batched: DataFrame, ids: str = "ids", labels: str = "labels", pad_id: int | str = 0, side: str = "left"
+) -> DataFrame:
+    """Pad ids and labels to the longest row of the batch and add the attention
+    mask. Rows may hold numbers or tokens."""
+    ignored = str(IGNORED) if dict(batched.dtypes)[labels] == "array<string>" else IGNORED
     width = F.max(F.size(ids)).over(Window.partitionBy("batch"))
     padded = (
         batched.withColumn("_width", width)
-        .withColumn(labels, pad_to(F.col(labels), F.col("_width"), IGNORED, side))
+        .withColumn(labels, pad_to(F.col(labels), F.col("_width"), ignored, side))
         .withColumn(ids, pad_to(F.col(ids), F.col("_width"), pad_id, side))
     )
     mask = F.transform(ids, lambda x: (x != pad_id).cast("int"))

@@ -100,34 +100,40 @@ def _block_counts(df: DataFrame, rows_per_block: int, name: str) -> DataFrame:
     return df.groupBy("cell").agg(blocks.alias(name))
 
 
+def _blocked(df: DataFrame, key: str, own: str, own_blocks: Column, other: str, other_blocks: Column) -> DataFrame:
+    """Put each row into one of its own blocks and repeat it for every other block."""
+    return df.withColumn(own, F.pmod(F.xxhash64(key), own_blocks).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), other_blocks - 1))
+    )
+
+
 def _grid(queries: DataFrame, docs: DataFrame, query_rows: int, doc_rows: int):
     """Cut the queries and documents of each cell into blocks that meet pairwise.
 
     The number of blocks follows from counts per cell, so a cell that holds a
     third of all vectors becomes many equal tasks. Each side is repeated once
-    per block of the other side.
+    per block of the other side. Without a cell column there is a single cell.
     """
-    doc_blocks = _block_counts(docs, doc_rows, "doc_blocks")
-    query_blocks = _block_counts(queries, query_rows, "query_blocks")
-    counts = doc_blocks.join(query_blocks, "cell")  # one row per cell
-
-    def spread(df, key, own, own_count, other, other_count):
-        block = F.pmod(F.xxhash64(key), F.col(own_count)).cast("int")
-        return (
-            lookup_join(df, counts, ["cell"], [F.col(key)], rows=100_000)
-            .withColumn(own, block)
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
-            .drop("doc_blocks", "query_blocks")
-        )
-
-    left = spread(queries, "qid", "qblock", "query_blocks", "dblock", "doc_blocks")
-    right = spread(docs, "pid", "dblock", "doc_blocks", "qblock", "query_blocks")
-    keys = ["cell", "qblock", "dblock"]
-
-    def renewed(df):  # both sides may stem from one table; give each its own columns
-        return df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy(*keys)
-
-    return renewed(left).cogroup(renewed(right))
+    if "cell" in docs.columns:
+        counts = _block_counts(docs, doc_rows, "doc_blocks").join(
+            _block_counts(queries, query_rows, "query_blocks"), "cell"
+        )  # one row per cell
+        left = lookup_join(queries, counts, ["cell"], [F.col("qid")], rows=100_000)
+        right = lookup_join(docs, counts, ["cell"], [F.col("pid")], rows=100_000)
+        query_blocks, doc_blocks = F.col("query_blocks"), F.col("doc_blocks")
+        keys = ["cell", "qblock", "dblock"]
+    else:
+        left, right = queries, docs
+        query_blocks = F.lit(max(1, -(-queries.count() // query_rows)))
+        doc_blocks = F.lit(max(1, -(-docs.count() // doc_rows)))
+        keys = ["qblock", "dblock"]
+    left = _blocked(left, "qid", "qblock", query_blocks, "dblock", doc_blocks)
+    right = _blocked(right, "pid", "dblock", doc_blocks, "qblock", query_blocks)
+
+    def renewed(df, columns):  # both sides may stem from one table; give each its own columns
+        return df.select(*[F.col(c).alias(c) for c in [*columns, "qblock", "dblock"]]).groupBy(*keys)
+
+    return renewed(left, queries.columns).cogroup(renewed(right, docs.columns))
 
 
 def grid_topk(
@@ -139,9 +145,10 @@ def grid_topk(
     query_rows: int = 4096,
     doc_rows: int = 65_536,
 ) -> DataFrame:
-    """Top-k of (qid, cell, embedding) among the (pid, cell, embedding) of the same cell.
+    """Top-k of (qid, embedding) among (pid, embedding), scored block by block.
 
-    A query may appear in several cells; its hits are merged over all of them.
+    With a ``cell`` column on both sides a query only meets its own cells; it
+    may appear in several, and its hits are merged over all of them.
     """
 
     def score_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -157,8 +164,8 @@ def grid_topk(
         )
         return pa.Table.from_batches([_hits_table(*hits)])
 
-    left = queries.select("qid", "cell", "embedding")
-    right = docs.select("pid", "cell", "embedding")
+    cell = ["cell"] if "cell" in docs.columns else []
+    left, right = queries.select("qid", *cell, "embedding"), docs.select("pid", *cell, "embedding")
     hits = _grid(left, right, query_rows, doc_rows).applyInArrow(score_block, HITS)
     return ranked(hits, k, metric)
 
@@ -180,10 +187,7 @@ def exact_topk(
     queries = queries.select("qid", "embedding")
     sample = queries.limit(broadcast_rows + 1).toArrow()
     if len(sample) > broadcast_rows or sample.nbytes > BROADCAST_BYTES:
-        everything = F.lit(0).alias("cell")
-        return grid_topk(
-            queries.select("*", everything), docs.select("*", everything), k, metric, exclude_self
-        )
+        return grid_topk(queries, docs.select("pid", "embedding"), k, metric, exclude_self)
     shared = docs.sparkSession.sparkContext.broadcast((sample.column("qid").to_numpy(), matrix(sample)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -362,18 +362,12 @@ SPAN_PROMPT = rf"'Answer the questions:Q: ' || {trimmed('text')} || E'?\nA: ' ||
 )
 def span_label_mask(t):
     prompt = examples.answered_prompt(F.lit("open_qa"), F.col("text"), F.col("source"))
-    rows = t.documents.select(
-        "doc_id",
-        F.slice(chat.message_tokens(prompt), 1, 1024).alias("k"),
-        chat.message_tokens(F.col("source")).alias("a"),
-    )
-    labelled = rows.select(
+    rows = t.documents.select("doc_id", examples.answer_example(prompt, F.col("source")).alias("x"), "source")
+    return rows.select(
         "doc_id",
-        last_subsequence(F.col("k"), F.col("a")).alias("start"),
-        examples.span_labels(F.col("k"), F.col("a")).alias("labels"),
-    )
-    return labelled.select(
-        "doc_id", "start", examples.live_labels(F.col("labels")).alias("n_live"), words_joined("labels").alias("labels")
+        last_subsequence(F.col("x.input_tokens"), chat.message_tokens(F.col("source"))).alias("start"),
+        examples.live_labels(F.col("x.labels")).alias("n_live"),
+        words_joined("x.labels").alias("labels"),
     )
 
 

@@ -69,7 +69,7 @@ def exact_match(t):
     return answers.score(rows, answers.exact_match(said, F.array("source", F.lit("nothing"))), "exact_match")
 
 
-def f1_sql(split: str, key: str = "key") -> str:
+def f1_sql(split: str, rounded: bool = True) -> str:
     """Best multiset F1 of ``answer`` against the question and against the whole talk."""
     return with_(
         qa=QA,
@@ -83,7 +83,7 @@ def f1_sql(split: str, key: str = "key") -> str:
         c="SELECT key, a, sum(least(lc.n, rc.n))::DOUBLE AS n FROM lc JOIN rc USING (key, a, t) GROUP BY ALL",
         f="""SELECT key, a, CASE WHEN c.n IS NULL THEN 0 ELSE 2 * (c.n / ln.n) * (c.n / rn.n) / (c.n / ln.n + c.n / rn.n) END AS f1
              FROM g LEFT JOIN c USING (key, a) LEFT JOIN ln USING (key, a) LEFT JOIN rn USING (key, a)""",
-    ) + "SELECT key, round(max(f1), 6) AS f1 FROM f GROUP BY key"
+    ) + f"SELECT key, {'round(max(f1), 6)' if rounded else 'max(f1)'} AS f1 FROM f GROUP BY key"
 
 
 def predicted(t):
@@ -105,13 +105,44 @@ def char_f1(t):
     return answers.char_f1(predicted(t), "key", "prediction", "answers")
 
 
-@query("rouge_l")
+# Longest common subsequence row by row: a row is the running maximum of "carry
+# over" and "extend the diagonal", for all pairs at once.
+GOLDS = rf"""
+  SELECT key, answer, unnest([question, question || E'\n' || answer]) AS gold, unnest([0, 1]) AS a FROM qa"""
+LCS = {
+    "qa": QA,
+    "g": GOLDS,
+    "l": f"""SELECT key, a, unnest(w) AS t, generate_subscripts(w, 1) AS i
+             FROM (SELECT key, a, {word_list('answer')} AS w FROM g)""",
+    "r": f"""SELECT key, a, unnest(w) AS t, generate_subscripts(w, 1) AS j
+             FROM (SELECT key, a, {word_list('gold')} AS w FROM g)""",
+    "dp": """
+      SELECT key, a, 0 AS i, j, 0 AS v FROM r
+      UNION ALL
+      SELECT key, a, i, j, max(c) OVER (PARTITION BY key, a ORDER BY j) AS v FROM (
+        SELECT d.key, d.a, l.i, d.j,
+          greatest(d.v, CASE WHEN l.t = r.t THEN 1 + coalesce(d.before, 0) ELSE 0 END) AS c
+        FROM (SELECT *, lag(v) OVER (PARTITION BY key, a ORDER BY j) AS before FROM dp) d
+        JOIN l ON l.key = d.key AND l.a = d.a AND l.i = d.i + 1
+        JOIN r ON r.key = d.key AND r.a = d.a AND r.j = d.j)""",
+    "n": "SELECT key, a, max(v)::DOUBLE AS common, max(i) AS nl, max(j) AS nr FROM dp GROUP BY ALL",
+    "rl": """SELECT key, max(CASE WHEN common = 0 THEN 0
+             ELSE 2 * (common / nl) * (common / nr) / (common / nl + common / nr) END) AS rl FROM n GROUP BY key""",
+}
+
+
+@query("rouge_l", "WITH RECURSIVE " + with_(**LCS)[5:] + "SELECT key, round(rl, 6) AS rouge_l FROM rl")
 def rouge_l(t):
     rows = predicted(t)
     return rows.select("key", answers.rouge_l(F.col("prediction"), F.col("answers")).alias("rouge_l"))
 
 
-@query("truthful_scores")
+@query(
+    "truthful_scores",
+    "WITH RECURSIVE "
+    + with_(**LCS, best_f1=f1_sql(word_list("{x}"), rounded=False))[5:]
+    + "SELECT round(avg(f1), 6) AS f1, round(avg(rl), 6) AS rl FROM rl JOIN best_f1 USING (key)",
+)
 def truthful_scores(t):
     return answers.truthful_scores(predicted(t), "key", "prediction", "answers")
 

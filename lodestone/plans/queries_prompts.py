@@ -17,13 +17,14 @@ WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 @query(
     "attach_background",
     with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 3))
-    + """SELECT qid, list_position([3, 1], rank) - 1 AS pos, text FROM h JOIN documents ON doc_id = pid
-      WHERE rank IN (1, 3)""",
+    + """SELECT qid, list_position([3, 1], rank) - 1 AS pos, coalesce(text, 'vector ' || pid) AS text
+      FROM h LEFT JOIN documents ON doc_id = pid WHERE rank IN (1, 3)""",
 )
 def attach_background(t):
     """Every vector as a question, with the texts at ranks 3 and 1."""
     texts = t.documents.select(F.col("doc_id").alias("pid"), "text")
-    retrieved = topk(t, 3).join(texts, "pid").select("qid", "rank", "text")
+    named = F.coalesce("text", F.concat(F.lit("vector "), F.col("pid").cast("string"))).alias("text")
+    retrieved = topk(t, 3).join(texts, "pid", "left").select("qid", "rank", named)
     rows = prompts.attach_background(
         t.embeddings.select(F.col("vec_id").alias("qid")), "qid", retrieved, [3, 1]
     )

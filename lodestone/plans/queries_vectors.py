@@ -301,11 +301,11 @@ def topk_softmax(t):
     "topk_response",
     with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 5), s=SOFTMAX)
     + """SELECT 'q' || qid AS query, rank - 1 AS pos, pid, rank, round(score, 6) AS score,
-      round(prob, 6) AS prob, source AS text FROM s JOIN documents ON doc_id = pid""",
+      round(prob, 6) AS prob, source AS text FROM s LEFT JOIN documents ON doc_id = pid""",
 )
 def topk_response(t):
     docs = t.documents.select(F.col("doc_id").alias("pid"), F.col("source").alias("text"))
-    hits = ranking.with_probabilities(topk(t, 5), 5).join(docs, "pid")
+    hits = ranking.with_probabilities(topk(t, 5), 5).join(docs, "pid", "left")
     nested = ranking.responses(hits.withColumn("query", F.concat(F.lit("q"), F.col("qid").cast("string"))))
     flat = nested.select("query", F.posexplode("topk").alias("pos", "hit"))
     return flat.select("query", "pos", "hit.pid", "hit.rank", "hit.score", "hit.prob", "hit.text")

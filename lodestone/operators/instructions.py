@@ -178,7 +178,6 @@ def backfill_background(table: DataFrame, retrieved: DataFrame) -> DataFrame:
     keyed = table.withColumn("_query", missing)
     found = retrieved.select(F.col("query").alias("_query"), F.col("text").alias("_text"))
     # many rows may need nothing (null) or ask the same question
-    keyed = keyed.withColumn("_query", F.coalesce("_query", F.concat(F.lit("\u0000"), F.col("id"))))
     joined = skewed_join(keyed, found, "_query", [F.col("id")], "left")
     return joined.withColumn("background", F.coalesce("background", "_text")).select(*table.columns)
 

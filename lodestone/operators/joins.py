@@ -47,72 +47,64 @@ def lookup_join(
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def _split_join(
+def weighted_lookup_join(
     big: DataFrame,
-    top: DataFrame,
-    right: DataFrame,
+    lookup: DataFrame,
     key: str,
+    weight: str,
     payload: list[str],
     spread_by: list[Column],
-    how: str,
+    heavy: int = 4096,
 ) -> DataFrame:
-    """Join with ``top`` (few keys, broadcast) and the rest by shuffle.
+    """Left join with a narrow table of unique keys that knows their frequencies.
 
-    Rows served by ``top`` carry a spread number that matches nothing on the
-    right and differs from row to row, so they neither join nor pile up.
+    The ``heavy`` most frequent keys are broadcast: their number is fixed, and
+    for words they serve most rows without a shuffle. Every other key holds
+    less than one row in ``heavy``, so the rest is shuffled on the key. Rows
+    already served carry a spread number that matches nothing and differs from
+    row to row, so they do not pile up.
     """
+    top = lookup.orderBy(F.col(weight).desc(), F.col(key)).limit(heavy)
     served = top.select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
-    rest = right.select(
-        key, F.lit(-1).alias("_spread"), F.lit(True).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in payload]
-    )
+    rest = lookup.select(key, F.lit(-1).alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in payload])
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(4096)).cast("int")
     marked = big.join(F.broadcast(served), key, "left").withColumn(
         "_spread", F.when(F.col("_hot"), spread).otherwise(F.lit(-1))
     )
     joined = marked.join(rest, [key, "_spread"], "left")
-    if how == "inner":
-        joined = joined.filter(F.col("_hot").isNotNull() | F.col("_cold").isNotNull())
     return joined.select(
         *[F.col(c) for c in big.columns],
         *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in payload],
     )
 
 
-def weighted_lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    weight: str,
-    payload: list[str],
-    spread_by: list[Column],
-    heavy: int = 4096,
-) -> DataFrame:
-    """Left join with a table of unique keys that knows their frequencies.
-
-    The ``heavy`` most frequent keys are broadcast: their number is fixed.
-    Every other key holds less than one row in ``heavy``, so the rest can be
-    shuffled on the key.
-    """
-    top = lookup.orderBy(F.col(weight).desc(), F.col(key)).limit(heavy)
-    return _split_join(big, top, lookup, key, payload, spread_by, "left")
-
-
 def skewed_join(
     big: DataFrame,
     right: DataFrame,
     key: str,
     spread_by: list[Column],
     how: str = "inner",
-    heavy: int = 256,
+    heavy: int = 1024,
+    hot_rows: int = 100_000,
+    salts: int = 64,
 ) -> DataFrame:
     """Join ``big`` with a table of unique keys whose frequencies are unknown.
 
-    The keys of ``big`` are counted first, reading the key column only. The
-    rows of ``right`` for the ``heavy`` most frequent keys are broadcast, every
-    other key holds less than one row in ``heavy``.
+    The keys of ``big`` are counted first, reading the key column only. Rows of
+    a key with at least ``hot_rows`` rows are spread over ``salts`` tasks, and
+    its one row of ``right`` is repeated for them. Only the hashes of the hot
+    keys are broadcast, at most ``heavy`` numbers; two keys that share a hash
+    are merely both spread. Rows without a key match nothing and are spread too.
     """
-    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
-    heaviest = counts.orderBy(F.col("_n").desc(), F.col(key)).limit(heavy).select(key)
-    top = right.join(F.broadcast(heaviest), key, "left_semi")
+    mark = F.xxhash64(key).alias("_mark")
+    counts = big.filter(F.col(key).isNotNull()).groupBy(mark).agg(F.count("*").alias("_n"))
+    hottest = counts.filter(F.col("_n") >= hot_rows).orderBy(F.col("_n").desc(), "_mark").limit(heavy)
+    hot = F.broadcast(hottest.select("_mark", F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    spread = F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(F.lit(0))
+    everywhere = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted = big.withColumn("_mark", F.xxhash64(key)).join(hot, "_mark", "left").withColumn("_salt", spread)
+    repeated = right.withColumn("_mark", F.xxhash64(key)).join(hot, "_mark", "left")
+    repeated = repeated.withColumn("_salt", F.explode(everywhere)).drop("_mark", "_hot")
     payload = [c for c in right.columns if c != key]
-    return _split_join(big, top, right, key, payload, spread_by, how)
+    return salted.join(repeated, [key, "_salt"], how).select(*big.columns, *payload)

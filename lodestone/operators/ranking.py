@@ -99,7 +99,7 @@ def with_probabilities(ranking: DataFrame, k: int = 10, most: int = 100) -> Data
 
 def fetch_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """``hits`` with the columns of ``docs`` (pid, ...), one row per hit. A document
-    that very many queries hit is sent to them instead of drawing them together."""
+    that very many queries hit is repeated instead of drawing them all together."""
     return skewed_join(hits, docs, "pid", [F.col("qid")])
 
 
@@ -122,9 +122,8 @@ def rerank_candidates(candidates: DataFrame, queries: DataFrame, docs: DataFrame
     """Candidates (qid, pid) ordered by the dot product of their vectors."""
     pairs = candidates.select("qid", "pid")
     pairs = skewed_join(pairs, docs.select("pid", F.col("embedding").alias("_doc")), "pid", [F.col("qid")])
-    pairs = skewed_join(
-        pairs, queries.select("qid", F.col("embedding").alias("_query")), "qid", [F.col("pid")]
-    )
+    # a query has a bounded number of candidates, so its id is no hot key
+    pairs = pairs.join(queries.select("qid", F.col("embedding").alias("_query")), "qid")
     scored = pairs.select("qid", "pid", vectors.dot(F.col("_query"), F.col("_doc")).alias("score"))
     best_first = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
     return scored.withColumn("rank", F.row_number().over(best_first))
@@ -186,9 +185,9 @@ def late_interaction(
     pairs = candidates.select("qid", "pid")
     wanted = doc_tokens.join(pairs.select("pid").distinct(), "pid", "left_semi")
     docs = _as_rows(wanted, "pid", doc_max_len, "doc")
-    with_docs = skewed_join(pairs, docs, "pid", [F.col("qid")], heavy=64)
+    with_docs = skewed_join(pairs, docs, "pid", [F.col("qid")])
     queries = _as_rows(query_tokens, "qid", query_max_len, "query")
-    joined = skewed_join(with_docs, queries, "qid", [F.col("pid")], heavy=64)
+    joined = with_docs.join(queries, "qid")  # a query has a bounded number of candidates
 
     def score(batches):
         for batch in batches:

@@ -296,11 +296,11 @@ def write_cells(assigned: DataFrame, path: str, mode: str = "errorifexists") ->
     return assigned.sparkSession.read.parquet(path)
 
 
-def residuals(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
+def residuals(assigned: DataFrame, centroids: DataFrame, key: str = "pid") -> DataFrame:
     """``assigned`` (.., embedding, cell) with ``residual`` = embedding - centroid."""
     centre = centroids.select("cell", F.col("embedding").alias("_centre"))
     gap = F.zip_with("embedding", "_centre", lambda x, c: x.cast("double") - c.cast("double"))
-    joined = lookup_join(assigned, centre, ["cell"], [F.col("pid")], rows=100_000)
+    joined = lookup_join(assigned, centre, ["cell"], [F.col(key)], rows=100_000)
     return joined.withColumn("residual", gap).drop("_centre")
 
 
@@ -371,29 +371,24 @@ def _codebook(codebook: DataFrame) -> np.ndarray:
 
 def pq_encode(assigned: DataFrame, centroids: DataFrame, codebook: DataFrame) -> DataFrame:
     """(pid, cell, codes): each sub-vector of the residual as its nearest code."""
-    spark = assigned.sparkSession
-    table = centroids.select("cell", "embedding").toArrow()
-    centres = dict(zip(table.column("cell").to_pylist(), matrix(table)))
-    shared = spark.sparkContext.broadcast((centres, _codebook(codebook)))
+    shared = assigned.sparkSession.sparkContext.broadcast(_codebook(codebook))
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre_of, book = shared.value
+        book = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = batch.column("cell")
-            gap = matrix(batch) - np.stack([centre_of[c] for c in cell.to_pylist()])
-            pieces = gap.reshape(len(gap), len(book), -1)
+            pieces = matrix(batch, "residual").reshape(batch.num_rows, len(book), -1)
             codes = np.stack(
-                [-goodness(pieces[:, j], book[j], "l2") for j in range(len(book))], axis=1
-            ).argmin(axis=2)
+                [goodness(pieces[:, j], book[j], "l2").argmax(axis=1) for j in range(len(book))], axis=1
+            )
             offsets = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
             packed = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), pa.int16()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("pid"), cell, packed], names=["pid", "cell", "codes"]
+                [batch.column("pid"), batch.column("cell"), packed], names=["pid", "cell", "codes"]
             )
 
-    rows = assigned.select("pid", F.col("cell").cast("int").alias("cell"), "embedding")
+    rows = residuals(assigned, centroids).select("pid", F.col("cell").cast("int").alias("cell"), "residual")
     return rows.mapInArrow(compress, "pid bigint, cell int, codes array<smallint>")
 
 
@@ -413,15 +408,13 @@ def pq_topk(
     For a cell, the distances of the query residual to every code are looked up
     and summed over the sub-vectors.
     """
-    table = centroids.select("cell", "embedding").toArrow()
-    centres = dict(zip(table.column("cell").to_pylist(), matrix(table)))
-    shared = queries.sparkSession.sparkContext.broadcast((centres, _codebook(codebook)))
+    shared = queries.sparkSession.sparkContext.broadcast(_codebook(codebook))
 
     def score_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not (len(left) and len(right)):
             return pa.Table.from_batches([_hits_table([], [], [])])
-        centre_of, book = shared.value
-        gap = (matrix(left) - centre_of[key[0].as_py()]).reshape(len(left), len(book), -1)
+        book = shared.value
+        gap = matrix(left, "residual").reshape(len(left), len(book), -1)
         to_code = [goodness(gap[:, j], book[j], "l2") for j in range(len(book))]
         code = matrix(right, "codes").astype(np.int64)
 
@@ -434,7 +427,6 @@ def pq_topk(
         return pa.Table.from_batches([_hits_table(*hits)])
 
     probes = nearest_cells(queries.select("qid", "embedding"), centroids, nprobe)
-    grid = _grid(
-        probes.select("qid", "cell", "embedding"), codes.select("pid", "cell", "codes"), query_rows, doc_rows
-    )
+    gaps = residuals(probes, centroids, "qid").select("qid", "cell", "residual")
+    grid = _grid(gaps, codes.select("pid", "cell", "codes"), query_rows, doc_rows)
     return ranked(grid.applyInArrow(score_block, HITS), k, "l2")

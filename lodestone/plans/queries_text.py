@@ -176,7 +176,7 @@ def passage_prefix(t):
         "doc_id",
         prompts.passage_text(text, "intfloat/e5-large-v2").alias("prefixed"),
         prompts.passage_text(text, "intfloat/e5-mistral-7b-instruct").alias("ended"),
-        prompts.passage_text(text, "salesforce/sfr-embedding-mistral").alias("plain"),
+        prompts.passage_text(text, "some-other-retriever").alias("plain"),
     )
 
 

@@ -71,7 +71,7 @@ def test_joins_agree_with_a_plain_join(spark):
     right = spark.createDataFrame([(f"k{j}", j, 81 - j) for j in range(60)] + [("hot", 99, 500)], "key string, v int, n int")
     for how in ("inner", "left"):
         plain = big.join(right.select("key", "v"), "key", how).select("i", "key", "v")
-        skewed = joins.skewed_join(big, right.select("key", "v"), "key", [F.col("i")], how, heavy=2)
+        skewed = joins.skewed_join(big, right.select("key", "v"), "key", [F.col("i")], how, heavy=2, hot_rows=9, salts=5)
         assert plain.exceptAll(skewed).count() == 0 and plain.count() == skewed.count()
         for rows in (1000, 1):  # broadcast, and salted
             looked = joins.lookup_join(big, right.select("key", "v"), ["key"], [F.col("i")], how, rows, salts=4)

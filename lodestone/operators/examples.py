@@ -375,6 +375,16 @@ def trim_padding(batched: DataFrame, ids: str = "ids", pad_id: int = 0) -> DataF
     ).drop("_longest")
 
 
+def stack_documents(batched: DataFrame, positive: str, negative: str, name: str = "ids") -> DataFrame:
+    """(batch, place, ids): the positives of a batch in slot order, then its negatives."""
+    size = F.count("*").over(Window.partitionBy("batch")).cast("int")
+    sides = F.array(
+        F.struct(F.col("slot").alias("place"), F.col(positive).alias(name)),
+        F.struct((F.col("slot") + F.col("_size")).alias("place"), F.col(negative).alias(name)),
+    )
+    return batched.withColumn("_size", size).select("batch", F.inline(sides))
+
+
 def batch_targets(batched: DataFrame, key: str, batch_size: int, devices: int = 1) -> DataFrame:
     """In-batch contrastive targets: for each query the place of its own document.
 

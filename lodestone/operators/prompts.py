@@ -33,6 +33,12 @@ def passage_text(text: Column, retriever: str) -> Column:
     return F.concat(prefixed, F.lit(wording.EOS)) if retriever in wording.PASSAGE_EOS_MODELS else prefixed
 
 
+def retriever_texts(rows: DataFrame, key: str, texts: str, retriever: str) -> DataFrame:
+    """(key, pos, text): the texts to embed of every row, one after another."""
+    flat = rows.select(key, F.posexplode(texts).alias("pos", "text"))
+    return flat.withColumn("text", passage_text(F.col("text"), retriever))
+
+
 # --- keywords ---------------------------------------------------------------
 
 

@@ -154,6 +154,14 @@ def document_offsets(tokens: DataFrame, bits: int = 16) -> DataFrame:
     )
 
 
+def token_positions(tokens: DataFrame, bits: int = 16) -> DataFrame:
+    """(position, pid, pos): the place of every token vector when the documents
+    are laid out one after another."""
+    starts = document_offsets(tokens, bits).select("pid", "start")
+    placed = tokens.select("pid", "pos").join(starts, "pid")
+    return placed.select((F.col("start") + F.col("pos")).alias("position"), "pid", "pos")
+
+
 def candidate_documents(token_hits: DataFrame, positions: DataFrame) -> DataFrame:
     """Distinct (qid, pid) behind token hits (qid, vec); ``positions`` is (vec, pid)."""
     return token_hits.select("qid", "vec").distinct().join(positions, "vec").select("qid", "pid").distinct()

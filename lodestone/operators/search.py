@@ -51,29 +51,43 @@ def _best(q: np.ndarray, p: np.ndarray, s: np.ndarray, k: int):
     return q[keep], p[keep], s[keep]
 
 
+def _block_best(scores: np.ndarray, qids: np.ndarray, pids: np.ndarray, k: int, floor: np.ndarray | None = None):
+    """The k best hits per row of a score matrix, without sorting whole rows.
+
+    Everything at least as good as the k-th score is kept and then cut, so ties
+    are settled by id. ``floor`` gives a score per row below which a hit is
+    known to be beaten.
+    """
+    limit = np.full(len(scores), -np.inf)
+    if scores.shape[1] > k:
+        limit = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    if floor is not None:
+        limit = np.maximum(limit, floor)
+    rows, cols = np.nonzero((scores >= limit[:, None]) & (scores > -np.inf))
+    return _best(qids[rows], pids[cols], scores[rows, cols], k)
+
+
+NO_HITS = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+
+
 def best_hits(
-    qids: np.ndarray, pids: np.ndarray, score: Callable[[slice], np.ndarray], k: int, exclude_self: bool
+    qids: np.ndarray,
+    pids: np.ndarray,
+    score: Callable[[slice], np.ndarray],
+    k: int,
+    exclude_self: bool,
+    floor: np.ndarray | None = None,
 ):
     """The k best documents per query. ``score(block)`` scores a slice of documents."""
     width = max(1, BLOCK_CELLS // max(1, len(qids)))
-    kept = (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0),)
+    kept = NO_HITS
     for start in range(0, len(pids), width):
         block = slice(start, start + width)
         scores, block_pids = score(block), pids[block]
         if exclude_self:
             scores = np.where(qids[:, None] == block_pids[None, :], -np.inf, scores)
-        if scores.shape[1] > k:
-            limit = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            rows, cols = np.nonzero(scores >= limit[:, None])
-        else:
-            rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-        found = scores[rows, cols]
-        real = found > -np.inf
-        merged = [
-            np.concatenate(pair)
-            for pair in zip(kept, (qids[rows[real]], block_pids[cols[real]], found[real]))
-        ]
-        kept = _best(*merged, k)
+        found = _block_best(scores, qids, block_pids, k, floor)
+        kept = _best(*[np.concatenate(pair) for pair in zip(kept, found)], k)
     return kept
 
 
@@ -177,33 +191,48 @@ def exact_topk(
     metric: str = "dot",
     exclude_self: bool = False,
     broadcast_rows: int = 8192,
+    warm_up_rows: int | None = None,
 ) -> DataFrame:
     """(qid, pid, rank, score): the k best documents of every query.
 
     Up to ``broadcast_rows`` queries travel to every task as one matrix and the
     documents are scanned once without a shuffle. More queries are met with the
     documents block by block.
+
+    For a corpus of very many tasks, ``warm_up_rows`` documents are searched
+    beforehand. The k-th score a query reaches there can only rise, so tasks
+    leave out what lies below it and far fewer hits have to be merged.
     """
-    queries = queries.select("qid", "embedding")
+    queries, docs = queries.select("qid", "embedding"), docs.select("pid", "embedding")
     sample = queries.limit(broadcast_rows + 1).toArrow()
     if len(sample) > broadcast_rows or sample.nbytes > BROADCAST_BYTES:
-        return grid_topk(queries, docs.select("pid", "embedding"), k, metric, exclude_self)
-    shared = docs.sparkSession.sparkContext.broadcast((sample.column("qid").to_numpy(), matrix(sample)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        kept = (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0),)
-        for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            d = matrix(batch)
-            found = best_hits(
-                qids, batch.column("pid").to_numpy(), lambda b: goodness(q, d[b], metric), k, exclude_self
-            )
-            kept = _best(*[np.concatenate(pair) for pair in zip(kept, found)], k)
-        yield _hits_table(*kept)
-
-    return ranked(docs.select("pid", "embedding").mapInArrow(scan, HITS), k, metric)
+        return grid_topk(queries, docs, k, metric, exclude_self)
+    context = docs.sparkSession.sparkContext
+    qids, rows = sample.column("qid").to_numpy(), matrix(sample)
+
+    def scan_with(shared):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q, floor = shared.value
+            kept = NO_HITS
+            for batch in batches:
+                if not batch.num_rows or not len(qids):
+                    continue
+                d, pids = matrix(batch), batch.column("pid").to_numpy()
+                found = best_hits(qids, pids, lambda b: goodness(q, d[b], metric), k, exclude_self, floor)
+                kept = _best(*[np.concatenate(pair) for pair in zip(kept, found)], k)
+            yield _hits_table(*kept)
+
+        return scan
+
+    floor = None
+    if warm_up_rows:
+        first = docs.limit(warm_up_rows).mapInArrow(scan_with(context.broadcast((qids, rows, None))), HITS)
+        reached = ranked(first, k).filter(F.col("rank") == k).select("qid", "score").toArrow()
+        known = dict(zip(reached.column("qid").to_pylist(), reached.column("score").to_pylist()))
+        # a matrix product may differ in its last bits from one block to the next
+        floor = np.array([known.get(qid, -np.inf) for qid in qids.tolist()]) - 1e-9
+    shared = context.broadcast((qids, rows, floor))
+    return ranked(docs.mapInArrow(scan_with(shared), HITS), k, metric)
 
 
 def nearest_cells(
@@ -239,15 +268,14 @@ def nearest_cells(
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 batch = whole.slice(start, rows)
-                distance = -goodness(matrix(batch), centres, "l2")
-                near = np.argsort(distance, axis=1, kind="stable")[:, :width]
+                scores = goodness(matrix(batch), centres, "l2")
+                _, place, best = _block_best(scores, np.arange(len(scores)), np.arange(len(cells)), width)
+                near, distance = place, -best
                 repeated = pa.Table.from_batches([batch]).take(
                     pa.array(np.repeat(np.arange(batch.num_rows), width))
                 )
-                out = repeated.append_column("cell", pa.array(cells[near].ravel(), pa.int32()))
-                out = out.append_column(
-                    "distance", pa.array(np.take_along_axis(distance, near, axis=1).ravel())
-                )
+                out = repeated.append_column("cell", pa.array(cells[near], pa.int32()))
+                out = out.append_column("distance", pa.array(distance))
                 yield from out.combine_chunks().to_batches()
 
     return vectors.mapInArrow(probe, schema)
@@ -273,11 +301,20 @@ def training_sample(vectors: DataFrame, ratio: float = 0.3, seed: int = 0) -> Da
     return vectors.sample(withReplacement=True, fraction=ratio, seed=seed)
 
 
-def train_cells(vectors: DataFrame, nlist: int = 32_768, seed: int = 0, iterations: int = 20) -> DataFrame:
-    """Centroid table (cell, embedding) of k-means with ``nlist`` cells."""
+def train_cells(
+    vectors: DataFrame,
+    nlist: int = 32_768,
+    seed: int = 0,
+    iterations: int = 20,
+    sample_ratio: float | None = None,
+) -> DataFrame:
+    """Centroid table (cell, embedding) of k-means with ``nlist`` cells, trained
+    on a sample of the vectors if a ratio is given."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if sample_ratio is not None:
+        vectors = training_sample(vectors, sample_ratio, seed)
     ready = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=iterations).fit(ready)
     rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(model.clusterCenters())]

@@ -88,6 +88,20 @@ def retrieval_run(
     )
 
 
+def validate_candidates(
+    candidates: DataFrame, qrels: DataFrame, queries: DataFrame, docs: DataFrame, cutoff: int = 10
+) -> DataFrame:
+    """MRR over the queries of a candidate list (qid, pid), ordered by dot product.
+
+    Judgements of queries that are not in the list are left out.
+    """
+    asked = candidates.select("qid").distinct()
+    marked = ranking.mark_positives(
+        ranking.rerank_candidates(candidates, queries, docs), qrels.join(asked, "qid", "left_semi")
+    )
+    return ranking.mean_reciprocal_rank(marked, asked, cutoff)
+
+
 def evaluation_prompts(
     rows: DataFrame,
     key: str,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chat
-from ..operators import examples
+from ..operators import examples, search
 from . import jobs
 from .queries_text import CHUNKS, COMPRESSED, PLAIN, QA_WITH_BACKGROUND, with_background
 from .queries_vectors import CELLS, DOT, assigned_cells, best
-from .registry import QA, label_means, prompt_tok, query, tok, trimmed, with_
+from .registry import QA, as_docs, as_queries, label_means, prompt_tok, query, tok, trimmed, with_
 
 
 def chat_length(first: str) -> str:
@@ -85,3 +85,27 @@ def retrieval_run(t):
         save_k=20,
         exclude_self=True,
     )
+
+
+@query(
+    "validate_candidates",
+    with_(
+        **CELLS,
+        p="""SELECT n.vec_id AS qid, a.vec_id AS pid, pow(list_distance(n.e, a.e), 2) AS score
+             FROM nearest n JOIN assigned a USING (cell) WHERE n.place <= 2 AND n.vec_id <> a.vec_id""",
+        c=best("p", 30, "ASC"),
+        s=f"SELECT qid, pid, {DOT} AS score FROM c JOIN v q ON q.vec_id = qid JOIN v d ON d.vec_id = pid",
+        h=best("s", 30),
+    )
+    + """SELECT round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr_at_10
+      FROM (SELECT DISTINCT qid FROM c) a LEFT JOIN h ON h.qid = a.qid AND h.pid = a.qid + 1""",
+)
+def validate_candidates(t):
+    """Candidates from two cells; the next vector is the one judged positive."""
+    centroids = label_means(t.embeddings)
+    queries, docs = as_queries(t.embeddings), as_docs(t.embeddings)
+    found = search.probe_topk(queries, assigned_cells(t, centroids), centroids, 30, 2, exclude_self=True)
+    qrels = t.embeddings.select("vec_id", F.col("vec_id").alias("pid")).select(
+        (F.col("vec_id") - 1).alias("qid"), "pid"
+    )
+    return jobs.validate_candidates(found.select("qid", "pid"), qrels, queries, docs)

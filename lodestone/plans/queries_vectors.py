@@ -113,6 +113,23 @@ def doc_offsets(t):
     return ranking.document_offsets(token_vectors(t.embeddings), bits=4).select("pid", "length", "start")
 
 
+@query(
+    "token_positions",
+    """SELECT vec_id // 10 AS pid, vec_id % 10 AS pos, row_number() OVER (ORDER BY vec_id) - 1 AS position
+      FROM embeddings""",
+)
+def token_positions(t):
+    return ranking.token_positions(token_vectors(t.embeddings), bits=4)
+
+
+@query("dense_topk_warm", with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 10)) + OUT)
+def dense_topk_warm(t):
+    """The same search with a lower bound per query found beforehand."""
+    return search.exact_topk(
+        as_queries(t.embeddings), as_docs(t.embeddings), 10, "dot", exclude_self=True, warm_up_rows=200
+    )
+
+
 # --- cells and codes ---------------------------------------------------------------------------
 
 NEAREST = """

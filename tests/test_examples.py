@@ -207,3 +207,10 @@ def test_training_batches(spark):
         assert len({len(r["ids"]) for r in batches if r["batch"] == batch}) == 1
     # a cut that removes the answer from the plain view only drops the row
     assert jobs.training_rows(table, max_len=100).count() == 0
+
+
+def test_stacked_documents_put_positives_first(spark):
+    df = spark.createDataFrame([(i, [i], [10 + i]) for i in range(3)], "k bigint, p array<int>, n array<int>")
+    out = examples.stack_documents(examples.with_batch(df, "k", 2, 0, shuffle=False), "p", "n")
+    got = {(r["batch"], r["place"]): r["ids"][0] for r in out.collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (0, 2): 10, (0, 3): 11, (1, 0): 2, (1, 1): 12}

@@ -96,6 +96,12 @@ def test_passages_by_retriever(value):
     assert value(prompts.passage_text(F.lit("t"), "another")) == "t"
 
 
+def test_retriever_texts_are_flattened_in_order(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "k int, t array<string>")
+    out = prompts.retriever_texts(df, "k", "t", "intfloat/e5-large-v2").orderBy("k", "pos")
+    assert [tuple(r) for r in out.collect()] == [(1, 0, "passage: a"), (1, 1, "passage: b"), (2, 0, "passage: c")]
+
+
 def test_evaluation_job(spark):
     rows = spark.createDataFrame([(0, "why", ["apple"]), (1, "who", ["zz"])], "k int, question string, answer array<string>")
     hits = spark.createDataFrame([(k, 1, t) for k, t in DOCS[:2]], "k int, rank int, text string")

@@ -93,3 +93,13 @@ def test_repeated_questions_are_searched_once(spark):
 def test_stage_shares(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 1.0)], "stage string, t double")
     assert {r["stage"]: r["share"] for r in ranking.stage_shares(df, "stage", "t").collect()} == {"a": 0.5, "b": 0.5}
+
+
+def test_validation_ignores_foreign_judgements(spark):
+    from lodestone.plans import jobs
+
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "pid bigint, embedding array<float>")
+    queries = spark.createDataFrame([(7, [0.2, 0.9]), (8, [1.0, 0.0])], "qid bigint, embedding array<float>")
+    pairs = qrels(spark, [(7, 1), (7, 2), (8, 1)])
+    out = jobs.validate_candidates(pairs, qrels(spark, [(7, 1), (99, 1)]), queries, docs)
+    assert out.first()["mrr_at_10"] == 0.25  # query 7 at rank 2, query 8 has no positive

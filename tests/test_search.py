@@ -40,6 +40,8 @@ def test_exact_search_both_ways(data, metric):
     assert grouped(search.exact_topk(q, d, 7, metric)) == want
     assert grouped(search.exact_topk(q, d, 7, metric, broadcast_rows=3)) == want
     assert grouped(search.grid_topk(q, d, 7, metric, query_rows=6, doc_rows=40)) == want
+    for rows in (5, 60):  # fewer and more than k
+        assert grouped(search.exact_topk(q, d, 7, metric, warm_up_rows=rows)) == want
 
 
 def test_ties_go_to_the_smaller_id(spark):
@@ -171,3 +173,5 @@ def test_last_token_and_offsets(spark):
     }
     out = {r["pid"]: (r["length"], r["start"]) for r in ranking.document_offsets(t, bits=2).collect()}
     assert out == {3: (2, 0), 5: (1, 2), 900: (3, 3)}
+    places = {r["position"]: r["pid"] for r in ranking.token_positions(t, bits=2).collect()}
+    assert places == {0: 3, 1: 3, 2: 5, 3: 900, 4: 900, 5: 900}

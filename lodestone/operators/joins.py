@@ -64,6 +64,7 @@ def weighted_lookup_join(
     already served carry a spread number that matches nothing and differs from
     row to row, so they do not pile up.
     """
+    lookup = lookup.filter(F.col(key).isNotNull())  # as the join asks; lets both uses share one exchange
     top = lookup.orderBy(F.col(weight).desc(), F.col(key)).limit(heavy)
     served = top.select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
     rest = lookup.select(key, F.lit(-1).alias("_spread"), *[F.col(c).alias(f"_cold_{c}") for c in payload])

@@ -42,27 +42,37 @@ def retriever_texts(rows: DataFrame, key: str, texts: str, retriever: str) -> Da
 # --- keywords ---------------------------------------------------------------
 
 
-def _term_counts(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf) and (term, df). Counts collapse inside the task that
-    holds the document before anything is shuffled."""
+def _weighted_terms(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, term, tf, idf) and the document frequencies (term, df).
+
+    Documents are placed by key first, so the counts of a document need no
+    further shuffle. Frequencies come from the distinct terms of each row and
+    collapse per task. The lookup of idf treats frequent words apart.
+    """
+    rows = docs.select(key, terms(F.col(text)).alias("_terms"))
+    df = (
+        rows.select(F.explode(F.array_distinct("_terms")).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"))
+    )
+    placed = docs.select(key, text).repartition(F.col(key))
     counted = (
-        docs.select(key, F.explode(terms(F.col(text))).alias("term"))
+        placed.select(key, F.explode(terms(F.col(text))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
-    return counted, counted.groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.agg(F.count("*")).scalar()
+    idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
+    return weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)]), df
 
 
 def tfidf_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): l2-normalised TF-IDF with smooth idf.
 
     idf = ln((1 + n) / (1 + df)) + 1 over lower-cased words of two or more word
-    characters. The lookup of df treats frequent words apart from the rest.
+    characters.
     """
-    counted, df = _term_counts(docs, key, text)
-    total = docs.agg(F.count("*")).scalar()
-    idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
-    weighed = weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)])
+    weighed, _ = _weighted_terms(docs, key, text)
     weighed = weighed.withColumn("raw", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return weighed.withColumn("weight", F.col("raw") / length)
@@ -76,24 +86,21 @@ def tfidf_keywords(docs: DataFrame, key: str, text: str, k: int = 1) -> DataFram
     corpus it does not hold, which all score zero. The length of a document
     does not change the order of its terms, so raw weights are compared.
     """
-    counted, df = _term_counts(docs, key, text)
-    total = docs.agg(F.count("*")).scalar()
-    idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
-    weighed = weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)])
+    weighed, df = _weighted_terms(docs, key, text)
     best = Window.partitionBy(key).orderBy((F.col("tf") * F.col("idf")).desc(), "term")
     top = weighed.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
     gathered = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_r", "term"))).alias("_top"))
     own = F.coalesce(F.transform("_top", lambda t: t["term"]), F.array().cast("array<string>"))
     # k absent terms lie among the first 2k terms of the corpus, as a short row holds fewer than k
-    head = df.select("term").orderBy("term").limit(2 * k)
-    first = head.agg(F.sort_array(F.collect_list("term"))).scalar()
+    head = df.filter(F.col("term").isNotNull()).orderBy("term").limit(2 * k)
+    first = head.agg(F.sort_array(F.collect_list(F.struct("term", "df")))).scalar()
     joined = docs.select(key).join(gathered, key, "left").withColumn("_first", first)
 
     def filled(v):
         fill = F.filter(v["first"], lambda t: ~F.array_contains(v["own"], t))
         return F.array_join(F.slice(F.concat(v["own"], fill), 1, k), " ")
 
-    return joined.select(key, let(filled, own=own, first=F.col("_first")).alias("keywords"))
+    return joined.select(key, let(filled, own=own, first=F.col("_first")["term"]).alias("keywords"))
 
 
 # --- prompts ---------------------------------------------------------------------

@@ -69,12 +69,16 @@ def retrieval_run(
     save_k: int = 1000,
     doc_max_len: int = 180,
     exclude_self: bool = False,
+    store: str | None = None,
 ) -> DataFrame:
     """(qid, pid, rank, score): probe the cells with every query token, gather
     the documents behind the hits and order them by late interaction.
 
     Token tables are (qid | pid, pos, vec, embedding); ``cells`` holds the
-    document tokens as (pid = vec, embedding, cell).
+    document tokens as (pid = vec, embedding, cell). With ``store``, a folder
+    all executors share, the candidates are written there between the two
+    stages: re-ranking reads them more than once, and a lost executor does not
+    repeat the search.
     """
     probes = query_tokens.select(F.col("vec").alias("qid"), "embedding")
     hits = search.probe_topk(probes, cells, centroids, search_k, nprobe, exclude_self)
@@ -83,6 +87,9 @@ def retrieval_run(
     found = ranking.candidate_documents(
         owned.select(F.col("_owner").alias("qid"), "vec"), doc_tokens.select("vec", "pid")
     )
+    if store is not None:
+        found.write.mode("errorifexists").parquet(store)
+        found = found.sparkSession.read.parquet(store)
     return ranking.late_interaction(
         found, query_tokens, doc_tokens, doc_max_len=doc_max_len, save_k=save_k
     )

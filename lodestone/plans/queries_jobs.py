@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chat
 from ..operators import examples, search
 from . import jobs
-from .queries_text import CHUNKS, COMPRESSED, PLAIN, QA_WITH_BACKGROUND, with_background
+from .queries_text import CHUNKS, COMPRESSED, PLAIN, QA_WITH_BACKGROUND, scratch, with_background
 from .queries_vectors import CELLS, DOT, assigned_cells, best
 from .registry import QA, as_docs, as_queries, label_means, prompt_tok, query, tok, trimmed, with_
 
@@ -84,6 +84,7 @@ def retrieval_run(t):
         nprobe=2,
         save_k=20,
         exclude_self=True,
+        store=scratch(t, "candidates"),
     )
 
 
@@ -108,4 +109,6 @@ def validate_candidates(t):
     qrels = t.embeddings.select("vec_id", F.col("vec_id").alias("pid")).select(
         (F.col("vec_id") - 1).alias("qid"), "pid"
     )
-    return jobs.validate_candidates(found.select("qid", "pid"), qrels, queries, docs)
+    path = scratch(t, "candidates")
+    found.select("qid", "pid").write.parquet(path)
+    return jobs.validate_candidates(t.spark.read.parquet(path), qrels, queries, docs)

@@ -8,7 +8,7 @@ from ..functions import chat, wording
 from ..functions.binding import let
 from ..functions.choice import fill, pick
 from ..functions.text import last_subsequence, strip, tokenize
-from .ordering import id_bucket, prefix_aggregates, seeded_shuffle
+from .ordering import id_bucket, prefix_aggregates, seeded_shuffle, with_position
 
 IGNORED = wording.IGNORED_LABEL
 EXAMPLE = "struct<input_tokens:array<string>,labels:array<string>>"
@@ -329,20 +329,32 @@ def instructed_prompt(prompt: Column, background: Column, key: Column, seed) ->
 # --- batches -----------------------------------------------------------------------
 
 
-def with_batch(df: DataFrame, key: str, batch_size: int, seed, epoch: int = 0, shuffle: bool = True) -> DataFrame:
-    """Add ``batch`` and ``slot`` after a seeded shuffle (or in key order)."""
-    from .ordering import with_position
+def with_batch(
+    df: DataFrame,
+    key: str,
+    batch_size: int,
+    seed,
+    epoch: int = 0,
+    shuffle: bool = True,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``batch`` and ``slot`` after a seeded shuffle (or in key order).
 
+    Places are found from the keys alone. Where ``df`` is costly to compute,
+    ``source`` names a table with the same keys to read them from.
+    """
+    keys = (df if source is None else source).select(key)
     placed = (
-        seeded_shuffle(df, key, seed, epoch)
+        seeded_shuffle(keys, key, seed, epoch)
         if shuffle
-        else with_position(df, [F.col(key)], id_bucket(F.col(key)))
+        else with_position(keys, [F.col(key)], id_bucket(F.col(key)))
     )
-    return (
-        placed.withColumn("batch", F.floor(F.col("position") / batch_size))
-        .withColumn("slot", F.pmod("position", F.lit(batch_size)).cast("int"))
-        .drop("position")
+    places = placed.select(
+        key,
+        F.floor(F.col("position") / batch_size).alias("batch"),
+        F.pmod("position", F.lit(batch_size)).cast("int").alias("slot"),
     )
+    return df.join(places, key)
 
 
 def pad_to(values: Column, width: Column, filler, side: str) -> Column:

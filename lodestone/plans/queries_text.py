@@ -638,7 +638,8 @@ def collate_pad(t):
     rows = ids.select(
         (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("key"), "ids", labels.alias("labels")
     )
-    batches = examples.collate(examples.with_batch(rows, "key", 4, 7))
+    keys = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("key"))
+    batches = examples.collate(examples.with_batch(rows, "key", 4, 7, source=keys))
     return batches.select(
         "key",
         "batch",
@@ -666,7 +667,8 @@ def trim_padding(t):
         t.documents, ["doc_id"], tokenize(F.col("text"), uncased=True), document_vocabulary(t), 180
     )
     wide = ids.select("doc_id", vocabulary.document_input(F.col("ids")).alias("ids"))
-    trimmed_rows = examples.trim_padding(examples.with_batch(wide, "doc_id", 8, 0, shuffle=False))
+    batched = examples.with_batch(wide, "doc_id", 8, 0, shuffle=False, source=t.documents)
+    trimmed_rows = examples.trim_padding(batched)
     return trimmed_rows.select(
         "doc_id", "batch", F.size("ids").alias("width"), numbers_joined("ids").alias("ids")
     )

@@ -61,6 +61,20 @@ def nfd(text: Column) -> Column:
     return F.coalesce(_decompose(foreign), text)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _decompose_all(lists: pd.Series) -> pd.Series:
+    def each(items):
+        return [None if s is None else unicodedata.normalize("NFD", s) for s in items]
+
+    return lists.map(lambda items: None if items is None else each(items))
+
+
+def nfd_all(texts: Column) -> Column:
+    """:func:`nfd` for every entry of an array."""
+    foreign = F.when(F.exists(texts, lambda s: s.rlike(r"[^\x00-\x7F]")), texts)
+    return F.coalesce(_decompose_all(foreign), texts)
+
+
 def normalize_answer(text: Column) -> Column:
     """Lower-case, drop ASCII punctuation, blank out articles, collapse spaces."""
     bare = F.translate(F.lower(text), PUNCTUATION, "")
@@ -113,9 +127,7 @@ def has_answer(answers: Column, text: Column, decompose: bool = True) -> Column:
     ``answers`` is an array of strings. Tokens are decomposed and lower-cased.
     """
     if decompose:
-        text = nfd(text)
-        joined = nfd(F.array_join(answers, "\u0002"))
-        answers = F.when(F.size(answers) > 0, F.split(joined, "\u0002")).otherwise(answers)
+        text, answers = nfd(text), nfd_all(answers)
 
     def found(v):
         def occurs(answer):

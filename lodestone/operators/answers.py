@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import wording
 from ..functions.text import (
-    contains_run,
     framed,
     has_answer,
     ngrams,

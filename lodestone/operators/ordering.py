@@ -15,6 +15,8 @@ from ..functions.choice import digest, leading_bits
 from .joins import lookup_join
 
 _FOLD = {"sum": F.sum, "max": F.max}
+# Rows without an order value come first, as they do in a sort.
+FIRST_BUCKET = -(2**63) + 1
 
 
 def id_bucket(key: Column, bits: int = 16) -> Column:
@@ -38,14 +40,14 @@ def prefix_aggregates(
     ``aggregates`` maps a new column to ("sum" | "max", expression). ``bucket``
     must not decrease along ``order``. Sums start at 0, maxima at null.
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_bucket", F.coalesce(bucket, F.lit(FIRST_BUCKET)))
     totals = rows.groupBy(*keys, "_bucket").agg(
         *[_FOLD[kind](value).alias(f"_total_{name}") for name, (kind, value) in aggregates.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
-        "_bucket",
+        *[F.col(key).alias(f"_key_{key}") for key in keys],
+        F.col("_bucket").alias("_key_bucket"),
         *[
             _FOLD[kind](f"_total_{name}").over(earlier).alias(f"_offset_{name}")
             for name, (kind, _) in aggregates.items()
@@ -54,7 +56,10 @@ def prefix_aggregates(
     within = (
         Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = rows.join(offsets, [*keys, "_bucket"])
+    same = F.col("_bucket") == F.col("_key_bucket")
+    for key in keys:  # rows without a key form a group, too
+        same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    joined = rows.join(offsets, same)
 
     def combined(name, kind, value):
         offset, inside = F.col(f"_offset_{name}"), _FOLD[kind](value).over(within)
@@ -89,7 +94,7 @@ def first_n(df: DataFrame, n: int, order: list[Column], bucket: Column) -> DataF
     Buckets are counted from the order columns alone; only rows of buckets that
     begin before the cut are shuffled, which are about ``n`` rows.
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_bucket", F.coalesce(bucket, F.lit(FIRST_BUCKET)))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     offsets = counted.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))

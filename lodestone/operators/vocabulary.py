@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import wording
 from ..functions.choice import leading_bits
-from ..functions.text import tokenize
 from .joins import weighted_lookup_join
 from .ordering import with_position
 
@@ -80,6 +79,3 @@ def attention(ids: Column, filler: int) -> Column:
     """1 where an id is not the filler, else 0."""
     return F.transform(ids, lambda i: (i != filler).cast("int"))
 
-
-def texts_with_tokens(df: DataFrame, key: str, text: str, uncased: bool = True) -> DataFrame:
-    return df.select(key, tokenize(F.col(text), uncased=uncased).alias("tokens"))

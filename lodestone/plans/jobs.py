@@ -35,12 +35,12 @@ def training_rows(
     if max_samples is not None:
         table = ordering.sample_n(table, "id", max_samples, seed)
     kept = instructions.exclude_types(table, excluded or [])
-    compressed, plain = examples.dual_views(
-        F.col("messages"), F.col("background"), embed_len, max_len, chunk_len
-    )
+    missing = F.raise_error(F.concat(F.lit("no background in row "), F.col("id"))).cast("string")
+    background = F.coalesce("background", missing)  # fill gaps with backfill_background first
+    compressed, plain = examples.dual_views(F.col("messages"), background, embed_len, max_len, chunk_len)
     encoded = kept.select(
         "id",
-        examples.chunk_tokens(tokenize(F.col("background")), max_len, chunk_len).alias("chunks"),
+        examples.chunk_tokens(tokenize(background), max_len, chunk_len).alias("chunks"),
         examples.messages_label_mask(compressed, max_len=max_len).alias("compressed"),
         examples.messages_label_mask(plain, max_len=max_len).alias("plain"),
     )

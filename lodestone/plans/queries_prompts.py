@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import chat, wording
-from ..functions.text import has_answer, tokenize
-from ..operators import answers, examples, prompts
-from .queries_text import CHUNKS, QA_WITH_BACKGROUND, with_background
+from ..functions import wording
+from ..functions.text import has_answer
+from ..operators import prompts
+from .queries_text import QA_WITH_BACKGROUND, with_background
 from .queries_vectors import DOT, all_pairs, best, topk
 from .registry import QA, VECTORS, prompt_tok, query, quoted, tok, trimmed, with_
 

@@ -45,6 +45,10 @@ def compare(spark, db, folder, name, build, sql):
     df = build(spark, folder)
     got = df.collect()
     spent = time.time() - start
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
+        if unwanted in plan:
+            return False, f"{unwanted} in the plan"
     if sql is None:
         return True, f"rows only: {len(got)} rows  {spent:.1f}s"
     start = time.time()

@@ -205,6 +205,8 @@ def test_training_batches(spark):
     batches = jobs.training_batches(out, "compressed", 4, seed=1).collect()
     for batch in {r["batch"] for r in batches}:
         assert len({len(r["ids"]) for r in batches if r["batch"] == batch}) == 1
+    with pytest.raises(Exception, match="no background in row"):
+        jobs.training_rows(table.withColumn("background", F.lit(None).cast("string"))).collect()
     # a cut that removes the answer from the plain view only drops the row
     assert jobs.training_rows(table, max_len=100).count() == 0
 

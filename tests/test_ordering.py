@@ -28,6 +28,16 @@ def test_prefix_aggregates_with_a_hot_key(spark):
         assert abs(got[i][0] - s) < 1e-9 and got[i][1] == m
 
 
+def test_rows_without_key_or_order_are_kept(spark):
+    rows = [(None, 1, 2.0), (None, 2, 3.0), ("a", None, 5.0), ("a", 7, 1.0)]
+    df = spark.createDataFrame(rows, "k string, i bigint, v double")
+    out = ordering.prefix_aggregates(
+        df, ["k"], [F.col("i")], ordering.id_bucket(F.col("i"), 0), {"s": ("sum", F.col("v"))}
+    )
+    got = {(r["k"], r["i"]): r["s"] for r in out.collect()}
+    assert got == {(None, 1): 0, (None, 2): 2.0, ("a", None): 0, ("a", 7): 5.0}
+
+
 def test_sample_is_exact_and_stable(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
     first = {r["k"] for r in ordering.sample_n(df, "k", 120, 7).collect()}

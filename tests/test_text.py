@@ -79,6 +79,7 @@ def test_has_answer(value):
     assert found(["..."], "wait... ok") and not found(["...."], "wait...")
     assert found(["café"], "le café")
     assert not found([], "anything")
+    assert found(["e\u0301t\u0002x", "café"], "un cafe\u0301")
 
 
 def test_stop_truncate(value):

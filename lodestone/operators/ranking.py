@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import vectors
-from .joins import lookup_join, skewed_join
+from .joins import skewed_join
 from .ordering import id_bucket, prefix_aggregates
 
 RECALL_CUTOFFS = [50, 200, 1000, 5000, 10_000]
@@ -163,8 +163,10 @@ def token_positions(tokens: DataFrame, bits: int = 16) -> DataFrame:
 
 
 def candidate_documents(token_hits: DataFrame, positions: DataFrame) -> DataFrame:
-    """Distinct (qid, pid) behind token hits (qid, vec); ``positions`` is (vec, pid)."""
-    return token_hits.select("qid", "vec").distinct().join(positions, "vec").select("qid", "pid").distinct()
+    """Distinct (qid, pid) behind token hits (qid, vec); ``positions`` is (vec, pid).
+    Very many queries may hit one vector."""
+    hits = token_hits.select("qid", "vec").distinct()
+    return skewed_join(hits, positions, "vec", [F.col("qid")]).select("qid", "pid").distinct()
 
 
 def _as_rows(tokens: DataFrame, key: str, limit: int, name: str) -> DataFrame:
@@ -243,11 +245,12 @@ def answer_repeated_once(questions: DataFrame, key: str, question: str, search)
     """Run ``search`` on the distinct questions and give every row its hits.
 
     ``search`` maps (question) to (question, ...hits). Hits are nested to one
-    row per distinct question first, so that the join back is many-to-one.
+    row per distinct question first, so that the join back is many-to-one; a
+    question asked very often is spread.
     """
     distinct = questions.select(question).distinct()
     hits = search(distinct)
     fields = [c for c in hits.columns if c != question]
     nested = hits.groupBy(question).agg(F.collect_list(F.struct(*fields)).alias("_hits"))
-    joined = lookup_join(questions, nested, [question], [F.col(key)])
+    joined = skewed_join(questions, nested, question, [F.col(key)])
     return joined.select(*questions.columns, F.inline("_hits"))

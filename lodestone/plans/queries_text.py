@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import chat, wording
@@ -38,13 +40,7 @@ def numbers_joined(column) -> F.Column:
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A fresh folder under the checkpoint folder of the session. Only a local
-    session without one gets a folder of its own."""
-    import tempfile
-    import uuid
-
-    if not t.spark.conf.get("spark.checkpoint.dir", None) and t.spark.sparkContext.master.startswith("local"):
-        t.spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lodestone-"))
+    """A fresh folder under the checkpoint folder of the session."""
     return f"{checkpoint_root(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,7 +21,5 @@ def local_session(name: str, cores: int | str = 8, **settings: str) -> SparkSess
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
-    if not spark.conf.get("spark.checkpoint.dir", None):  # a test run without a shared folder
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lodestone-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark

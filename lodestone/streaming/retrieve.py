@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,11 +12,17 @@ from ..operators.search import exact_topk
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; there is no machine-local fallback."""
+    """The shared folder the session names. Only a local session that names
+    none gets a folder of its own; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+    return context.getCheckpointDir()
 
 
 def retrieve_stream(

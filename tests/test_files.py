@@ -96,5 +96,26 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert got.count() == 36 and got.exceptAll(want).count() == 0
 
 
+class Stub:
+    """A session that names no checkpoint folder."""
+
+    def __init__(self, master):
+        self.master, self.folder, self.conf, self.sparkContext = master, None, self, self
+
+    def get(self, key, default):
+        return default
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
-    assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert checkpoint_root(spark) and (not named or checkpoint_root(spark) == named)
+    alone = Stub("local[2]")
+    assert checkpoint_root(alone) == checkpoint_root(alone) == alone.folder
+    with pytest.raises(ValueError, match="all executors share"):
+        checkpoint_root(Stub("yarn"))

@@ -33,6 +33,11 @@ def test_prompts_with_and_without_retrieval(value):
     assert value(shots) == "s\n\nx\n\ny\n\nz"
 
 
+def test_backgrounds_of_a_row_come_before_those_of_its_shots(value):
+    both = prompts.all_backgrounds(F.array(F.lit("own")), F.array(F.lit("s1"), F.lit("s2")))
+    assert value(both) == ["own", "s1", "s2"]
+
+
 def test_shots_shrink_to_fit(spark):
     dev = spark.createDataFrame([(i, "s" if i < 3 else "t", "w " * 10) for i in range(8)], "k int, subject string, q string")
     shots = prompts.first_shots(dev, "k", F.trim("q"), 5, "subject")

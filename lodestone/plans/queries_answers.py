@@ -245,7 +245,7 @@ def corpus_bleu(t):
         f="""SELECT g.n, CASE WHEN m.c IS NULL THEN 0 ELSE 2 * (m.c / len(lg)) * (m.c / len(rg)) / (m.c / len(lg) + m.c / len(rg)) END AS f
              FROM g LEFT JOIN m USING (key, n)""",
     )
-    + "SELECT n, round(avg(f), 6) AS rouge FROM f GROUP BY n",
+    + "SELECT n::BIGINT AS n, round(avg(f), 6) AS rouge FROM f GROUP BY ALL",
 )
 def rouge_n(t):
     pairs = qa_pairs(t)

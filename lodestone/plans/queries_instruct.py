@@ -148,7 +148,7 @@ def twin(name: str) -> str:
     row_id = f"'{prefix}_' || key"
     return rf"""SELECT '{name}' AS source, {row_id} AS id, '{task}' AS task_type,
       'user: ' || {filled(templates, row_id, question)} || E'\nassistant: ' || {answer} AS chat,
-      {background} AS background FROM (SELECT {source})"""
+      ({background})::VARCHAR AS background FROM (SELECT {source})"""
 
 
 COQA_TWIN = rf"""

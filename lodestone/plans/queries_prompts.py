@@ -17,7 +17,7 @@ WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 @query(
     "attach_background",
     with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 3))
-    + """SELECT qid, list_position([3, 1], rank) - 1 AS pos, coalesce(text, 'vector ' || pid) AS text
+    + """SELECT qid, (list_position([3, 1], rank) - 1)::BIGINT AS pos, coalesce(text, 'vector ' || pid) AS text
       FROM h LEFT JOIN documents ON doc_id = pid WHERE rank IN (1, 3)""",
 )
 def attach_background(t):
@@ -139,7 +139,7 @@ def compression_report(t):
 @query(
     "eval_record",
     with_(**TALK)
-    + f"""SELECT 'triviaqa' AS dataset, 4 AS batch_size, true AS include_retrieval,
+    + f"""SELECT 'triviaqa' AS dataset, 4::BIGINT AS batch_size, true AS include_retrieval,
       round(avg(len({prompt_tok('plain')})), 6) AS avg_prompt_length, 'some-model' AS model,
       'substring_match' AS metric,
       round(avg(contains(chr(1) || array_to_string({tok('lower(answer)')}, chr(1)) || chr(1), chr(1) || 'the' || chr(1))::INT), 6) AS score,

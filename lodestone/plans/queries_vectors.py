@@ -146,7 +146,7 @@ def assigned_cells(t, centroids=None):
 
 @query(
     "ivf_assign",
-    with_(**CELLS) + "SELECT vec_id AS pid, cell, round(distance, 6) AS distance FROM assigned",
+    with_(**CELLS) + "SELECT vec_id AS pid, cell::BIGINT AS cell, round(distance, 6) AS distance FROM assigned",
 )
 def ivf_assign(t):
     return assigned_cells(t).select("pid", "cell", "distance")
@@ -213,8 +213,8 @@ def compressed(t):
 @query(
     "pq_encode",
     with_(**CODES)
-    + """SELECT vec_id AS pid, cell, string_agg(code::VARCHAR, ' ' ORDER BY part) AS codes
-      FROM encoded GROUP BY vec_id, cell""",
+    + """SELECT vec_id AS pid, cell::BIGINT AS cell, string_agg(code::VARCHAR, ' ' ORDER BY part) AS codes
+      FROM encoded GROUP BY ALL""",
 )
 def pq_encode(t):
     codes, _, _ = compressed(t)
@@ -530,7 +530,7 @@ def ranking_roundtrip(t):
 @query(
     "merge_rankings",
     with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 10))
-    + """SELECT h.qid, h.pid, h.rank, (label >= 5)::INT AS worker, false AS repeated
+    + """SELECT h.qid, h.pid, h.rank, (label >= 5)::BIGINT AS worker, false AS repeated
       FROM h JOIN v ON v.vec_id = h.qid""",
 )
 def merge_rankings(t):

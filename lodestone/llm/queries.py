@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import sharding, toxicity
+from . import decontamination, page_text, personal_data, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,60 @@ def op7_toxicity(read):
     docs = read("documents")
     model = toxicity.train(docs, read("labels"))
     return toxicity.score(docs, model)
+
+
+@query("op5_personal_data")
+def op5_personal_data(read):
+    """Personal data in every document, by anchors."""
+    return personal_data.find(read("documents")).drop("redacted")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BENCHMARK_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    "op6_decontamination",
+    f"""
+    WITH item AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {BENCHMARK_WORDS} AS ws FROM benchmark),
+    sized AS (SELECT item, ws, least(10, len(ws))::BIGINT AS n FROM item WHERE len(ws) > 0),
+    pattern AS (
+      SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS words
+      FROM (SELECT item, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM sized)),
+    doc AS (
+      SELECT row_number() OVER () AS r, doc_id, {BENCHMARK_WORDS} AS ws FROM documents),
+    place AS (
+      SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS words
+      FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i
+            FROM doc, (SELECT DISTINCT n FROM pattern) WHERE len(ws) >= n)),
+    found AS (SELECT r, item, i, n FROM place JOIN pattern USING (n, words)),
+    hits AS (SELECT r, count(DISTINCT w) AS n_hit
+             FROM (SELECT r, unnest(range(i, i + n)) AS w FROM found) GROUP BY r),
+    items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+              FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+           coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+    """,
+)
+def op6_decontamination(read):
+    """Words of every document that lie in a window of a benchmark item."""
+    found = decontamination.contamination(read("documents"), read("benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+@query("op10_page_text")
+def op10_page_text(read):
+    """The main text of every page."""
+    return page_text.extract(read("pages"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, page_text, personal_data, sharding, toxicity
+from . import decontamination, page_text, personal_data, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,9 @@ def op6_decontamination(read):
 def op10_page_text(read):
     """The main text of every page."""
     return page_text.extract(read("pages"))
+
+
+@query("op4_near_copies")
+def op4_near_copies(read):
+    """Every document's fingerprint and the component of near copies it is in."""
+    return simhash.near_copies(read("documents"))

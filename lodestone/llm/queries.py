@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, page_text, personal_data, sharding, simhash, toxicity
+from . import decontamination, page_text, personal_data, repeats, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,10 @@ def op10_page_text(read):
 def op4_near_copies(read):
     """Every document's fingerprint and the component of near copies it is in."""
     return simhash.near_copies(read("documents"))
+
+
+@query("op1_repeats")
+def op1_repeats(read):
+    """What is left of every document without strings of 100 bytes seen before."""
+    found = repeats.without_repeats(read("documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, page_text, personal_data, repeats, sharding, simhash, toxicity
+from . import bpe, decontamination, page_text, personal_data, repeats, sharding, simhash, toxicity, warc
+from .tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,3 +115,44 @@ def op1_repeats(read):
     """What is left of every document without strings of 100 bytes seen before."""
     found = repeats.without_repeats(read("documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_bpe")
+def op3_bpe(read):
+    """Every document as tokens of a byte-level vocabulary, and back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(read("documents"), path), path)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "op2_warc",
+    f"""
+    WITH page AS (
+      SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+    digest AS (
+      SELECT page_id, payload, strlen(payload) AS payload_bytes,
+        array_to_string(list_transform(range(0, 32), lambda i:
+          '{warc.ALPHABET}'[(((('0x' || hex[5 * (i // 4) + 1:5 * (i // 4) + 5])::BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1]),
+          '') AS payload_digest
+      FROM page),
+    first AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS largest FROM digest)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+      CASE WHEN page_id IS NOT DISTINCT FROM largest THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+    FROM first
+    """,
+)
+def op2_warc(read):
+    """Every page written to archives, in segments, and read back."""
+    pages = read("pages")
+    path = shared_folder(pages.sparkSession)
+    warc.write(pages, path)
+    return warc.read(pages.sparkSession, path).drop("payload", "complete")

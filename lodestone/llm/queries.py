@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, page_text, personal_data, repeats, sharding, simhash, toxicity, warc
+from . import bpe, decontamination, page_text, personal_data, ranked_search, repeats, sharding, simhash, toxicity, warc
 from .tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,11 @@ def op2_warc(read):
     path = shared_folder(pages.sparkSession)
     warc.write(pages, path)
     return warc.read(pages.sparkSession, path).drop("payload", "complete")
+
+
+@query("op9_search")
+def op9_search(read):
+    """The ten best documents for every document whose id is divisible by 50."""
+    docs = read("documents")
+    queries = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return ranked_search.search(docs, queries)

@@ -124,6 +124,42 @@ def _hits(index: Index, data: np.ndarray, starts: np.ndarray, count: int):
     return np.diff(first), hit, first, items
 
 
+def item_blocks(items: DataFrame, window: int, gram: int, block_bytes: int):
+    """Number of blocks of items, and a function that gives a block's index."""
+    texts = items.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = max(1, -(-total // block_bytes))
+
+    def index_of(block: int) -> Index:
+        chosen = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(number)) == block).collect()
+        return Index([(r["item"], r["text"].encode()) for r in chosen], window, gram)
+
+    return number, index_of
+
+
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, block_bytes: int = 32 << 20
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have no window of an
+    item. Blocks of items are taken one after another, without a shuffle."""
+    number, index_of = item_blocks(items, window, gram, block_bytes)
+
+    def of_block(rows: DataFrame, index: Index) -> DataFrame:
+        def each(batch):
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for first, last, data, starts in blocks(column_bytes(batch, "text")):
+                clean[[first + d for d in _hits(index, data, starts, last - first)[3]]] = False
+            yield batch.filter(pa.array(clean))
+
+        return map_arrow(rows, each, docs.schema)
+
+    for block in range(number):
+        docs = of_block(docs, index_of(block))
+    return docs
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, block_bytes: int = 32 << 20
 ) -> DataFrame:
@@ -142,16 +178,11 @@ def contamination(
     null item_id reads as the empty text. Rows of the same doc_id are separate
     documents, and equal rows have equal results. Without items nothing is hit.
     """
-    texts = items.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = max(1, -(-total // block_bytes))
+    number, index_of = item_blocks(items, window, gram, block_bytes)
     rows = docs.select("doc_id", "text")
 
     def of_block(block: int) -> DataFrame:
-        chosen = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(number)) == block).collect()
-        index = Index([(r["item"], r["text"].encode()) for r in chosen], window, gram)
+        index = index_of(block)
 
         def each(batch):
             found = column_bytes(batch, "text")

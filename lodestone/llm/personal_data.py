@@ -181,3 +181,21 @@ def find(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
     return map_arrow(docs.select("doc_id", "text"), each, schema)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns, spans of every kind replaced in ``text``, and
+    ``n_chars``, where there is such a column, counted anew."""
+
+    def each(batch):
+        anchors = automaton()
+        texts = batch.column("text").to_pylist()
+        clean = [t and redact(t, spans_of(t, anchors)) for t in texts]
+        columns = {n: batch.column(n) for n in batch.schema.names}
+        columns["text"] = pa.array(clean, batch.column("text").type)
+        if "n_chars" in columns:
+            counts = [n if new == old else len(new) for n, new, old in zip(columns["n_chars"].to_pylist(), clean, texts)]
+            columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return map_arrow(docs, each, docs.schema)

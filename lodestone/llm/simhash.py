@@ -20,7 +20,8 @@ BITS = 64
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fingerprint (as a signed number) of every row.
+    """doc_id, a hash of the text, and the fingerprint (as a signed number) of
+    every row.
 
     Words are runs of other bytes than space and \\x09-\\x0D, after lower-casing
     A-Z; ``shingle`` consecutive words, joined by a space, are hashed (XXH64 of
@@ -36,11 +37,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             if words:
                 out[i] = _fingerprint(words, shingle)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fingerprint"]
+            [batch.column("doc_id"), batch.column("_mark"), pa.array(out.view(np.int64))],
+            names=["doc_id", "_mark", "fingerprint"],
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "text"), each, f"doc_id {kind}, fingerprint long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_mark"), "text")
+    return map_arrow(rows, each, f"doc_id {kind}, _mark long, fingerprint long")
 
 
 def _fingerprint(words: list[bytes], shingle: int) -> int:
@@ -167,15 +170,34 @@ def near_copies(docs: DataFrame, distance: int = 4, shingle: int = 4, count: int
     fingerprint, also empty and null ones, are one node from the start. Rows
     that repeat keep their own rows; an empty table gives none.
     """
-    prints = stored(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select("fingerprint"), distance, count))
-    rooted = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "root", F.coalesce("root", "fingerprint")
-    )
-    rooted = stored(rooted)
+    prints = stored(fingerprints(docs, shingle).drop("_mark"))
+    rooted = _rooted(prints, distance, count)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     table = rooted.join(smallest, "root").select("fingerprint", "component_id")
     return balanced_lookup(prints, table, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _rooted(prints: DataFrame, distance: int, count: int) -> DataFrame:
+    """(fingerprint, least, root): per fingerprint, the smallest doc_id that has
+    it and the smallest fingerprint it reaches."""
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    found = components(links(nodes.select("fingerprint"), distance, count))
+    rooted = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    return stored(rooted.withColumn("root", F.coalesce("root", "fingerprint")))
+
+
+def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4, count: int = 3) -> DataFrame:
+    """One row of each component of near copies, with all its columns: the one
+    with the smallest doc_id (a null id is the largest); among rows of that id the one with
+    the smallest hash of its text, and one of rows that agree in both."""
+    prints = stored(fingerprints(docs, shingle))
+    table = _rooted(prints, distance, count).select("fingerprint", "root")
+    placed = balanced_lookup(prints, table, "fingerprint")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")).alias("first")
+    chosen = placed.groupBy("root").agg(first).select("first.doc_id", "first._mark")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    chosen = chosen.distinct().select(F.col("doc_id").alias("_own"), F.col("_mark").alias("_own_mark"))
+    kept = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_text") == F.col("_own_mark")), "left_semi")
+    return kept.groupBy("_id", "_text").agg(F.first("row").alias("row")).select("row.*")

@@ -338,6 +338,33 @@ def _summaries_of(model: Model):
 # --- scoring ------------------------------------------------------------------------------
 
 
+def scores(model: Model, texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
+    """Score and spans of each text."""
+    value = np.full(len(texts), model.prior if model.prior is not None else 0.0)
+    spans = [""] * len(texts)
+    if model.prior is not None:
+        return value, spans
+    for first, last, data, starts in blocks(texts):
+        doc, begin, end, _, features = token_table(data, starts, last - first)
+        p = token_probabilities(model, features, doc) if len(doc) else np.empty(0)
+        x = np.column_stack([summaries(p, doc, last - first), np.ones(last - first)])
+        value[first:last] = 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30)))
+        for i in np.flatnonzero(p > 0.5):
+            d = int(doc[i])
+            mark = f"{begin[i] - starts[d]}:{end[i] - starts[d]}"
+            spans[first + d] += f",{mark}" if spans[first + d] else mark
+    return value, spans
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+
+    def each(batch):
+        yield batch.filter(pa.array(scores(model, column_bytes(batch, "text"))[0] < threshold))
+
+    return map_arrow(docs, each, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on) and
     spans: "start:end" byte offsets of tokens likelier toxic than not, joined by
@@ -346,19 +373,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     the empty text and is held out."""
 
     def each(batch):
-        texts = column_bytes(batch, "text")
-        value = np.full(len(texts), model.prior if model.prior is not None else 0.0)
-        spans = [""] * len(texts)
-        if model.prior is None:
-            for first, last, data, starts in blocks(texts):
-                doc, begin, end, _, features = token_table(data, starts, last - first)
-                p = token_probabilities(model, features, doc) if len(doc) else np.empty(0)
-                x = np.column_stack([summaries(p, doc, last - first), np.ones(last - first)])
-                value[first:last] = 1 / (1 + np.exp(-np.clip(x @ model.calibration, -30, 30)))
-                for i in np.flatnonzero(p > 0.5):
-                    d = int(doc[i])
-                    mark = f"{begin[i] - starts[d]}:{end[i] - starts[d]}"
-                    spans[first + d] += f",{mark}" if spans[first + d] else mark
+        value, spans = scores(model, column_bytes(batch, "text"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(value),
              pa.array((value >= threshold).astype(np.int32)), pa.array(spans)],

@@ -9,7 +9,6 @@ from ..functions import wording
 from ..functions.text import (
     framed,
     has_answer,
-    ngrams,
     nfd,
     normalize_answer,
     tokenize,
@@ -60,78 +59,84 @@ def find_answers(docs: DataFrame, answers: DataFrame, small_rows: int = 20_000,
     """(item_id, doc_id): documents that hold an answer as a token run.
 
     ``docs`` is (doc_id, text), ``answers`` is (item_id, answer), both large.
-    Each answer is looked up by its longest token only and the hits are then
-    checked in full, so no document meets an answer it shares no rare word
-    with. An answer without tokens matches every document by definition and is
-    listed by :func:`empty_answers` instead.
+    Each answer is looked up by the token that the fewest documents have, and
+    the hits are then checked in full, so no document meets an answer it shares
+    no rare word with. An answer without tokens is found in every document;
+    it has one row here, with a null doc_id that stands for all of them.
 
     A few answers are broadcast and checked while the document row is at hand.
-    Many answers are salted against common tokens, and only the ids of hits
-    are shuffled before the check.
+    Many answers are salted against common tokens and travel with their hits,
+    and only the ids of hits are shuffled before the check.
     """
     lists = answers.select("item_id", tokenize(nfd(F.col("answer")), uncased=True).alias("_run"))
-    longest = F.array_sort(F.transform("_run", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    keyed = lists.filter(F.size("_run") > 0).select(
-        "item_id", F.get(longest, F.lit(0))["t"].alias("token"), framed(F.col("_run")).alias("_needle")
+    runs = lists.filter(F.size("_run") > 0).select(
+        "item_id", framed(F.col("_run")).alias("_needle"), F.array_distinct("_run").alias("_words")
     )
+    everywhere = lists.filter(F.size("_run") <= 0).select("item_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
     parsed = docs.select("doc_id", tokenize(nfd(F.col("text")), uncased=True).alias("_tokens"))
     framed_docs = parsed.select("doc_id", "_tokens", framed(F.col("_tokens")).alias("_haystack"))
-    occurs = F.contains(F.col("_haystack"), F.col("_needle"))
-    local = small_copy(keyed, small_rows)
+    exploded = parsed.select("doc_id", F.explode(F.array_distinct("_tokens")).alias("token"))
+    local = small_copy(runs, small_rows)
+    runs = runs if local is None else local
+    spread = runs.select("item_id", "_needle", F.explode("_words").alias("token"))
+    asked = spread.select("token").distinct()
+    # partial counts come first, so a common word is no hot key
+    known = exploded.join(F.broadcast(asked) if local is not None else asked, "token", "left_semi")
+    counts = known.groupBy("token").agg(F.count("*").alias("_df"))
+    rarity = F.struct(F.coalesce("_df", F.lit(0)), "token")
+    keyed = (
+        spread.join(counts, "token", "left")
+        .groupBy("item_id", "_needle")
+        .agg(F.min_by("token", rarity).alias("token"), F.min(F.coalesce("_df", F.lit(0))).alias("_least"))
+        .filter("_least > 0")  # a word of the answer that no document has
+        .drop("_least")
+    )
     if local is not None:
-        keyed = local
         by_token = keyed.groupBy("token").agg(F.collect_list(F.struct("item_id", "_needle")).alias("_items"))
-        exploded = framed_docs.select(
-            "doc_id", "_haystack", F.explode(F.array_distinct("_tokens")).alias("token")
-        )
-        met = exploded.join(F.broadcast(by_token), "token")
+        rows = framed_docs.select("doc_id", "_haystack", F.explode(F.array_distinct("_tokens")).alias("token"))
+        met = rows.join(F.broadcast(by_token), "token")  # at most small_rows answers
         checked = met.select(
-            "doc_id", F.explode(F.filter("_items", lambda i: F.contains(F.col("_haystack"), i["_needle"])))
+            "doc_id", F.explode(F.filter("_items", lambda i: F.contains(F.col("_haystack"), i["_needle"]))).alias("i")
         )
-        return checked.select(F.col("col")["item_id"].alias("item_id"), "doc_id")
-    exploded = parsed.select("doc_id", F.explode(F.array_distinct("_tokens")).alias("token"))
-    salted_docs = exploded.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    salted_keys = keyed.select(
-        "item_id", "token", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    )
-    pairs = salted_docs.join(salted_keys, ["token", "_salt"]).select("item_id", "doc_id")
-    return (
-        pairs.join(framed_docs.select("doc_id", "_haystack"), "doc_id")
-        .join(keyed.select("item_id", "_needle"), "item_id")
-        .filter(occurs)
-        .select("item_id", "doc_id")
-    )
+        found = checked.select("i.item_id", "doc_id")
+    else:
+        salted_docs = exploded.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+        salted_keys = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = salted_docs.join(salted_keys, ["token", "_salt"]).select("item_id", "_needle", "doc_id")
+        held = pairs.join(framed_docs.select("doc_id", "_haystack"), "doc_id")
+        found = held.filter(F.contains(F.col("_haystack"), F.col("_needle"))).select("item_id", "doc_id")
+    return found.distinct().unionByName(everywhere)
+
 
+# --- overlap of token bags ------------------------------------------------------------
 
-def empty_answers(answers: DataFrame) -> DataFrame:
-    """Items whose answer has no tokens; such an answer is found in any text."""
-    return answers.filter(F.size(tokenize(F.col("answer"))) == 0).select("item_id")
 
+OVERLAP = "array<struct<common:bigint,n_left:bigint,n_right:bigint>>"
 
-# --- overlap of token bags ------------------------------------------------------------
 
+def bag_overlap(left: Column, right: Column, orders: int = 1) -> Column:
+    """For the items, and the runs of 2 to ``orders`` items, of two lists in one
+    row: how many they share, counting repeats, and how many each has. Rows
+    are counted where they lie."""
 
-def bag_overlap(pairs: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
-    """(keys, common, n_left, n_right): multiset overlap of two lists per row.
+    @F.pandas_udf(OVERLAP)
+    def overlap(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        from collections import Counter
 
-    Both lists are exploded once, with a flag for the side. All tokens of a row
-    start in one task, so the counts collapse before anything is shuffled.
-    """
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    items = F.concat(
-        F.transform(left, lambda t: F.struct(t.alias("t"), one.alias("l"), none.alias("r"))),
-        F.transform(right, lambda t: F.struct(t.alias("t"), none.alias("l"), one.alias("r"))),
-    )
-    counted = (
-        pairs.select(*keys, F.inline_outer(items))
-        .groupBy(*keys, "t")
-        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    )
-    return counted.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.least("l", "r")), none).alias("common"),
-        F.coalesce(F.sum("l"), none).alias("n_left"),
-        F.coalesce(F.sum("r"), none).alias("n_right"),
-    )
+        def runs(items, n):
+            return Counter(items if n == 1 else zip(*[items[i:] for i in range(n)]))
+
+        def both(a, b):
+            a, b = [] if a is None else list(a), [] if b is None else list(b)
+            out = []
+            for n in range(1, orders + 1):
+                common = (runs(a, n) & runs(b, n)).total()
+                out.append((common, max(0, len(a) - n + 1), max(0, len(b) - n + 1)))
+            return out
+
+        return pd.Series([both(a, b) for a, b in zip(lefts, rights)])
+
+    return overlap(left, right)
 
 
 def f_measure(common: Column, n_left: Column, n_right: Column) -> Column:
@@ -139,11 +144,16 @@ def f_measure(common: Column, n_left: Column, n_right: Column) -> Column:
     return F.when(common == 0, F.lit(0.0)).otherwise(2 * precision * rec / (precision + rec))
 
 
+def _bag_f1(bag: Column) -> Column:
+    return f_measure(bag["common"], bag["n_left"], bag["n_right"])
+
+
 def _best_f1(rows: DataFrame, key: str, prediction: str, answers: str, split, name: str) -> DataFrame:
-    flat = rows.select(key, prediction, F.posexplode(answers).alias("_answer", "_gold"))
-    bags = bag_overlap(flat, [key, "_answer"], split(F.col(prediction)), split(F.col("_gold")))
-    f1 = f_measure(F.col("common"), F.col("n_left"), F.col("n_right"))
-    return bags.groupBy(key).agg(F.max(f1).alias(name))
+    """A row without answers scores 0."""
+    flat = rows.select(key, prediction, F.posexplode_outer(answers).alias("_answer", "_gold"))
+    bag = F.get(bag_overlap(split(F.col(prediction)), split(F.col("_gold"))), F.lit(0))
+    scored = flat.select(key, F.when(F.col("_gold").isNull(), F.lit(0.0)).otherwise(_bag_f1(bag)).alias("_f1"))
+    return scored.groupBy(key).agg(F.max("_f1").alias(name))
 
 
 def token_f1(rows: DataFrame, key: str, prediction: str, answers: str) -> DataFrame:
@@ -177,19 +187,27 @@ def lcs_length(a: list, b: list) -> int:
 
 
 def lcs_places(a: list, b: list) -> set[int]:
-    """Positions in ``a`` of one longest common subsequence."""
-    rows = [[0] * (len(b) + 1)]
-    for item in a:
-        above, row = rows[-1], [0]
-        for j, other in enumerate(b):
-            row.append(above[j] + 1 if item == other else max(above[j + 1], row[j]))
-        rows.append(row)
+    """Positions in ``a`` of one longest common subsequence. Keeps a bit row per
+    item of ``b`` and walks back over them."""
+    places: dict = {}
+    for i, item in enumerate(a):
+        places[item] = places.get(item, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    rows = [full]
+    for item in b:
+        free = rows[-1]
+        hit = free & places.get(item, 0)
+        rows.append(((free + hit) | (free - hit)) & full)
+
+    def longest(i, j):  # of the first i and the first j items
+        return i - (rows[j] & ((1 << i) - 1)).bit_count()
+
     found, i, j = set(), len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
             found.add(i - 1)
             i, j = i - 1, j - 1
-        elif rows[i][j - 1] > rows[i - 1][j]:
+        elif longest(i, j - 1) > longest(i - 1, j):
             j -= 1
         else:
             i -= 1
@@ -267,9 +285,9 @@ def truthful_scores(rows: DataFrame, key: str, prediction: str, answers: str) ->
 
 def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int) -> DataFrame:
     """(key, f): n-gram F of lower-cased tokens, without stemming."""
-    left, right = (ngrams(tokenize(F.col(c), uncased=True), n) for c in (prediction, reference))
-    bags = bag_overlap(pairs, [key], left, right)
-    return bags.select(key, f_measure(F.col("common"), F.col("n_left"), F.col("n_right")).alias("f"))
+    left, right = (tokenize(F.col(c), uncased=True) for c in (prediction, reference))
+    bags = pairs.select(key, F.get(bag_overlap(left, right, n), F.lit(n - 1)).alias("bag"))
+    return bags.select(key, _bag_f1(F.col("bag")).alias("f"))
 
 
 def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, order: int = 4) -> DataFrame:
@@ -279,28 +297,10 @@ def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, ord
     Orders without any match are smoothed by halving: the first such order
     counts 1/2 match, the next 1/4, and so on. The score is out of 100.
     """
-    parsed = pairs.select(
-        key, tokenize(F.col(prediction)).alias("_left"), tokenize(F.col(reference)).alias("_right")
-    )
-    per_order = parsed.select(
-        key,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(n).alias("n"),
-                        ngrams(F.col("_left"), n).alias("_l"),
-                        ngrams(F.col("_right"), n).alias("_r"),
-                    )
-                    for n in range(1, order + 1)
-                ]
-            )
-        ),
-    )
-    bags = bag_overlap(per_order, [key, "n"], F.col("_l"), F.col("_r"))
-    sums = bags.groupBy().agg(
+    bags = pairs.select(bag_overlap(tokenize(F.col(prediction)), tokenize(F.col(reference)), order).alias("bags"))
+    sums = bags.agg(
         *[
-            F.sum(F.when(F.col("n") == n, F.col(column))).alias(f"{column}_{n}")
+            F.sum(F.col("bags")[n - 1][column]).alias(f"{column}_{n}")
             for n in range(1, order + 1)
             for column in ("common", "n_left", "n_right")
         ]

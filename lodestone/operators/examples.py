@@ -8,7 +8,7 @@ from ..functions import chat, wording
 from ..functions.binding import let
 from ..functions.choice import fill, pick
 from ..functions.text import last_subsequence, strip, tokenize
-from .ordering import id_bucket, prefix_aggregates, seeded_shuffle, with_position
+from .ordering import id_bucket, prefix_aggregates, range_bucket, seeded_shuffle, with_position
 
 IGNORED = wording.IGNORED_LABEL
 EXAMPLE = "struct<input_tokens:array<string>,labels:array<string>>"
@@ -347,7 +347,7 @@ def with_batch(
     placed = (
         seeded_shuffle(keys, key, seed, epoch)
         if shuffle
-        else with_position(keys, [F.col(key)], id_bucket(F.col(key)))
+        else with_position(keys, [F.col(key)], range_bucket(keys, key))
     )
     places = placed.select(
         key,

@@ -31,8 +31,7 @@ class SourceSpec:
     """How one source becomes chats.
 
     ``question`` and ``answer`` are SQL expressions; with ``multi_turn`` they
-    are arrays of equal length. ``where`` keeps rows, ``head`` keeps the first
-    rows by key.
+    are arrays of equal length. ``where`` keeps rows.
     """
 
     task_type: str
@@ -41,7 +40,6 @@ class SourceSpec:
     background: str | None = None
     template: str = "qa"
     where: str | None = None
-    head: int | None = None
     multi_turn: bool = False
     prefix: str | None = None
 
@@ -63,7 +61,7 @@ SOURCES = {
         "open_qa", f"concat(RawQuestion, {NEWLINE})", "get(get(get(Parses.Answers, 0).AnswersName, 0), 0)"
     ),
     "ms_marco": SourceSpec(
-        "open_qa", f"concat(ltrim(')', query), {NEWLINE})", "get(answers, 0)", head=100_000
+        "open_qa", f"concat(ltrim(')', query), {NEWLINE})", "get(answers, 0)"
     ),
     "coqa": SourceSpec(
         "close_qa",
@@ -93,7 +91,7 @@ SOURCES = {
         "close_qa", "question", f'coalesce(get(answers.text, 0), "{wording.UNANSWERABLE}")', "context"
     ),
     "cnn_dailymail": SourceSpec(
-        "summarization", "''", "highlights", "article", template="summary", head=100_000
+        "summarization", "''", "highlights", "article", template="summary"
     ),
     "samsum": SourceSpec(
         "summarization", "''", "summary", "replace(dialogue, '\\r\\n', '\\n')", template="summary"
@@ -136,15 +134,18 @@ def _multi_turn(template: Column, spec: SourceSpec) -> Column:
     )
 
 
-def to_instruction(df: DataFrame, source: str, key: str = "key", seed: str | int = 0) -> DataFrame:
+def to_instruction(
+    df: DataFrame, source: str, key: str = "key", seed: str | int = 0, head: int | None = None
+) -> DataFrame:
     """Rows of one source as (id, messages, task_type, background).
 
     The id is the source name and the row's key; the template follows from seed
-    and id, so the same row always reads the same.
+    and id, so the same row always reads the same. With ``head`` only the first
+    rows by key are taken; all rows are the default.
     """
     spec = SOURCES[source]
-    if spec.head is not None:
-        df = head_n(df, key, spec.head)
+    if head is not None:
+        df = head_n(df, key, head)
     if spec.where is not None:
         df = df.filter(spec.where)
     row_id = F.concat_ws("_", F.lit(spec.prefix or source), F.col(key).cast("string"))
@@ -159,10 +160,14 @@ def to_instruction(df: DataFrame, source: str, key: str = "key", seed: str | int
     )
 
 
-def instruction_table(sources: dict[str, DataFrame], key: str = "key", seed: str | int = 0) -> DataFrame:
-    """All sources in one table, with the source name."""
+def instruction_table(
+    sources: dict[str, DataFrame], key: str = "key", seed: str | int = 0, heads: dict[str, int] | None = None
+) -> DataFrame:
+    """All sources in one table, with the source name. ``heads`` limits single
+    sources to their first rows by key."""
     parts = [
-        to_instruction(df, name, key, seed).withColumn("source", F.lit(name)) for name, df in sources.items()
+        to_instruction(df, name, key, seed, (heads or {}).get(name)).withColumn("source", F.lit(name))
+        for name, df in sources.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import chat, wording
@@ -27,10 +28,20 @@ def attach_background(rows: DataFrame, key: str, retrieved: DataFrame, ranks: li
     return joined.withColumn("background", checked).drop("_b")
 
 
+def _named(retriever: str, names) -> bool:
+    return retriever.lower() in {n.lower() for n in names}
+
+
+def prefixed_passage(text: Column, retriever: str) -> Column:
+    """The text as a prompt shows it for a given retriever: with its prefix."""
+    found = [p for name, p in wording.PASSAGE_PREFIXES.items() if name.lower() == retriever.lower()]
+    return F.concat(F.lit(found[0] if found else ""), text)
+
+
 def passage_text(text: Column, retriever: str) -> Column:
-    """The text as a given retriever wants it: with its prefix or its end mark."""
-    prefixed = F.concat(F.lit(wording.PASSAGE_PREFIXES.get(retriever, "")), text)
-    return F.concat(prefixed, F.lit(wording.EOS)) if retriever in wording.PASSAGE_EOS_MODELS else prefixed
+    """The text as a given retriever's encoder wants it: with its prefix or its end mark."""
+    prefixed = prefixed_passage(text, retriever)
+    return F.concat(prefixed, F.lit(wording.EOS)) if _named(retriever, wording.PASSAGE_EOS_MODELS) else prefixed
 
 
 def retriever_texts(rows: DataFrame, key: str, texts: str, retriever: str) -> DataFrame:
@@ -45,27 +56,29 @@ def retriever_texts(rows: DataFrame, key: str, texts: str, retriever: str) -> Da
 def _weighted_terms(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(key, term, tf, idf) and the document frequencies (term, df).
 
-    Documents are placed by key first, so the counts of a document need no
-    further shuffle. Frequencies come from the distinct terms of each row and
-    collapse per task. The lookup of idf treats frequent words apart.
+    A document is one row, so its terms are counted where it lies, and only
+    (key, term, tf) goes on. Document frequencies collapse per task. The lookup
+    of idf treats frequent words apart.
     """
-    rows = docs.select(key, terms(F.col(text)).alias("_terms"))
-    df = (
-        rows.select(F.explode(F.array_distinct("_terms")).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-    )
-    placed = docs.select(key, text).repartition(F.col(key))
-    counted = (
-        placed.select(key, F.explode(terms(F.col(text))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    counted = docs.select(key, F.inline(term_counts(terms(F.col(text)))))
+    df = counted.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*")).scalar()
     idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
     return weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)]), df
 
 
+def term_counts(items: Column) -> Column:
+    """The distinct items of a list, and how often each occurs."""
+
+    @F.pandas_udf("array<struct<term:string,tf:bigint>>")
+    def counted(lists: pd.Series) -> pd.Series:
+        from collections import Counter
+
+        return pd.Series([[] if x is None else list(Counter(x).items()) for x in lists])
+
+    return counted(items)
+
+
 def tfidf_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): l2-normalised TF-IDF with smooth idf.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import vectors
 from .joins import skewed_join
-from .ordering import id_bucket, prefix_aggregates
+from .ordering import prefix_aggregates, range_bucket
 
 RECALL_CUTOFFS = [50, 200, 1000, 5000, 10_000]
 
@@ -42,12 +42,18 @@ def mean_reciprocal_rank(marked: DataFrame, queries: DataFrame, cutoff: int = 10
     return queries.select("qid").join(first, "qid", "left").agg(F.avg(gain).alias(f"mrr_at_{cutoff}"))
 
 
-def recall(marked: DataFrame, queries: DataFrame, cutoffs: list[int] | None = None) -> DataFrame:
+def recall(
+    marked: DataFrame, queries: DataFrame, cutoffs: list[int] | None = None, depth: int | None = None
+) -> DataFrame:
     """One row with recall at every cutoff. ``queries`` is (qid, n_positive).
 
-    A document listed twice for a query counts once, at its better rank.
+    A document listed twice for a query counts once, at its better rank. A
+    cutoff beyond ``depth``, the number of hits the ranking was cut at, is an
+    error.
     """
     cutoffs = cutoffs or RECALL_CUTOFFS
+    if depth is not None and max(cutoffs) > depth:
+        raise ValueError(f"recall at {max(cutoffs)} needs as many hits; the ranking was cut at {depth}")
     best = marked.filter("positive").groupBy("qid", "pid").agg(F.min("rank").alias("rank"))
     hits = best.groupBy("qid").agg(
         *[F.count(F.when(F.col("rank") <= c, 1)).alias(f"hits_{c}") for c in cutoffs]
@@ -61,12 +67,25 @@ def recall(marked: DataFrame, queries: DataFrame, cutoffs: list[int] | None = No
     )
 
 
-def score_run(ranking: DataFrame, qrels: DataFrame, cutoff: int = 10, cutoffs: list[int] | None = None) -> DataFrame:
-    """All ranking metrics as (metric, value) rows."""
+def score_run(
+    ranking: DataFrame,
+    qrels: DataFrame,
+    cutoff: int = 10,
+    cutoffs: list[int] | None = None,
+    depth: int | None = None,
+    check_queries: bool = True,
+) -> DataFrame:
+    """All ranking metrics as (metric, value) rows. A query that only the
+    ranking or only the judgements know is an error, unless ``check_queries``
+    is off."""
+    if check_queries:
+        odd = [r["qid"] for r in unmatched_queries(ranking, qrels).limit(5).collect()]
+        if odd:
+            raise ValueError(f"ranking and judgements don't have the same queries, for example {odd}")
     marked = mark_positives(ranking, qrels)
     queries = positives_per_query(qrels)
     parts = []
-    for table in (mean_reciprocal_rank(marked, queries, cutoff), recall(marked, queries, cutoffs)):
+    for table in (mean_reciprocal_rank(marked, queries, cutoff), recall(marked, queries, cutoffs, depth)):
         parts.append(table.unpivot([], table.columns, "metric", "value"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -83,13 +102,12 @@ def repeated_queries(merged: DataFrame) -> DataFrame:
     return workers.filter("first <> last").select("qid")
 
 
-def with_probabilities(ranking: DataFrame, k: int = 10, most: int = 100) -> DataFrame:
-    """The first ``k`` hits (at most ``most``) with their softmax share.
+def with_probabilities(ranking: DataFrame, k: int = 10) -> DataFrame:
+    """The first ``k`` hits with their softmax share.
 
     The largest score is taken off before the exponential, which leaves the
     shares as they are and cannot overflow.
     """
-    k = min(k, most)
     query = Window.partitionBy("qid")
     cut = ranking.filter(F.col("rank") <= k).withColumn(
         "_weight", F.exp(F.col("score") - F.max("score").over(query))
@@ -98,9 +116,10 @@ def with_probabilities(ranking: DataFrame, k: int = 10, most: int = 100) -> Data
 
 
 def fetch_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """``hits`` with the columns of ``docs`` (pid, ...), one row per hit. A document
-    that very many queries hit is repeated instead of drawing them all together."""
-    return skewed_join(hits, docs, "pid", [F.col("qid")])
+    """``hits`` with the columns of ``docs`` (pid, ...), one row per hit; a hit
+    without a document keeps its row, with nulls. A document that very many
+    queries hit is repeated instead of drawing them all together."""
+    return skewed_join(hits, docs, "pid", [F.col("qid")], "left")
 
 
 def responses(hits: DataFrame) -> DataFrame:
@@ -146,18 +165,18 @@ def last_token_vector(tokens: DataFrame) -> DataFrame:
     )
 
 
-def document_offsets(tokens: DataFrame, bits: int = 16) -> DataFrame:
+def document_offsets(tokens: DataFrame) -> DataFrame:
     """(pid, length, start): how many vectors a document has and where they begin."""
     lengths = tokens.groupBy("pid").agg(F.count("*").alias("length"))
     return prefix_aggregates(
-        lengths, [], [F.col("pid")], id_bucket(F.col("pid"), bits), {"start": ("sum", F.col("length"))}
+        lengths, [], [F.col("pid")], range_bucket(tokens, "pid"), {"start": ("sum", F.col("length"))}
     )
 
 
-def token_positions(tokens: DataFrame, bits: int = 16) -> DataFrame:
+def token_positions(tokens: DataFrame) -> DataFrame:
     """(position, pid, pos): the place of every token vector when the documents
     are laid out one after another."""
-    starts = document_offsets(tokens, bits).select("pid", "start")
+    starts = document_offsets(tokens).select("pid", "start")
     placed = tokens.select("pid", "pos").join(starts, "pid")
     return placed.select((F.col("start") + F.col("pos")).alias("position"), "pid", "pos")
 
@@ -190,32 +209,40 @@ def late_interaction(
 
     A document shorter than ``doc_max_len`` is padded with zero scores, so each
     of its maxima is at least 0; a document of full length has no such floor.
-    A candidate is one row with both token matrices; no token pair becomes a row.
+    A candidate first gets its query's matrix, the smaller one, and moves to its
+    document with it; a document that very many queries found is repeated
+    rather than drawing them together. Documents are sent once, and only
+    (qid, pid, score) goes on from there. Candidates are scored in blocks, as
+    one product of padded arrays; no token pair becomes a row.
     """
     pairs = candidates.select("qid", "pid")
-    wanted = doc_tokens.join(pairs.select("pid").distinct(), "pid", "left_semi")
-    docs = _as_rows(wanted, "pid", doc_max_len, "doc")
-    with_docs = skewed_join(pairs, docs, "pid", [F.col("qid")])
     queries = _as_rows(query_tokens, "qid", query_max_len, "query")
-    joined = with_docs.join(queries, "qid")  # a query has a bounded number of candidates
-
-    def score(batches):
-        for batch in batches:
-            columns = {name: batch.column(name) for name in ("query", "query_n", "doc", "doc_n")}
-            scores = np.empty(batch.num_rows)
-            for row in range(batch.num_rows):
-                q, d = (
-                    columns[side][row]
-                    .values.to_numpy(zero_copy_only=False)
-                    .astype(np.float64)
-                    .reshape(columns[f"{side}_n"][row].as_py(), -1)
-                    for side in ("query", "doc")
+    docs = _as_rows(doc_tokens, "pid", doc_max_len, "doc")
+    asked = pairs.join(queries, "qid")  # a query has a bounded number of candidates
+    joined = skewed_join(asked, docs, "pid", [F.col("qid")])
+
+    def padded(column, counts, length):
+        """Matrices of a list column, as one array with zeros after the last token."""
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        width = len(flat) // int(counts.sum())
+        out = np.zeros((len(counts), length, width))
+        out[np.arange(length)[None, :] < counts[:, None]] = flat.reshape(-1, width)
+        return out
+
+    def score(batches, rows=256):
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                q_n, d_n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("query_n", "doc_n"))
+                q = padded(batch.column("query"), q_n, int(q_n.max()))
+                # one zero token stands for the padding; a full document has none
+                d = padded(batch.column("doc"), d_n, min(int(d_n.max()) + 1, doc_max_len))
+                best = np.matmul(q, d.transpose(0, 2, 1)).max(axis=2)
+                short = d_n[:, None] < doc_max_len
+                scores = np.where(short, np.maximum(best, 0.0), best).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("qid"), batch.column("pid"), pa.array(scores)], names=["qid", "pid", "score"]
                 )
-                best = (q @ d.T).max(axis=1)
-                scores[row] = (np.maximum(best, 0.0) if len(d) < doc_max_len else best).sum()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("qid"), batch.column("pid"), pa.array(scores)], names=["qid", "pid", "score"]
-            )
 
     scored = joined.mapInArrow(score, "qid bigint, pid bigint, score double")
     best_first = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")

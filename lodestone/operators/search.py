@@ -11,36 +11,67 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .joins import BROADCAST_BYTES, lookup_join
+from ..functions.choice import leading_bits
+from ..storage import stored
+from .joins import BROADCAST_BYTES, lookup_join, small_copy
 
 HITS = "qid bigint, pid bigint, score double"
 BLOCK_CELLS = 4_000_000  # scores held at once: 32 MB
+BLOCK_BYTES = 64 * 1024 * 1024  # vectors of a block, as doubles
 
 
 def matrix(table, column: str = "embedding") -> np.ndarray:
-    """An Arrow list column as a 2-d double array."""
+    """An Arrow list column as a 2-d double array. Null vectors and vectors of
+    different widths are an error."""
     values = table.column(column)
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
+    if values.null_count:
+        raise ValueError(f"{values.null_count} of {len(values)} vectors in {column!r} are null")
+    widths = pc.unique(pc.list_value_length(values))
+    if len(widths) > 1:
+        raise ValueError(f"vectors in {column!r} differ in width: {sorted(widths.to_pylist())}")
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
 def goodness(queries: np.ndarray, docs: np.ndarray, metric: str) -> np.ndarray:
-    """Score matrix, larger is better (distances come out negative)."""
+    """Score matrix, larger is better (squared distances come out negative).
+
+    The cosine with a vector of length zero is -inf: it has no direction and is
+    no hit. Distances are expanded around the documents' mean, so a common
+    offset cancels; the hits kept are scored again without the expansion.
+    """
     if metric == "dot":
         return queries @ docs.T
     if metric == "cosine":
         lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(docs, axis=1)[None, :]
-        return (queries @ docs.T) / lengths
+        products = queries @ docs.T
+        return np.divide(products, lengths, out=np.full_like(products, -np.inf), where=lengths > 0)
     if metric == "l2":
+        centre = docs.mean(axis=0) if len(docs) else 0.0
+        queries, docs = queries - centre, docs - centre
         squares = (queries**2).sum(axis=1)[:, None] + (docs**2).sum(axis=1)[None, :]
-        return 2.0 * (queries @ docs.T) - squares
+        return np.minimum(2.0 * (queries @ docs.T) - squares, 0.0)
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def rounding(queries: np.ndarray, docs: np.ndarray, metric: str) -> np.ndarray:
+    """Per query, by how much a score may be off in either direction."""
+    unit = 8 * max(1, queries.shape[1]) * np.finfo(float).eps
+    if metric == "cosine" or not len(docs):
+        return np.full(len(queries), unit)
+    if metric == "l2":
+        centre = docs.mean(axis=0)
+        queries, docs = queries - centre, docs - centre
+    reach = np.linalg.norm(docs, axis=1).max()
+    lengths = np.linalg.norm(queries, axis=1)
+    return unit * ((lengths + reach) ** 2 if metric == "l2" else lengths * reach)
+
+
 def _best(q: np.ndarray, p: np.ndarray, s: np.ndarray, k: int):
     """The k best hits of every query, from flat hit arrays."""
     order = np.lexsort((p, -s, q))
@@ -51,20 +82,31 @@ def _best(q: np.ndarray, p: np.ndarray, s: np.ndarray, k: int):
     return q[keep], p[keep], s[keep]
 
 
-def _block_best(scores: np.ndarray, qids: np.ndarray, pids: np.ndarray, k: int, floor: np.ndarray | None = None):
+def _block_best(
+    scores: np.ndarray,
+    qids: np.ndarray,
+    pids: np.ndarray,
+    k: int,
+    floor: np.ndarray | None = None,
+    slack: np.ndarray | float = 0.0,
+    again: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+):
     """The k best hits per row of a score matrix, without sorting whole rows.
 
     Everything at least as good as the k-th score is kept and then cut, so ties
     are settled by id. ``floor`` gives a score per row below which a hit is
-    known to be beaten.
+    known to be beaten; hits within ``slack`` of a limit are kept, and scored
+    ``again`` before the cut.
     """
     limit = np.full(len(scores), -np.inf)
     if scores.shape[1] > k:
         limit = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
     if floor is not None:
         limit = np.maximum(limit, floor)
+    limit = limit - slack
     rows, cols = np.nonzero((scores >= limit[:, None]) & (scores > -np.inf))
-    return _best(qids[rows], pids[cols], scores[rows, cols], k)
+    kept = scores[rows, cols] if again is None else again(rows, cols)
+    return _best(qids[rows], pids[cols], kept, k)
 
 
 NO_HITS = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
@@ -77,8 +119,11 @@ def best_hits(
     k: int,
     exclude_self: bool,
     floor: np.ndarray | None = None,
+    slack: np.ndarray | float = 0.0,
+    again: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ):
-    """The k best documents per query. ``score(block)`` scores a slice of documents."""
+    """The k best documents per query. ``score(block)`` scores a slice of
+    documents, ``again(rows, columns)`` single pairs."""
     width = max(1, BLOCK_CELLS // max(1, len(qids)))
     kept = NO_HITS
     for start in range(0, len(pids), width):
@@ -86,11 +131,32 @@ def best_hits(
         scores, block_pids = score(block), pids[block]
         if exclude_self:
             scores = np.where(qids[:, None] == block_pids[None, :], -np.inf, scores)
-        found = _block_best(scores, qids, block_pids, k, floor)
+        anew = None if again is None else lambda rows, cols, start=start: again(rows, cols + start)
+        found = _block_best(scores, qids, block_pids, k, floor, slack, anew)
         kept = _best(*[np.concatenate(pair) for pair in zip(kept, found)], k)
     return kept
 
 
+def best_vectors(
+    qids: np.ndarray, queries: np.ndarray, pids: np.ndarray, docs: np.ndarray, k: int, metric: str,
+    exclude_self: bool, floor: np.ndarray | None = None,
+):
+    """The k best documents per query, by their vectors."""
+
+    def apart(rows, cols, step=1 << 16):
+        parts = [
+            -((queries[rows[i : i + step]] - docs[cols[i : i + step]]) ** 2).sum(axis=1)
+            for i in range(0, len(rows), step)
+        ]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    slack = rounding(queries, docs, metric) if metric == "l2" or floor is not None else 0.0
+    return best_hits(
+        qids, pids, lambda block: goodness(queries, docs[block], metric), k, exclude_self, floor, slack,
+        apart if metric == "l2" else None,
+    )
+
+
 def _hits_table(q, p, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array(s, pa.float64())],
@@ -121,19 +187,29 @@ def _blocked(df: DataFrame, key: str, own: str, own_blocks: Column, other: str,
     )
 
 
-def _grid(queries: DataFrame, docs: DataFrame, query_rows: int, doc_rows: int):
+def _rows_for(df: DataFrame, rows: int, column: str = "embedding") -> int:
+    """At most ``rows`` vectors, and as many as fit into BLOCK_BYTES as doubles."""
+    first = df.select(F.size(column).alias("n")).first()
+    return max(1, min(rows, BLOCK_BYTES // (8 * max(1, first["n"] if first else 1))))
+
+
+def _grid(queries: DataFrame, docs: DataFrame, query_rows: int, doc_rows: int, counts: DataFrame | None = None):
     """Cut the queries and documents of each cell into blocks that meet pairwise.
 
-    The number of blocks follows from counts per cell, so a cell that holds a
-    third of all vectors becomes many equal tasks. Each side is repeated once
-    per block of the other side. Without a cell column there is a single cell.
+    The number of blocks follows from counts per cell (``counts``, if they are
+    stored), so a cell that holds a third of all vectors becomes many equal
+    tasks. Each side is repeated once per block of the other side. Without a
+    cell column there is a single cell.
     """
     if "cell" in docs.columns:
-        counts = _block_counts(docs, doc_rows, "doc_blocks").join(
-            _block_counts(queries, query_rows, "query_blocks"), "cell"
-        )  # one row per cell
-        left = lookup_join(queries, counts, ["cell"], [F.col("qid")], rows=100_000)
-        right = lookup_join(docs, counts, ["cell"], [F.col("pid")], rows=100_000)
+        if counts is None:
+            counts = docs.groupBy("cell").agg(F.count("*").alias("n"))
+        sized = counts.select("cell", F.ceil(F.col("n") / doc_rows).cast("int").alias("doc_blocks"))
+        blocks = sized.join(_block_counts(queries, query_rows, "query_blocks"), "cell")  # one row per cell
+        local = small_copy(blocks, 100_000)  # fetched once for both sides
+        blocks = blocks if local is None else local
+        left = lookup_join(queries, blocks, ["cell"], [F.col("qid")], rows=100_000)
+        right = lookup_join(docs, blocks, ["cell"], [F.col("pid")], rows=100_000)
         query_blocks, doc_blocks = F.col("query_blocks"), F.col("doc_blocks")
         keys = ["cell", "qblock", "dblock"]
     else:
@@ -158,6 +234,7 @@ def grid_topk(
     exclude_self: bool = False,
     query_rows: int = 4096,
     doc_rows: int = 65_536,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k of (qid, embedding) among (pid, embedding), scored block by block.
 
@@ -168,19 +245,14 @@ def grid_topk(
     def score_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not (len(left) and len(right)):
             return pa.Table.from_batches([_hits_table([], [], [])])
-        q, d = matrix(left), matrix(right)
-        hits = best_hits(
-            left.column("qid").to_numpy(),
-            right.column("pid").to_numpy(),
-            lambda block: goodness(q, d[block], metric),
-            k,
-            exclude_self,
-        )
+        qids, pids = left.column("qid").to_numpy(), right.column("pid").to_numpy()
+        hits = best_vectors(qids, matrix(left), pids, matrix(right), k, metric, exclude_self)
         return pa.Table.from_batches([_hits_table(*hits)])
 
     cell = ["cell"] if "cell" in docs.columns else []
     left, right = queries.select("qid", *cell, "embedding"), docs.select("pid", *cell, "embedding")
-    hits = _grid(left, right, query_rows, doc_rows).applyInArrow(score_block, HITS)
+    query_rows, doc_rows = _rows_for(left, query_rows), _rows_for(left, doc_rows)
+    hits = _grid(left, right, query_rows, doc_rows, counts).applyInArrow(score_block, HITS)
     return ranked(hits, k, metric)
 
 
@@ -218,7 +290,7 @@ def exact_topk(
                 if not batch.num_rows or not len(qids):
                     continue
                 d, pids = matrix(batch), batch.column("pid").to_numpy()
-                found = best_hits(qids, pids, lambda b: goodness(q, d[b], metric), k, exclude_self, floor)
+                found = best_vectors(qids, q, pids, d, k, metric, exclude_self, floor)
                 kept = _best(*[np.concatenate(pair) for pair in zip(kept, found)], k)
             yield _hits_table(*kept)
 
@@ -229,8 +301,9 @@ def exact_topk(
         first = docs.limit(warm_up_rows).mapInArrow(scan_with(context.broadcast((qids, rows, None))), HITS)
         reached = ranked(first, k).filter(F.col("rank") == k).select("qid", "score").toArrow()
         known = dict(zip(reached.column("qid").to_pylist(), reached.column("score").to_pylist()))
-        # a matrix product may differ in its last bits from one block to the next
-        floor = np.array([known.get(qid, -np.inf) for qid in qids.tolist()]) - 1e-9
+        # a matrix product may differ in its last bits from one block to the next: see ``rounding``
+        slack = rounding(rows, matrix(docs.limit(warm_up_rows).select("embedding").toArrow()), metric)
+        floor = np.array([known.get(qid, -np.inf) for qid in qids.tolist()]) - slack
     shared = context.broadcast((qids, rows, floor))
     return ranked(docs.mapInArrow(scan_with(shared), HITS), k, metric)
 
@@ -268,8 +341,10 @@ def nearest_cells(
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 batch = whole.slice(start, rows)
-                scores = goodness(matrix(batch), centres, "l2")
-                _, place, best = _block_best(scores, np.arange(len(scores)), np.arange(len(cells)), width)
+                vectors = matrix(batch)
+                _, place, best = best_vectors(
+                    np.arange(len(vectors)), vectors, np.arange(len(cells)), centres, width, "l2", False
+                )
                 near, distance = place, -best
                 repeated = pa.Table.from_batches([batch]).take(
                     pa.array(np.repeat(np.arange(batch.num_rows), width))
@@ -281,24 +356,50 @@ def nearest_cells(
     return vectors.mapInArrow(probe, schema)
 
 
+def probed(cells: DataFrame, probes: DataFrame, table_rows: int = 65_536) -> DataFrame:
+    """The rows of stored cells that some probe asks for.
+
+    There are no more cells than the trained table has, so their numbers may be
+    fetched; the scan then reads the folders and row groups of these cells only.
+    """
+    wanted = [r["cell"] for r in probes.select("cell").distinct().limit(table_rows + 1).collect()]
+    if len(wanted) > table_rows:
+        return cells
+    kept = cells.filter(F.col("cell").isin(wanted))
+    if GROUP in cells.columns:
+        kept = kept.filter(F.col(GROUP).isin(sorted({cell % CELL_GROUPS for cell in wanted})))
+    return kept
+
+
 def probe_topk(
-    queries: DataFrame, cells: DataFrame, centroids: DataFrame, k: int, nprobe: int, exclude_self: bool = False
+    queries: DataFrame,
+    cells: DataFrame,
+    centroids: DataFrame,
+    k: int,
+    nprobe: int,
+    exclude_self: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k by L2 among the vectors of the ``nprobe`` cells nearest to a query.
 
-    ``cells`` is (pid, embedding, cell). Only matching cells meet: the join is
-    an equi-join on the cell.
+    ``cells`` is (pid, embedding, cell), for a large table as ``write_cells``
+    stores it, with its ``counts``: only probed cells are read then.
     """
     probes = nearest_cells(queries.select("qid", "embedding"), centroids, nprobe)
-    return grid_topk(probes, cells, k, "l2", exclude_self)
+    return grid_topk(probes, probed(cells, probes), k, "l2", exclude_self, counts=counts)
 
 
 # --- training of cells and codes --------------------------------------------------
 
 
-def training_sample(vectors: DataFrame, ratio: float = 0.3, seed: int = 0) -> DataFrame:
-    """Vectors drawn with replacement, ``ratio`` of the table on average."""
-    return vectors.sample(withReplacement=True, fraction=ratio, seed=seed)
+def training_sample(vectors: DataFrame, key: str, ratio: float = 0.3, seed: int = 0) -> DataFrame:
+    """Vectors drawn with repetition by the md5 of seed and key: a share of
+    2/3 ``ratio`` of them, one or two copies of each, so ``ratio`` of the table on
+    average. The same on any cluster."""
+    mark = F.md5(F.concat_ws(":", F.lit(seed), F.col(key)))
+    drawn = leading_bits(mark, 8) < 2 / 3 * ratio * 2**32
+    copies = 1 + leading_bits(F.substring(mark, 9, 8), 8) % 2
+    return vectors.filter(drawn).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_copy")
 
 
 def train_cells(
@@ -314,23 +415,37 @@ def train_cells(
     from pyspark.ml.functions import array_to_vector
 
     if sample_ratio is not None:
-        vectors = training_sample(vectors, sample_ratio, seed)
+        vectors = training_sample(vectors, vectors.columns[0], sample_ratio, seed)
     ready = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=nlist, seed=seed, maxIter=iterations).fit(ready)
     rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(rows, "cell int, embedding array<float>")
 
 
+CELL_GROUPS = 256  # folders of stored cells
+GROUP = "cell_group"
+
+
 def write_cells(assigned: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """Store assigned vectors clustered by cell and read them back.
 
-    Files are cut by range of (cell, id), so a large cell fills several files
-    and a small one shares a file; the cell statistics of the row groups let a
-    scan skip the cells it does not need.
+    A folder holds the cells that agree modulo CELL_GROUPS; within it, files are
+    cut by range of (cell, id), so a large cell fills several files, and the
+    statistics of the row groups let a scan skip the other cells. The number of
+    vectors per cell is stored beside them, see ``read_cells``.
     """
-    ordered = assigned.repartitionByRange("cell", "pid").sortWithinPartitions("cell", "pid")
-    ordered.write.mode(mode).parquet(path)
-    return assigned.sparkSession.read.parquet(path)
+    grouped = assigned.withColumn(GROUP, F.pmod("cell", F.lit(CELL_GROUPS)))
+    ordered = grouped.repartitionByRange(GROUP, "cell", "pid").sortWithinPartitions(GROUP, "cell", "pid")
+    ordered.write.mode(mode).partitionBy(GROUP).parquet(f"{path}/vectors")
+    spark = assigned.sparkSession
+    cells = spark.read.parquet(f"{path}/vectors")
+    cells.groupBy("cell").agg(F.count("*").alias("n")).write.mode(mode).parquet(f"{path}/counts")
+    return cells
+
+
+def read_cells(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, counts) as ``write_cells`` stored them."""
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/counts")
 
 
 def residuals(assigned: DataFrame, centroids: DataFrame, key: str = "pid") -> DataFrame:
@@ -348,16 +463,26 @@ def part(vector: Column, number: Column | int, width: int) -> Column:
 
 
 def train_codes(
-    assigned: DataFrame, centroids: DataFrame, m: int = 16, bits: int = 8, seed: int = 0, iterations: int = 20
+    assigned: DataFrame,
+    centroids: DataFrame,
+    m: int = 16,
+    bits: int = 8,
+    seed: int = 0,
+    iterations: int = 20,
+    sample_ratio: float | None = None,
 ) -> DataFrame:
     """Codebook (part, code, embedding): k-means on each sub-vector of the residuals.
 
     All sub-vectors are trained together, so an iteration is one pass over the
     table instead of one per sub-vector. A task returns the sum and count per
     code, m * 2**bits small rows however many vectors it read. The start is
-    2**bits rows picked by the md5 of their id; a code nobody chose stays.
+    2**bits rows picked by the md5 of their id; a code nobody chose stays. With
+    ``sample_ratio`` a sample of the vectors is used. The residuals are written
+    to shared storage once.
     """
-    gaps = residuals(assigned, centroids).select("pid", F.col("residual").alias("embedding"))
+    if sample_ratio is not None:
+        assigned = assigned.sample(fraction=sample_ratio, seed=seed)
+    gaps = stored(residuals(assigned, centroids).select("pid", F.col("residual").alias("embedding")))
     spark, size = assigned.sparkSession, 2**bits
     start = matrix(gaps.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "pid")), "pid").limit(size).toArrow())
     if len(start) < size:
@@ -375,7 +500,9 @@ def train_codes(
                 pieces = matrix(batch).reshape(batch.num_rows, len(now), -1)
                 for j in range(len(now) if batch.num_rows else 0):
                     code = goodness(pieces[:, j], now[j], "l2").argmax(axis=1)
-                    np.add.at(totals[j], code, pieces[:, j])
+                    order = np.argsort(code, kind="stable")
+                    chosen, first = np.unique(code[order], return_index=True)
+                    totals[j, chosen] += np.add.reduceat(pieces[order, j], first)
                     counts[j] += np.bincount(code, minlength=now.shape[1])
             part, code = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -439,6 +566,7 @@ def pq_topk(
     exclude_self: bool = False,
     query_rows: int = 1024,
     doc_rows: int = 65_536,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k by approximate L2: each document is its centroid plus its codes.
 
@@ -465,5 +593,5 @@ def pq_topk(
 
     probes = nearest_cells(queries.select("qid", "embedding"), centroids, nprobe)
     gaps = residuals(probes, centroids, "qid").select("qid", "cell", "residual")
-    grid = _grid(gaps, codes.select("pid", "cell", "codes"), query_rows, doc_rows)
+    grid = _grid(gaps, probed(codes, probes).select("pid", "cell", "codes"), query_rows, doc_rows, counts)
     return ranked(grid.applyInArrow(score_block, HITS), k, "l2")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import wording
 from ..functions.choice import leading_bits
-from .joins import weighted_lookup_join
+from ..storage import stored
 from .ordering import with_position
 
 SPECIAL_IDS = {token: number for number, token in enumerate(wording.SPECIAL_TOKENS)}
@@ -38,24 +41,51 @@ def encode(
     vocabulary: DataFrame,
     max_len: int | None = None,
     name: str = "ids",
+    heavy: int = 65_536,
 ) -> DataFrame:
     """(keys, ids): the ids of each row's tokens, cut at ``max_len`` tokens.
 
     Words missing from the vocabulary become the unknown id. Special tokens in
-    the list keep their fixed ids.
+    the list keep their fixed ids. The ``heavy`` most frequent words are
+    translated inside the row; their number is fixed. Only the other tokens
+    become rows of their own and are looked up, and only rows that have some
+    are put together again. The vocabulary is written to shared storage.
     """
+    vocabulary = stored(vocabulary)
+    top = vocabulary.orderBy(F.col("n").desc(), "token").limit(heavy).select("token", "token_id").collect()
+    known = {r["token"]: r["token_id"] for r in top} | SPECIAL_IDS
+    unknown = SPECIAL_IDS[wording.UNK]
+    complete = len(top) < heavy  # these are all words
+
+    @F.pandas_udf("struct<ids:array<int>,rest:array<struct<pos:int,token:string>>>")
+    def translate(lists: pd.Series) -> pd.DataFrame:
+        ids, rest = [], []
+        for words in lists:
+            words = [] if words is None else list(words)
+            if complete:
+                ids.append([known.get(w, unknown) for w in words])
+                rest.append([])
+            else:
+                found = [known.get(w) for w in words]
+                ids.append([unknown if i is None else i for i in found])
+                rest.append([(p, w) for p, (i, w) in enumerate(zip(found, words)) if i is None])
+        return pd.DataFrame({"ids": ids, "rest": rest})
+
     kept = F.slice(tokens, 1, max_len) if max_len else tokens
-    exploded = df.select(*keys, F.posexplode_outer(kept).alias("_pos", "token"))
-    special = F.create_map(*[x for t, i in SPECIAL_IDS.items() for x in (F.lit(t), F.lit(i))])
-    found = weighted_lookup_join(
-        exploded, vocabulary, "token", "n", ["token_id"], [*map(F.col, keys), F.col("_pos")]
-    )
-    number = F.coalesce(
-        F.try_element_at(special, F.col("token")), F.col("token_id"), F.lit(SPECIAL_IDS[wording.UNK])
+    rows = df.select(*keys, translate(kept).alias("_t")).select(*keys, F.col("_t.ids").alias(name), "_t.rest")
+    if complete:
+        return rows.drop("rest")
+    # rare words only: none of them is a hot key
+    flat = rows.filter(F.size("rest") > 0).select(*keys, F.inline("rest"))
+    found = flat.join(vocabulary.select("token", "token_id"), "token")
+    gathered = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token_id"))).alias("_found"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    number = F.transform(
+        F.col(f"a.{name}"), lambda i, p: F.coalesce(F.try_element_at(F.col("b._found"), p), i)
     )
-    item = F.when(F.col("token").isNotNull(), F.struct("_pos", number.alias("id")))
-    gathered = found.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    return gathered.select(*keys, F.transform("_items", lambda item: item["id"]).alias(name))
+    whole = F.when(F.col("b._found").isNull(), F.col(f"a.{name}")).otherwise(number)
+    joined = rows.alias("a").join(gathered.alias("b"), reduce(lambda x, y: x & y, same), "left")
+    return joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], whole.alias(name))
 
 
 def fit_width(ids: Column, width: int, filler: int) -> Column:

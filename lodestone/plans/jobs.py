@@ -132,7 +132,7 @@ def evaluation_prompts(
             rows = rows.join(best, key).withColumn("background", F.array("keywords")).drop("keywords")
         if retriever is not None:
             rows = rows.withColumn(
-                "background", F.transform("background", lambda text: prompts.passage_text(text, retriever))
+                "background", F.transform("background", lambda text: prompts.prefixed_passage(text, retriever))
             )
     background = F.col("background") if retrieved is not None else None
     example = prompts.example_prompt(task, F.col("question"), background, embed_len)

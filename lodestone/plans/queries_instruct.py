@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import chat, wording
-from ..operators import instructions, search
+from ..operators import instructions, ranking, search
 from .registry import QA, Tables, VECTORS, as_docs, as_queries, choice, qa_pairs, query, quoted, with_
 
 JUDGED = """
@@ -179,7 +179,7 @@ register("instr_multiple_choice", "commonsense_qa", "quail")
 register("instr_open_qa", "web_questions", "yahoo_answers_qa", "nq_open", "triviaqa")
 register("instr_label_filter", "wiki_qa")
 register("instr_nested_answer", "freebase_qa", "narrativeqa")
-register("instr_head_ltrim", "ms_marco")
+register("instr_ltrim", "ms_marco")
 register("instr_multi_turn", "coqa")
 register("instr_joined_background", "pubmed_qa", "drop", "pwc")
 register("instr_default_answer", "squad_v2")
@@ -222,7 +222,9 @@ def background_backfill(t):
     )
     asked = qa.groupBy(F.col("question").alias("query")).agg(F.min("conv_id").alias("qid"))
     encoded = asked.join(as_queries(t.embeddings), "qid")
-    hits = search.exact_topk(as_queries(t.embeddings), as_docs(t.embeddings), 1, exclude_self=True)
+    asking = encoded.select("qid", "embedding").dropDuplicates(["qid"])
+    hits = search.exact_topk(asking, as_docs(t.embeddings), 1, exclude_self=True)
     texts = t.documents.select(F.col("doc_id").alias("pid"), "text")
-    retrieved = encoded.select("query", "qid").join(hits, "qid").join(texts, "pid").select("query", "text")
+    found = ranking.fetch_documents(hits, texts)
+    retrieved = encoded.select("query", "qid").join(found, "qid").select("query", "text")
     return instructions.backfill_background(table, retrieved).select("id", "background")

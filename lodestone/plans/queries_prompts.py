@@ -143,7 +143,7 @@ def compression_report(t):
       round(avg(len({prompt_tok('plain')})), 6) AS avg_prompt_length, 'some-model' AS model,
       'substring_match' AS metric,
       round(avg(contains(chr(1) || array_to_string({tok('lower(answer)')}, chr(1)) || chr(1), chr(1) || 'the' || chr(1))::INT), 6) AS score,
-      'some-retriever' AS retriever FROM p JOIN qa USING (key)""",
+      'some-retriever' AS retriever FROM p JOIN b USING (key)""",
 )
 def eval_record(t):
     scored = talk_prompts(t).withColumn("hit", has_answer(F.array(F.lit("The")), F.col("answer")))

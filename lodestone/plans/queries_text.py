@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import chat, wording
@@ -11,7 +9,7 @@ from ..functions.choice import fill, pick
 from ..functions.text import last_subsequence, stop_truncate, strip, tokenize
 from ..operators import answers, examples, ordering, prompts, vocabulary
 from ..sources import files
-from ..streaming.retrieve import checkpoint_root
+from ..storage import shared_folder
 from .registry import (
     QA,
     Tables,
@@ -41,7 +39,7 @@ def numbers_joined(column) -> F.Column:
 
 def scratch(t: Tables, name: str) -> str:
     """A fresh folder under the checkpoint folder of the session."""
-    return f"{checkpoint_root(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(t.spark, name)
 
 
 # --- files -----------------------------------------------------------------------------
@@ -206,9 +204,31 @@ def spans_sql(segment: str, where: str) -> str:
             FROM (SELECT conv_id, turn, {segment} AS segment FROM conversations {where}))"""
 
 
+#: Conversations without a system turn; a style without one can't show the others.
+SHOWN = "WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')"
+
+
 def talk(t, system: bool):
+    """Turns of the conversations that a style with or without system turns can show."""
     turns = t.conversations.withColumnRenamed("text", "content")
-    return turns if system else turns.filter("role <> 'system'")
+    return turns if system else turns.join(rejected(t), "conv_id", "left_anti")
+
+
+def rejected(t):
+    """Ids of the conversations with a turn of a role that the style doesn't know."""
+    return t.conversations.filter("role NOT IN ('user', 'assistant')").select("conv_id").distinct()
+
+
+@query(
+    "chat_rejected",
+    """SELECT conv_id, count(*) AS n_turns, sum((role = 'system')::INT)::BIGINT AS n_unknown FROM conversations
+      GROUP BY conv_id HAVING sum((role = 'system')::INT) > 0""",
+)
+def chat_rejected(t):
+    """What a style without system turns refuses: whole conversations, by id."""
+    unknown = F.sum(F.when(F.col("role").isin("user", "assistant"), 0).otherwise(1)).alias("n_unknown")
+    counted = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n_turns"), unknown)
+    return counted.filter("n_unknown > 0")
 
 
 def spans(t, style, system):
@@ -216,12 +236,12 @@ def spans(t, style, system):
     return rows.select("conv_id", "turn", "segment", "n_tokens", "char_start", "token_start")
 
 
-@query("chat_render_inst", spans_sql(STRIPPED_INST, "WHERE role <> 'system'"))
+@query("chat_render_inst", spans_sql(STRIPPED_INST, SHOWN))
 def chat_render_inst(t):
     return spans(t, chat.INSTRUCT, system=False)
 
 
-@query("chat_render_verbatim", spans_sql(INST_SEGMENT.format(body="text"), "WHERE role <> 'system'"))
+@query("chat_render_verbatim", spans_sql(INST_SEGMENT.format(body="text"), SHOWN))
 def chat_render_verbatim(t):
     return spans(t, chat.INSTRUCT_VERBATIM, system=False)
 
@@ -254,7 +274,7 @@ def masked(rows, key):
     )
 
 
-@query("chat_label_mask", mask_sql(STRIPPED_INST, "WHERE role <> 'system'", "role <> 'assistant'", 1024))
+@query("chat_label_mask", mask_sql(STRIPPED_INST, SHOWN, "role <> 'assistant'", 1024))
 def chat_label_mask(t):
     return masked(
         examples.chat_label_mask(talk(t, False), "conv_id", "turn", chat.INSTRUCT, 1024), "conv_id"
@@ -271,11 +291,11 @@ def chat_label_mask_tags(t):
 
 @query(
     "filter_has_label",
-    with_(m=mask_sql(STRIPPED_INST, "WHERE role <> 'system'", "role <> 'assistant'", 96))
+    with_(m=mask_sql(STRIPPED_INST, SHOWN, "role <> 'assistant'", 1024))
     + "SELECT conv_id, n_live FROM m WHERE n_live > 0",
 )
 def filter_has_label(t):
-    rows = examples.chat_label_mask(talk(t, False), "conv_id", "turn", chat.INSTRUCT, 96)
+    rows = examples.chat_label_mask(talk(t, False), "conv_id", "turn", chat.INSTRUCT, 1024)
     kept = rows.filter(examples.has_live_label(F.col("labels")))
     return kept.select("conv_id", examples.live_labels(F.col("labels")).alias("n_live"))
 
@@ -283,13 +303,21 @@ def filter_has_label(t):
 # --- masks on one row -------------------------------------------------------------------------
 
 QA_WITH_BACKGROUND = """
-  SELECT qa.*, d.text AS background FROM qa JOIN documents d ON d.doc_id = qa.conv_id"""
+  SELECT d.doc_id AS key, qa.conv_id, qa.turn, qa.question, qa.answer, d.text AS background
+  FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY key) - 1 AS place FROM qa) qa
+  ON qa.place = d.doc_id % (SELECT count(*) FROM qa)"""
 
 
 def with_background(t):
-    """Question and answer pairs with a document as background."""
-    docs = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("background"))
-    return qa_pairs(t).join(docs, "conv_id")
+    """Every document as the background of a question and answer pair; the
+    pairs are dealt out to the documents in turn."""
+    pairs = qa_pairs(t)
+    placed = ordering.with_position(pairs, [F.col("key")], ordering.range_bucket(pairs, "key"), name="place")
+    docs = t.documents.select("doc_id", F.col("text").alias("background"))
+    dealt = docs.withColumn("place", F.pmod("doc_id", F.lit(max(1, pairs.count()))))
+    return dealt.join(placed.drop("key"), "place").select(
+        F.col("doc_id").alias("key"), "conv_id", "turn", "question", "answer", "background"
+    )
 
 
 def head_mask_sql(tokens: str, quiet: str) -> str:
@@ -320,13 +348,18 @@ def prompt_completion_mask(t):
 
 FOUND = f"""
   SELECT b.item_id, d.doc_id, b.k AS answer_tokens, d.k AS doc_tokens
-  FROM (SELECT item_id, {LOWER_TOKENS} AS k FROM benchmark) b
+  FROM (SELECT item_id, {LOWER_TOKENS} AS k FROM benchmark WHERE len({LOWER_TOKENS}) > 0) b
   JOIN (SELECT doc_id, {LOWER_TOKENS} AS k FROM documents) d
   ON contains(chr(1) || array_to_string(d.k, chr(1)) || chr(1), chr(1) || array_to_string(b.k, chr(1)) || chr(1))
 """
 
 
-@query("has_answer", with_(found=FOUND) + "SELECT item_id, doc_id FROM found")
+@query(
+    "has_answer",
+    with_(found=FOUND)
+    + f"""SELECT item_id, doc_id FROM found
+      UNION ALL SELECT item_id, NULL FROM benchmark WHERE len({LOWER_TOKENS}) = 0""",
+)
 def has_answer(t):
     return answers.find_answers(
         t.documents, t.benchmark.select("item_id", F.col("text").alias("answer"))
@@ -471,22 +504,22 @@ def rag_dual_view(t):
     with_(
         qa=QA,
         b=QA_WITH_BACKGROUND,
-        c=f"SELECT *, {CHUNKS.format(t=tok('background'), total=512)} AS n FROM b",
+        c=f"SELECT *, {CHUNKS.format(t=tok('background'), total=1024)} AS n FROM b",
         q=f"""SELECT key, len({prompt_tok("'[INST] ' || " + trimmed(COMPRESSED) + " || ' [/INST]'")}) AS x,
               len({prompt_tok("'[INST] ' || " + trimmed(PLAIN) + " || ' [/INST]'")}) AS y,
               len({prompt_tok(trimmed('answer') + " || '</s>'")}) AS said FROM c""",
     )
-    + """SELECT key, least(said, greatest(512 - x, 0)) AS n_live FROM q
-      WHERE least(said, greatest(512 - x, 0)) = least(said, greatest(512 - y, 0))
-        AND least(said, greatest(512 - y, 0)) > 0""",
+    + """SELECT key, least(said, greatest(1024 - x, 0)) AS n_live FROM q
+      WHERE least(said, greatest(1024 - x, 0)) = least(said, greatest(1024 - y, 0))
+        AND least(said, greatest(1024 - y, 0)) > 0""",
 )
 def filter_equal_labels(t):
     messages = chat.conversation(F.col("question"), F.col("answer"))
-    compressed, plain = examples.dual_views(messages, F.col("background"), max_len=512)
+    compressed, plain = examples.dual_views(messages, F.col("background"), max_len=1024)
     rows = with_background(t).select(
         "key",
-        examples.messages_label_mask(compressed, max_len=512)["labels"].alias("a"),
-        examples.messages_label_mask(plain, max_len=512)["labels"].alias("b"),
+        examples.messages_label_mask(compressed, max_len=1024)["labels"].alias("a"),
+        examples.messages_label_mask(plain, max_len=1024)["labels"].alias("b"),
     )
     kept = rows.filter(examples.has_live_label(F.col("b"))).filter(
         examples.same_live_labels(F.col("a"), F.col("b"))
@@ -594,7 +627,7 @@ def exclude_types(t):
 
 @query("head_samples", with_(qa=QA) + "SELECT key, question FROM qa ORDER BY key LIMIT 100")
 def head_samples(t):
-    return ordering.head_n(qa_pairs(t).select("key", "question"), "key", 100, bits=20)
+    return ordering.head_n(qa_pairs(t).select("key", "question"), "key", 100)
 
 
 @query(
@@ -610,7 +643,7 @@ def seeded_shuffle(t):
     "collate_pad",
     with_(
         vocab=TURN_VOCABULARY,
-        e=encoded_sql("conversations", "conv_id, turn, role", 256),
+        e=encoded_sql("conversations", "conv_id, turn, role", 1024),
         r="""SELECT conv_id * 1000000 + turn AS key, ids,
              list_transform(ids, lambda i: CASE WHEN role = 'assistant' THEN i ELSE -100 END) AS labels FROM e""",
         b="SELECT *, row_number() OVER (ORDER BY md5('7:0:' || key), key) - 1 AS position FROM r",
@@ -626,7 +659,7 @@ def collate_pad(t):
     turns = t.conversations
     words = vocabulary.build_vocabulary(turns, tokenize(F.col("text"), uncased=True))
     ids = vocabulary.encode(
-        turns, ["conv_id", "turn", "role"], tokenize(F.col("text"), uncased=True), words, 256
+        turns, ["conv_id", "turn", "role"], tokenize(F.col("text"), uncased=True), words, 1024
     )
     labels = F.when(F.col("role") == "assistant", F.col("ids")).otherwise(
         F.array_repeat(F.lit(wording.IGNORED_LABEL), F.size("ids"))

@@ -10,6 +10,8 @@ from ..operators import examples, prompts, ranking, search
 from ..sources import files
 from ..streaming.retrieve import retrieve_stream
 from .queries_text import CHUNKS, scratch
+from ..operators.joins import skewed_join
+from ..storage import stored
 from .registry import (
     CENTROIDS,
     VECTORS,
@@ -84,7 +86,7 @@ def normalized_vectors(t):
 @query(
     "fetch_docs",
     with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 3))
-    + "SELECT qid, pid, rank, text FROM h JOIN documents ON doc_id = pid",
+    + "SELECT qid, pid, rank, text FROM h LEFT JOIN documents ON doc_id = pid",
 )
 def fetch_docs(t):
     docs = t.documents.select(F.col("doc_id").alias("pid"), "text")
@@ -110,7 +112,7 @@ def last_token_pool(t):
       FROM (SELECT vec_id // 10 AS pid, count(*) AS length FROM embeddings GROUP BY ALL)""",
 )
 def doc_offsets(t):
-    return ranking.document_offsets(token_vectors(t.embeddings), bits=4).select("pid", "length", "start")
+    return ranking.document_offsets(token_vectors(t.embeddings)).select("pid", "length", "start")
 
 
 @query(
@@ -119,7 +121,7 @@ def doc_offsets(t):
       FROM embeddings""",
 )
 def token_positions(t):
-    return ranking.token_positions(token_vectors(t.embeddings), bits=4)
+    return ranking.token_positions(token_vectors(t.embeddings))
 
 
 @query("dense_topk_warm", with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 10)) + OUT)
@@ -166,8 +168,12 @@ def ivf_probe_topk(t):
     """Vectors stored by cell, then searched in the three nearest cells."""
     centroids = label_means(t.embeddings)
     assigned = search.nearest_cells(as_docs(t.embeddings), centroids)
-    cells = search.write_cells(assigned, scratch(t, "cells"))
-    return search.probe_topk(as_queries(t.embeddings), cells, centroids, 10, nprobe=3, exclude_self=True)
+    path = scratch(t, "cells")
+    search.write_cells(assigned, path)
+    cells, counts = search.read_cells(t.spark, path)
+    return search.probe_topk(
+        as_queries(t.embeddings), cells, centroids, 10, nprobe=3, exclude_self=True, counts=counts
+    )
 
 
 PARTS, WIDTH = 8, 8
@@ -245,22 +251,58 @@ def ivfpq_topk(t):
     )
 
 
-@query("training_sample")
+@query(
+    "training_sample",
+    """SELECT vec_id, 1 + (('0x' || substr(md5('7:' || vec_id), 9, 8))::BIGINT % 2) AS copies FROM embeddings
+      WHERE ('0x' || substr(md5('7:' || vec_id), 1, 8))::BIGINT < 0.2 * 4294967296""",
+)
 def training_sample(t):
-    return search.training_sample(t.embeddings, 0.3, seed=7).select("vec_id")
+    """A fifth of the vectors, one or two copies of each: 0.3 of the table on average."""
+    drawn = search.training_sample(t.embeddings, "vec_id", 0.3, seed=7)
+    return drawn.groupBy("vec_id").agg(F.count("*").alias("copies"))
 
 
-@query("ivf_train")
+def gap(e, c):
+    pairs = F.zip_with(e, c, lambda x, y: (x.cast("double") - y.cast("double")) ** 2)
+    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
+
+
+@query(
+    "ivf_train",
+    """SELECT vec_id, true AS nearest, true AS finite FROM embeddings""",
+)
 def ivf_train(t):
-    cells = search.train_cells(as_docs(t.embeddings), nlist=16, seed=7)
-    return cells.select("cell", F.posexplode("embedding").alias("i", "x"))
+    """Cells trained by k-means; every vector's cell is the one with the nearest
+    centroid among all, measured without the search kernels."""
+    cells = stored(search.train_cells(as_docs(t.embeddings), nlist=16, seed=7))
+    assigned = search.nearest_cells(as_docs(t.embeddings), cells)
+    centres = cells.agg(F.collect_list(F.struct("cell", "embedding")).alias("centres")).first()["centres"]  # nlist rows
+    gaps = F.array(*[F.struct(gap(F.col("embedding"), F.array(*map(F.lit, c["embedding"]))).alias("d"), F.lit(c["cell"]).alias("cell")) for c in centres])
+    least = F.array_min(F.transform(gaps, lambda g: g["d"]))
+    own = F.get(F.filter(gaps, lambda g: g["cell"] == F.col("cell")), F.lit(0))["d"]
+    return assigned.select(
+        F.col("pid").alias("vec_id"), (own <= least * (1 + 1e-9) + 1e-12).alias("nearest"), (~F.isnan("distance")).alias("finite")
+    )
 
 
-@query("pq_train")
+@query(
+    "pq_train",
+    "SELECT part, code, true AS settled FROM range(8) a(part), range(16) b(code)",
+)
 def pq_train(t):
+    """A codebook per sub-vector; its training error is below the error of zeros."""
     centroids = label_means(t.embeddings)
-    book = search.train_codes(assigned_cells(t, centroids), centroids, m=PARTS, bits=4, seed=7, iterations=5)
-    return book.select("part", "code", F.posexplode("embedding").alias("i", "x"))
+    cells = assigned_cells(t, centroids)
+    book = stored(search.train_codes(cells, centroids, m=PARTS, bits=4, seed=7, iterations=5))
+    flat = search.residuals(cells, centroids).select(
+        *[search.part(F.col("residual"), j, WIDTH).alias(f"p{j}") for j in range(PARTS)]
+    )
+    rows = flat.select(F.inline(F.array(*[F.struct(F.lit(j).alias("part"), F.col(f"p{j}").alias("r")) for j in range(PARTS)])))
+    zero = F.aggregate("r", F.lit(0.0), lambda a, x: a + x * x)
+    books = book.groupBy("part").agg(F.collect_list("embedding").alias("codes"))  # 16 codes
+    nearest = F.array_min(F.transform("codes", lambda c: gap(F.col("r"), c)))
+    errors = rows.join(F.broadcast(books), "part").groupBy("part").agg((F.sum(nearest) < F.sum(zero)).alias("settled"))
+    return book.join(errors, "part").select(F.col("part").cast("bigint").alias("part"), F.col("code").cast("bigint").alias("code"), "settled")
 
 
 # --- late interaction -----------------------------------------------------------------------------
@@ -311,7 +353,7 @@ SOFTMAX = """SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY qid) AS p
     + "SELECT qid, pid, rank, round(score, 6) AS score, round(prob, 6) AS prob FROM s",
 )
 def topk_softmax(t):
-    return ranking.with_probabilities(topk(t, 100), 10)
+    return ranking.with_probabilities(topk(t, 10), 10)
 
 
 @query(
@@ -446,11 +488,16 @@ def marked_by_label(t, k):
     """A ranking whose positives share the query's label, and the queries."""
     labels = t.embeddings.select("vec_id", "label")
     hits = topk(t, k)
-    marked = hits.join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid").join(
-        labels.select(F.col("vec_id").alias("pid"), F.col("label").alias("pl")), "pid"
+    # hubs are hit by very many queries, a query has a bounded number of hits
+    marked = skewed_join(
+        hits.join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid"),
+        labels.select(F.col("vec_id").alias("pid"), F.col("label").alias("pl")),
+        "pid",
+        [F.col("qid")],
     )
     sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_positive"))
-    queries = labels.join(sizes, "label").select(F.col("vec_id").alias("qid"), "n_positive")
+    queries = labels.join(F.broadcast(sizes), "label").select(  # a row for each of the few labels
+       F.col("vec_id").alias("qid"), "n_positive")
     return marked.withColumn("positive", F.col("ql") == F.col("pl")), queries
 
 
@@ -481,7 +528,7 @@ def mrr_at_10(t):
     with_(
         v=VECTORS,
         p=all_pairs(DOT),
-        h=best("p", 300),
+        h=best("p", 1000),
         m=MARKED,
         n="SELECT label, count(*) - 1 AS n FROM v GROUP BY label",
         g="""SELECT v.vec_id, n.n::DOUBLE AS n, count(*) FILTER (rank <= 50 AND positive) AS a,
@@ -492,8 +539,8 @@ def mrr_at_10(t):
       round(avg(c / n), 6) AS recall_at_1000 FROM g""",
 )
 def recall_at_k(t):
-    marked, queries = marked_by_label(t, 300)
-    return ranking.recall(marked, queries, [50, 200, 1000])
+    marked, queries = marked_by_label(t, 1000)
+    return ranking.recall(marked, queries, [50, 200, 1000], depth=1000)
 
 
 @query(
@@ -514,7 +561,8 @@ def score_run(t):
     ids = t.embeddings.select("vec_id")
     following = ids.select((F.col("vec_id") - 1).alias("qid"), F.col("vec_id").alias("pid"))
     qrels = following.join(ids.select(F.col("vec_id").alias("qid")), "qid")
-    return ranking.score_run(topk(t, 200), qrels, 10, [50, 200])
+    ranked = topk(t, 200).join(qrels.select("qid"), "qid", "left_semi")  # the last vector has no next one
+    return ranking.score_run(ranked, qrels, 10, [50, 200], depth=200)
 
 
 @query(

@@ -2,45 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ranking import with_probabilities
-from ..operators.search import exact_topk
+from ..operators.search import exact_topk, probe_topk
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names. Only a local session that names
-    none gets a folder of its own; on a cluster that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return context.getCheckpointDir()
+@dataclass
+class StoredIndex:
+    """Cells as ``search.write_cells`` stored them, and what is needed to probe them."""
+
+    cells: DataFrame
+    counts: DataFrame
+    centroids: DataFrame
+    nprobe: int = 32
 
 
 def retrieve_stream(
-    questions: DataFrame, docs: DataFrame, k: int, output: str, checkpoint: str, exclude_self: bool = False
+    questions: DataFrame,
+    docs: DataFrame | StoredIndex,
+    k: int,
+    output: str,
+    checkpoint: str,
+    exclude_self: bool = False,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Top-k with probabilities for every question of a stream (qid, embedding).
 
+    ``docs`` is a table of vectors, scanned by every micro-batch with the dot
+    product, or a stored index, of which a micro-batch reads the probed cells
+    only; the score is then the negative squared distance. ``trigger`` holds
+    the arguments of Spark's trigger (what is there now, by default).
+
     Each micro-batch is searched as a batch and written to a folder of its own
     id, so a batch that is replayed after a failure replaces its first attempt.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        hits = with_probabilities(exact_topk(batch, docs, k, "dot", exclude_self), k)
+        if isinstance(docs, StoredIndex):
+            found = probe_topk(batch, docs.cells, docs.centroids, k, docs.nprobe, exclude_self, docs.counts)
+            found = found.withColumn("score", -F.col("score"))
+        else:
+            found = exact_topk(batch, docs, k, "dot", exclude_self)
+        hits = with_probabilities(found, k)
         hits.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return (
         questions.writeStream.foreachBatch(answer)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

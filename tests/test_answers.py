@@ -109,8 +109,16 @@ def test_find_answers_against_brute_force(spark, small_rows):
     a = spark.createDataFrame(items, "item_id bigint, answer string")
     want = {(i, j) for i, x in items if x for j, t in docs if f" {x} " in f" {t} "}
     got = [(r["item_id"], r["doc_id"]) for r in answers.find_answers(d, a, small_rows, salts=3).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert [r["item_id"] for r in answers.empty_answers(a).collect()] == [99]
+    # an answer without tokens is in every document: one row, without a document
+    assert len(got) == len(set(got)) and set(got) == want | {(99, None)}
+
+
+def test_rows_without_answers_score_zero(spark):
+    data = [(1, "red", ["red"]), (2, "red", []), (3, "red", None), (4, "", ["x"])]
+    df = spark.createDataFrame(data, "k int, said string, gold array<string>")
+    for metric in (answers.token_f1, answers.char_f1):
+        assert {r["k"]: r["f1"] for r in metric(df, "k", "said", "gold").collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+    assert answers.truthful_scores(df.filter("k < 3"), "k", "said", "gold").first()["f1"] == 0.5
 
 
 def test_bleu_of_equal_and_disjoint_texts(spark):
@@ -126,6 +134,24 @@ def test_bleu_of_equal_and_disjoint_texts(spark):
     assert clipped["matches_1"] == 1 and clipped["ngrams_1"] == 5
 
 
+def test_places_of_a_common_subsequence():
+    def table(a, b):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[j]))
+            rows.append(row)
+        return rows[-1][-1]
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        places = sorted(answers.lcs_places(a, b))
+        kept, rest = [a[i] for i in places], iter(b)
+        assert len(places) == table(a, b) == answers.lcs_length(a, b) and all(x in rest for x in kept)
+
+
 def test_rouge_n(spark):
     df = spark.createDataFrame([(1, "a b c", "A b d"), (2, "x", "y")], "k int, h string, r string")
     one = {r["k"]: r["f"] for r in answers.rouge_n(df, "k", "h", "r", 1).collect()}

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.search import exact_topk
 from lodestone.sources import files, schemas
-from lodestone.streaming.retrieve import checkpoint_root, retrieve_stream
+from lodestone.storage import checkpoint_root
+from lodestone.streaming.retrieve import retrieve_stream
 
 
 def put(path, text):
@@ -100,22 +101,15 @@ class Stub:
     """A session that names no checkpoint folder."""
 
     def __init__(self, master):
-        self.master, self.folder, self.conf, self.sparkContext = master, None, self, self
+        self.master, self.conf, self.sparkContext = master, self, self
 
     def get(self, key, default):
         return default
 
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert checkpoint_root(spark) and (not named or checkpoint_root(spark) == named)
-    alone = Stub("local[2]")
-    assert checkpoint_root(alone) == checkpoint_root(alone) == alone.folder
+    assert checkpoint_root(Stub("local[2]")) == checkpoint_root(Stub("local[2]"))
     with pytest.raises(ValueError, match="all executors share"):
         checkpoint_root(Stub("yarn"))

@@ -51,10 +51,28 @@ def test_sample_is_exact_and_stable(spark):
 
 def test_head(spark):
     df = spark.createDataFrame([(k * 37 - 900,) for k in range(100)], "k bigint")
-    got = sorted(r["k"] for r in ordering.head_n(df, "k", 31, bits=4).collect())
+    got = sorted(r["k"] for r in ordering.head_n(df, "k", 31).collect())
     assert got == [k * 37 - 900 for k in range(31)]
 
 
+def test_buckets_fit_the_keys(spark):
+    """Few buckets, in the order of the keys, whether ids are dense, hashed or have odd ones."""
+    import pyspark.sql.functions as F
+
+    dense = spark.range(50_000).withColumnRenamed("id", "k")
+    hashed = spark.range(50_000).select(F.xxhash64("id").alias("k"))
+    odd = dense.unionByName(spark.createDataFrame([(2**63 - 1,), (-(2**63),), (None,)], "k long"))
+    for df in (dense, hashed, odd):
+        rows = df.select("k", ordering.range_bucket(df, "k").alias("b")).filter("k is not null").collect()
+        sizes = {}
+        for r in rows:
+            sizes[r["b"]] = sizes.get(r["b"], 0) + 1
+        assert len(sizes) <= 10_000 and max(sizes.values()) <= 200
+        in_order = [r["b"] for r in sorted(rows, key=lambda r: r["k"])]
+        assert in_order == sorted(in_order)
+        assert sorted(r["k"] for r in ordering.head_n(df.filter("k is not null"), "k", 500).collect()) == sorted(r["k"] for r in rows)[:500]
+
+
 def test_shuffle_differs_by_epoch(spark):
     df = spark.range(50).withColumnRenamed("id", "k")
     orders = []

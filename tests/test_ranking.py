@@ -38,7 +38,11 @@ def test_recall_counts_a_repeated_hit_once(spark):
 def test_score_run_and_key_check(spark):
     ranked, judged = run(spark, [(1, 5, 1), (2, 5, 1)]), qrels(spark, [(1, 5), (3, 5)])
     assert {r["qid"] for r in ranking.unmatched_queries(ranked, judged).collect()} == {2, 3}
-    out = {r["metric"]: r["value"] for r in ranking.score_run(ranked, judged, 10, [50]).collect()}
+    with pytest.raises(ValueError, match="same queries"):
+        ranking.score_run(ranked, judged, 10, [50])
+    with pytest.raises(ValueError, match="cut at 20"):
+        ranking.score_run(ranked, judged, 10, [50], depth=20, check_queries=False)
+    out = {r["metric"]: r["value"] for r in ranking.score_run(ranked, judged, 10, [50], check_queries=False).collect()}
     assert out == {"mrr_at_10": 0.5, "recall_at_50": 0.5}
 
 
@@ -48,7 +52,7 @@ def test_probabilities_over_the_cut_do_not_overflow(spark):
     out = sorted(ranking.with_probabilities(df, 3).collect(), key=lambda r: r["rank"])
     weights = [math.exp(-i) for i in range(3)]
     assert [r["prob"] for r in out] == pytest.approx([w / sum(weights) for w in weights])
-    assert ranking.with_probabilities(df, 500, most=2).count() == 2
+    assert ranking.with_probabilities(df, 500).count() == 5
 
 
 def test_responses_order_by_score_then_pid(spark):

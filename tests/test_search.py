@@ -171,7 +171,54 @@ def test_last_token_and_offsets(spark):
     assert {r["pid"]: r["embedding"] for r in ranking.last_token_vector(t).collect()} == {
         3: [2, 2], 5: [3, 3], 900: [6, 6]
     }
-    out = {r["pid"]: (r["length"], r["start"]) for r in ranking.document_offsets(t, bits=2).collect()}
+    out = {r["pid"]: (r["length"], r["start"]) for r in ranking.document_offsets(t).collect()}
     assert out == {3: (2, 0), 5: (1, 2), 900: (3, 3)}
-    places = {r["position"]: r["pid"] for r in ranking.token_positions(t, bits=2).collect()}
+    places = {r["position"]: r["pid"] for r in ranking.token_positions(t).collect()}
     assert places == {0: 3, 1: 3, 2: 5, 3: 900, 4: 900, 5: 900}
+
+
+def test_distances_survive_a_large_offset(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8)) * 1e-3 + 30_000.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "qid long, embedding array<double>")
+    docs = df.withColumnRenamed("qid", "pid")
+    want = {}
+    for i, q in enumerate(base):
+        d = ((base - q) ** 2).sum(axis=1)
+        want[i] = sorted((d[j], j) for j in range(40))[:5]
+    for how in ({}, {"broadcast_rows": 3}, {"warm_up_rows": 10}):
+        got = {}
+        for r in search.exact_topk(df, docs, 5, "l2", **how).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["score"], r["pid"]))
+        for i, rows in got.items():
+            assert [x[2] for x in sorted(rows)] == [j for _, j in want[i]]
+            assert [x[1] for x in sorted(rows)] == pytest.approx([d for d, _ in want[i]], rel=1e-9)
+
+
+def test_zero_null_and_uneven_vectors(spark):
+    rows = [(i, [0.0, 0.0] if i < 2 else [1.0, float(i)]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "pid long, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 5.0])], "qid long, embedding array<double>")
+    hits = search.exact_topk(queries, docs, 5, "cosine").collect()
+    assert [r["qid"] for r in hits] == [1] * 5 and all(r["pid"] > 1 for r in hits)
+    for bad, message in (([(1, None)], "null"), ([(1, [1.0]), (2, [1.0, 2.0])], "differ in width")):
+        odd = spark.createDataFrame(bad, "pid long, embedding array<double>").coalesce(1)
+        with pytest.raises(Exception, match=message):
+            search.exact_topk(queries, odd, 5).collect()
+
+
+def test_probing_reads_the_probed_cells_only(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=4) + 10 * (i % 8)).tolist()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "pid long, embedding array<double>")
+    centroids = spark.createDataFrame([(c, [10.0 * c] * 4) for c in range(8)], "cell int, embedding array<double>")
+    search.write_cells(search.nearest_cells(docs, centroids), str(tmp_path / "cells"))
+    cells, counts = search.read_cells(spark, str(tmp_path / "cells"))
+    queries = spark.createDataFrame([(900, [20.1] * 4)], "qid long, embedding array<double>")
+    probes = search.nearest_cells(queries, centroids, 2)
+    plan = search.probed(cells, probes)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell_group" in plan and "In(cell" in plan
+    assert search.probed(cells, probes).count() == 100
+    got = [r["pid"] for r in search.probe_topk(queries, cells, centroids, 7, 2, counts=counts).orderBy("rank").collect()]
+    near = sorted((float(((np.array(v) - 20.1) ** 2).sum()), i) for i, v in rows if i % 8 in (1, 2, 3))
+    assert got == [i for _, i in near[:7]]

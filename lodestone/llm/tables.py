@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``. A local session that names
-    none (as in tests) gets one in the machine's temporary folder; on a cluster
-    that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to shared storage and read back: computed once, and its
-    lineage is cut, so a lost executor costs one read."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..storage import shared_folder, stored  # noqa: F401
 
 
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.binding import let
 from ..functions.choice import fill, pick
 from ..functions.text import last_subsequence, strip, tokenize
 from .ordering import id_bucket, prefix_aggregates, range_bucket, seeded_shuffle, with_position
+from .vocabulary import SPECIAL_IDS, encode
 
 IGNORED = wording.IGNORED_LABEL
 EXAMPLE = "struct<input_tokens:array<string>,labels:array<string>>"
@@ -225,6 +226,16 @@ def prompt_masked(example: Column, prompt: Column, max_len: int) -> Column:
     return let(labelled, tokens=tokens, quiet=F.size(chat.message_tokens(prompt)))
 
 
+def example_ids(df: DataFrame, keys: list[str], example: str, vocabulary: DataFrame) -> DataFrame:
+    """(keys, ids, labels): an example of tokens as numbers. A label is the id
+    of its token, or IGNORED."""
+    rows = df.select(*keys, F.col(f"{example}.input_tokens").alias("_tokens"), F.col(f"{example}.labels").alias("_labels"))
+    live = F.transform("_labels", lambda x: x != str(IGNORED))
+    encoded = encode(rows.withColumn("_live", live), [*keys, "_live"], F.col("_tokens"), vocabulary)
+    labels = F.zip_with("ids", "_live", lambda i, on: F.when(on, i).otherwise(F.lit(IGNORED)))
+    return encoded.select(*keys, "ids", labels.alias("labels"))
+
+
 # --- example builders -----------------------------------------------------------
 
 

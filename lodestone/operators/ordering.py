@@ -130,20 +130,16 @@ def head_n(df: DataFrame, key: str, n: int) -> DataFrame:
     return first_n(df, n, [F.col(key)], range_bucket(df, key))
 
 
-def trailing_mean(
-    df: DataFrame, keys: list[str], order: str, value: Column, length: int, name: str, bits: int = 16
-) -> DataFrame:
+def trailing_mean(placed: DataFrame, keys: list[str], at: str, value: Column, length: int, name: str, bits: int = 16) -> DataFrame:
     """Mean of ``value`` over the current row and the ``length - 1`` rows before it.
 
-    Rows get a position within ``keys``; each block of positions also receives
-    the last rows of the block before, so blocks can be averaged separately.
+    ``placed`` has the position ``at`` of each row within ``keys``; each block of
+    positions also receives the last rows of the block before, so blocks can be
+    averaged separately.
     """
-    placed = with_position(
-        df.withColumn("_value", value), [F.col(order)], id_bucket(F.col(order), bits), keys, "_at"
-    )
-    block = F.shiftright(F.col("_at"), bits)
-    near_end = F.shiftright(F.col("_at") + (length - 1), bits)
-    spread = placed.withColumn("_block", F.explode(F.sequence(block, near_end)))
-    frame = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(-(length - 1), 0)
-    averaged = spread.withColumn(name, F.avg("_value").over(frame))
-    return averaged.filter(F.col("_block") == block).drop("_value", "_at", "_block")
+    block = F.shiftright(F.col(at), bits)
+    near_end = F.shiftright(F.col(at) + (length - 1), bits)
+    rows = placed.withColumn("_value", value).withColumn("_block", F.explode(F.sequence(block, near_end)))
+    frame = Window.partitionBy(*keys, "_block").orderBy(at).rowsBetween(-(length - 1), 0)
+    averaged = rows.withColumn(name, F.avg("_value").over(frame))
+    return averaged.filter(F.col("_block") == block).drop("_value", "_block")

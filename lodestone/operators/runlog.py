@@ -24,8 +24,8 @@ def rolling_loss(log: DataFrame, run: str, step: str, loss: str, window: int, bi
     )
     running = before.withColumn(
         "rolling_loss", (F.col("_sum") + F.col(loss)) / (F.col("_count") + 1)
-    ).drop("_sum", "_count")
-    return trailing_mean(running, [run], step, F.col(loss), window, "window_loss", bits)
+    )
+    return trailing_mean(running, [run], "_count", F.col(loss), window, "window_loss", bits).drop("_sum", "_count")
 
 
 def best_so_far(log: DataFrame, run: str, step: str, metric: str, bits: int = 16) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import wording
+from ..functions import chat, wording
 from ..functions.text import has_answer, tokenize
 from ..operators import answers, examples, instructions, ordering, prompts, ranking, search
+from ..operators.joins import lookup_join
+from ..operators.vocabulary import SPECIAL_IDS
 
 
 def build_instructions(sources: dict[str, DataFrame], path: str, key: str = "key", seed: str | int = 0) -> DataFrame:
@@ -51,12 +53,31 @@ def training_rows(
 
 
 def training_batches(
-    rows: DataFrame, view: str, batch_size: int, seed, epoch: int = 0, side: str = "left"
+    rows: DataFrame, view: str, vocabulary: DataFrame, batch_size: int, seed, epoch: int = 0, side: str = "left"
 ) -> DataFrame:
-    """One view of the training rows, shuffled, batched and padded."""
-    flat = rows.select("id", F.col(f"{view}.input_tokens").alias("ids"), F.col(f"{view}.labels").alias("labels"))
-    batched = examples.with_batch(flat, "id", batch_size, seed, epoch)
-    return examples.collate(batched, pad_id=wording.PAD, labels="labels", side=side)
+    """One view of the training rows as model inputs: shuffled, batched, and
+    padded (id, batch, slot, ids, labels, attention_mask), all numbers."""
+    encoded = examples.example_ids(rows, ["id"], view, vocabulary)
+    batched = examples.with_batch(encoded, "id", batch_size, seed, epoch, source=rows)
+    return examples.collate(batched, pad_id=SPECIAL_IDS[wording.PAD], labels="labels", side=side)
+
+
+def answered_rows(
+    table: DataFrame, key: str, task: Column, embed_len: int = 1, max_len: int = 1024, restate: bool = False
+) -> DataFrame:
+    """(key, compressed, plain): answered prompts of (question, answer, background)
+    in both views, with labels on the answer, and, if the compressed view is to
+    restate the background, on that too."""
+    question, answer, background = F.col("question"), F.col("answer"), F.col("background")
+    run = chat.placeholder_run(embed_len)
+    restated = background if restate else None
+    compressed = examples.answered_prompt(task, question, answer, run, restated)
+    plain = examples.answered_prompt(task, question, answer, background)
+    return table.select(
+        key,
+        examples.answer_example(compressed, answer, restated, max_len).alias("compressed"),
+        examples.answer_example(plain, answer, None, max_len).alias("plain"),
+    )
 
 
 def retrieval_run(
@@ -118,11 +139,21 @@ def evaluation_prompts(
     embed_len: int = 0,
     keywords: int = 0,
     retriever: str | None = None,
+    dev: DataFrame | None = None,
+    n_shot: int = 5,
+    subject: str | None = None,
+    per_subject: int = 5,
+    limit: int = 2048,
 ) -> DataFrame:
-    """``rows`` (key, question, ..) with ``background`` and ``prompt``.
+    """``rows`` (key, question, ..) with ``background``, ``n_shot`` and ``prompt``.
 
     ``retrieved`` is (key, rank, text). With ``keywords`` the first background
-    is replaced by its best TF-IDF terms.
+    is replaced by its best TF-IDF terms. ``dev`` (key, question, [subject],
+    [background: list of texts]) gives the shots: its first ``n_shot`` rows,
+    of the row's subject if one is named, and as many of them as fit into
+    ``limit`` tokens. ``background`` then holds the row's own texts and those of
+    its shots, in the order of the prompt. A subject without exactly
+    ``per_subject`` dev rows is an error.
     """
     if retrieved is not None:
         rows = prompts.attach_background(rows, key, retrieved, ranks or [1])
@@ -134,11 +165,48 @@ def evaluation_prompts(
             rows = rows.withColumn(
                 "background", F.transform("background", lambda text: prompts.prefixed_passage(text, retriever))
             )
-    background = F.col("background") if retrieved is not None else None
-    example = prompts.example_prompt(task, F.col("question"), background, embed_len)
-    start = prompts.start_prompt(task, retrieved is not None)
+    use_texts = retrieved is not None
     none = F.array().cast("array<string>")
-    return rows.withColumn("prompt", prompts.full_prompt(start, none, example))
+    own = F.col("background") if use_texts else none
+
+    def example():
+        shown = F.col("background") if use_texts else None
+        return prompts.example_prompt(task, F.col("question"), shown, embed_len)
+
+    rows = rows.withColumn("_example", example()).withColumn("_start", prompts.start_prompt(task, use_texts))
+    if dev is None:
+        shot = F.array().cast("array<struct<text:string,background:array<string>>>")
+        rows = rows.withColumn("_shots", shot)
+    else:
+        if subject:
+            check_subjects(rows, dev, subject, per_subject)
+        texts = F.col("background") if use_texts else none
+        shots = prompts.first_shots(
+            dev, key, F.struct(example().alias("text"), texts.alias("background")), n_shot, subject
+        ).withColumnRenamed("shots", "_shots")
+        if subject:
+            rows = lookup_join(rows, shots, [subject], [F.col(key)], "left")
+        else:
+            rows = rows.withColumn("_shots", shots.select("_shots").scalar())
+    texts = F.transform("_shots", lambda s: s["text"])
+    bare = prompts.full_prompt(F.col("_start"), none, F.col("_example"))
+    fitted = rows.withColumn("n_shot", prompts.fitting_shots(prompts.prompt_length(bare), texts, limit))
+    kept = F.slice("_shots", F.lit(1), F.col("n_shot"))
+    shown = F.transform(kept, lambda s: s["text"])
+    shot_texts = F.flatten(F.transform(kept, lambda s: s["background"]))
+    return (
+        fitted.withColumn("prompt", prompts.full_prompt(F.col("_start"), shown, F.col("_example")))
+        .withColumn("background", prompts.all_backgrounds(own, shot_texts))
+        .drop("_example", "_start", "_shots")
+    )
+
+
+def check_subjects(rows: DataFrame, dev: DataFrame, subject: str, n: int) -> None:
+    odd = [r[subject] for r in prompts.subjects_without_exactly(dev, subject, n).limit(5).collect()]
+    unknown = rows.select(subject).distinct().join(dev.select(subject).distinct(), subject, "left_anti")
+    odd += [r[subject] for r in unknown.limit(5).collect()]
+    if odd:
+        raise ValueError(f"subjects without exactly {n} rows to show: {odd}")
 
 
 def score_outputs(rows: DataFrame, dataset: str, key: str, output: str, answer: str) -> DataFrame:

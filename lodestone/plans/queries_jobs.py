@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import chat
-from ..operators import examples, search
+from ..functions import chat, wording
+from ..functions.text import tokenize
+from ..operators import examples, prompts, search, vocabulary
+from ..storage import stored
 from . import jobs
-from .queries_text import CHUNKS, COMPRESSED, PLAIN, QA_WITH_BACKGROUND, scratch, with_background
+from .queries_text import CHUNKS, COMPRESSED, PLAIN, QA_WITH_BACKGROUND, numbers_joined, scratch, with_background
 from .queries_vectors import CELLS, DOT, assigned_cells, best
-from .registry import QA, as_docs, as_queries, label_means, prompt_tok, query, tok, trimmed, with_
+from .registry import QA, VOCABULARY, as_docs, as_queries, joined, label_means, prompt_tok, query, quoted, tok, trimmed, with_
 
 
 def chat_length(first: str) -> str:
     return f"len({prompt_tok(chr(39) + '[INST] ' + chr(39) + ' || ' + trimmed(first) + ' || ' + chr(39) + ' [/INST]' + chr(39))})"
 
 
+def talk_table(t):
+    return with_background(t).select(
+        F.concat(F.lit("talk_"), F.col("key").cast("string")).alias("id"),
+        chat.conversation(F.col("question"), F.col("answer")).alias("messages"),
+        F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("task_type"),
+        "background",
+    )
+
+
 SHUFFLED = "md5('11:0:' || id), id"
 
 
@@ -35,13 +46,7 @@ SHUFFLED = "md5('11:0:' || id), id"
 )
 def training_table(t):
     """Talks with a document as background: sampled, filtered, encoded twice."""
-    table = with_background(t).select(
-        F.concat(F.lit("talk_"), F.col("key").cast("string")).alias("id"),
-        chat.conversation(F.col("question"), F.col("answer")).alias("messages"),
-        F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("task_type"),
-        "background",
-    )
-    rows = jobs.training_rows(table, max_samples=200, excluded=["turn2"], seed=11)
+    rows = jobs.training_rows(talk_table(t), max_samples=200, excluded=["turn2"], seed=11)
     return rows.select(
         "id",
         F.size("chunks").alias("chunks"),
@@ -51,6 +56,111 @@ def training_table(t):
     )
 
 
+def batches_sql() -> str:
+    """Both views as ids: encoded, batched by the shuffled id, padded on the left."""
+    special = " ".join(f"WHEN '{token}' THEN {i}" for i, token in enumerate(wording.SPECIAL_TOKENS))
+    unknown = wording.SPECIAL_TOKENS.index(wording.UNK)
+    parts = [
+        f"""SELECT id, '{view}' AS view, {prompt_tok("'[INST] ' || " + trimmed(first) + " || ' [/INST]'")} AS head,
+            {prompt_tok(trimmed('answer') + " || '</s>'")} AS said FROM c"""
+        for view, first in (("compressed", COMPRESSED), ("plain", PLAIN))
+    ]
+    return with_(
+        qa=QA,
+        b=QA_WITH_BACKGROUND,
+        s=f"SELECT *, 'talk_' || key AS id FROM b ORDER BY {SHUFFLED} LIMIT 200",
+        c=f"SELECT *, {CHUNKS.format(t=tok('background'), total=1024)} AS n FROM s WHERE turn <> 2",
+        v=" UNION ALL ".join(parts),
+        live="""SELECT id, view, list_concat(head, said)[1:1024] AS tokens, len(head) AS quiet,
+                least(len(said), greatest(1024 - len(head), 0)) AS n_live FROM v""",
+        kept="""SELECT id FROM live GROUP BY id
+                HAVING max(n_live) = min(n_live) AND min(n_live) > 0""",
+        placed="SELECT id, row_number() OVER (ORDER BY md5('5:1:' || id), id) - 1 AS position FROM kept",
+        vocab=VOCABULARY.format(tokens=tok("text"), table="documents"),
+        flat="""SELECT id, view, quiet, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
+                FROM live JOIN kept USING (id)""",
+        coded=f"""SELECT id, view, quiet, pos, CASE token {special} ELSE coalesce(token_id, {unknown}) END AS i
+                  FROM flat LEFT JOIN vocab USING (token)""",
+        e="""SELECT id, view, list(i ORDER BY pos) AS ids,
+             list(CASE WHEN pos <= quiet THEN -100 ELSE i END ORDER BY pos) AS labels FROM coded GROUP BY id, view""",
+        w="""SELECT *, position // 4 AS batch, max(len(ids)) OVER (PARTITION BY view, position // 4) AS width
+             FROM e JOIN placed USING (id)""",
+    ) + f"""SELECT id, view, batch, position % 4 AS slot,
+      {joined('list_concat(list_resize([]::BIGINT[], width - len(ids), 0), ids)')} AS ids,
+      {joined('list_concat(list_resize([]::BIGINT[], width - len(ids), -100), labels)')} AS labels,
+      {joined('list_concat(list_resize([]::BIGINT[], width - len(ids), 0), list_resize([]::BIGINT[], len(ids), 1))')} AS attention_mask
+      FROM w"""
+
+
+@query("training_batches", batches_sql())
+def training_batches(t):
+    """Both views of the training table as padded ids, labels and masks."""
+    rows = stored(jobs.training_rows(talk_table(t), max_samples=200, excluded=["turn2"], seed=11))
+    words = stored(vocabulary.build_vocabulary(t.documents, tokenize(F.col("text"))))
+    parts = [
+        jobs.training_batches(rows, view, words, 4, 5, 1).withColumn("view", F.lit(view)) for view in ("compressed", "plain")
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        "id", "view", "batch", "slot", *[numbers_joined(c).alias(c) for c in ("ids", "labels", "attention_mask")]
+    )
+
+
+EVAL_QUESTION = "source || ' ' || text"
+EVAL_EXAMPLE = (
+    rf"'Background: ' || {trimmed(quoted('passage: ') + ' || source || ' + quoted(' passage: ') + ' || n_chars')} || E'\n\n' || "
+    f"'Question: ' || {trimmed(EVAL_QUESTION)} || '?'"
+)
+EVAL_START = quoted(wording.START_PROMPTS[("open_qa", True)])
+
+
+@query(
+    "evaluation_prompts",
+    with_(
+        s=f"""SELECT lang, source, n_chars, {EVAL_EXAMPLE} AS shot,
+              row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents QUALIFY place <= 5""",
+        k=rf"""SELECT doc_id, lang, source, n_chars, {EVAL_EXAMPLE} AS example,
+               len({prompt_tok(rf"'[INST] ' || {EVAL_START} || E'\n\n' || {EVAL_EXAMPLE} || ' [/INST] The answer is:'")}) AS base
+               FROM documents""",
+        c=f"""SELECT *, sum(len({prompt_tok('shot')})) OVER (PARTITION BY lang ORDER BY place) AS used FROM s""",
+        f="""SELECT k.doc_id, coalesce(max(place), 0) AS n_shot FROM k LEFT JOIN c ON c.lang = k.lang AND base + used <= 2048
+             GROUP BY k.doc_id""",
+    )
+    + rf"""SELECT doc_id, n_shot, 2 * (n_shot + 1) AS n_background,
+        md5('[INST] ' || {EVAL_START} || E'
+
+' || coalesce((
+          SELECT string_agg(shot, E'
+
+' ORDER BY place) FROM c WHERE c.lang = k.lang AND place <= n_shot) || E'
+
+', '')
+          || example || ' [/INST] The answer is:') AS prompt,
+        md5('passage: ' || source || '|passage: ' || n_chars || coalesce((
+          SELECT '|' || string_agg('passage: ' || source || '|passage: ' || n_chars, '|' ORDER BY place)
+          FROM c WHERE c.lang = k.lang AND place <= n_shot), '')) AS backgrounds
+      FROM k JOIN f USING (doc_id)""",
+)
+def evaluation_prompts(t):
+    """Every document as a question, with two retrieved texts and up to five
+    shots of its language, which bring their own."""
+    question = F.concat_ws(" ", "source", "text").alias("question")
+    rows = t.documents.select("doc_id", "lang", question)
+    texts = F.array("source", F.col("n_chars").cast("string"))
+    retrieved = t.documents.select("doc_id", F.posexplode(texts).alias("at", "text"))
+    retrieved = retrieved.select("doc_id", (F.col("at") + 1).alias("rank"), "text")
+    first = prompts.first_shots(
+        t.documents, "doc_id", F.struct("doc_id", question, F.transform(texts, lambda x: F.concat(F.lit("passage: "), x)).alias("background")), 5, "lang"
+    )
+    dev = first.select("lang", F.inline("shots"))
+    found = jobs.evaluation_prompts(
+        rows, "doc_id", F.lit("open_qa"), retrieved, [1, 2], retriever="intfloat/E5-large-v2", dev=dev, subject="lang"
+    )
+    return found.select(
+        "doc_id", "n_shot", F.size("background").alias("n_background"), F.md5("prompt").alias("prompt"),
+        F.md5(F.array_join("background", "|")).alias("backgrounds"),
+    )
+
+
 @query(
     "retrieval_run",
     with_(

@@ -141,7 +141,8 @@ def write_shards(df: DataFrame, path: str, rows_per_shard: int = 200_000, mode:
 
 
 def write_token_arrays(df: DataFrame, path: str, expected: int | None = None, mode: str = "errorifexists") -> int:
-    """Token arrays as Parquet; with ``expected`` the stored count must match."""
+    """Token arrays as Parquet; with ``expected`` the stored count, which the
+    files' footers hold, must match."""
     df.write.mode(mode).parquet(path)
     stored = df.sparkSession.read.parquet(path).count()
     if expected is not None and stored != expected:
@@ -153,8 +154,9 @@ def write_token_arrays(df: DataFrame, path: str, expected: int | None = None, mo
 
 
 def read_exams(spark: SparkSession, pattern: str, split: str) -> DataFrame:
-    """Headerless files ``<subject>_<split>.csv``; the subject is read from the name."""
-    name = F.regexp_extract(F.input_file_name(), rf"([^/]+)_{split}\.csv$", 1)
+    """Headerless files, or folders of files, ``<subject>_<split>.csv``; the subject
+    is read from the name."""
+    name = F.regexp_extract(F.input_file_name(), rf"([^/]+)_{split}\.csv(?:/[^/]+)?$", 1)
     rows = spark.read.schema(schemas.EXAM).options(quote='"', escape='"', multiLine=True).csv(pattern)
     return rows.withColumn("question", strip(F.col("question"))).withColumn(
         "subject", F.replace(F.replace(name, F.lit("%20"), F.lit(" ")), F.lit("_"), F.lit(" "))

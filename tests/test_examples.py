@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import chat, wording
+from lodestone.functions.text import tokenize
 from lodestone.operators import examples, vocabulary
 from lodestone.plans import jobs
 
@@ -202,7 +203,12 @@ def test_training_batches(spark):
     out = jobs.training_rows(table, excluded=["other"])
     assert out.count() == 8
     assert {len(r["chunks"]) for r in out.collect()} == {2}
-    batches = jobs.training_batches(out, "compressed", 4, seed=1).collect()
+    words = vocabulary.build_vocabulary(table, tokenize(F.col("background")))
+    batches = jobs.training_batches(out, "compressed", words, 4, seed=1).collect()
+    for r in batches:
+        assert all(isinstance(x, int) for x in r["ids"] + r["labels"])
+        assert all(y in (-100, x) for x, y in zip(r["ids"], r["labels"])) and set(r["labels"]) != {-100}
+        assert [int(x != 0) for x in r["ids"]] == r["attention_mask"]
     for batch in {r["batch"] for r in batches}:
         assert len({len(r["ids"]) for r in batches if r["batch"] == batch}) == 1
     with pytest.raises(Exception, match="no background in row"):
@@ -211,6 +217,15 @@ def test_training_batches(spark):
     assert jobs.training_rows(table, max_len=100).count() == 0
 
 
+def test_answered_rows_label_the_answer_in_both_views(spark):
+    df = spark.createDataFrame([(1, "why", "because", "some background words")], "k int, question string, answer string, background string")
+    for restate in (False, True):
+        row = jobs.answered_rows(df, "k", F.lit("open_qa"), restate=restate).first()
+        live = {v: [x for x in row[v]["labels"] if x != "-100"] for v in ("compressed", "plain")}
+        assert "because" in live["plain"] and "because" in live["compressed"]
+        assert ("background" in live["compressed"]) == restate
+
+
 def test_stacked_documents_put_positives_first(spark):
     df = spark.createDataFrame([(i, [i], [10 + i]) for i in range(3)], "k bigint, p array<int>, n array<int>")
     out = examples.stack_documents(examples.with_batch(df, "k", 2, 0, shuffle=False), "p", "n")

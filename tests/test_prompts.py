@@ -126,3 +126,29 @@ def test_evaluation_job(spark):
     assert record["score"] == 0.5 and record["metric"] == "substring_match" and not record["include_retrieval"]
     both = jobs.score_outputs(outputs, "truthfulqa", "k", "said", "answer")
     assert {r["k"]: r["f1"] for r in both.collect()} == {0: 1.0, 1: 0.0}
+
+
+def test_evaluation_with_shots(spark):
+    rows = spark.createDataFrame([(0, "why", "x"), (1, "who", "y")], "k int, question string, subject string")
+    hits = spark.createDataFrame([(0, 1, "own0"), (1, 1, "own1")], "k int, rank int, text string")
+    shots = [(i, f"q{i}", s, [f"text {s}{i}"]) for s in "xy" for i in range(5)]
+    dev = spark.createDataFrame(shots, "k int, question string, subject string, background array<string>")
+    how = dict(retrieved=hits, ranks=[1], dev=dev, n_shot=2, subject="subject")
+    got = {r["k"]: r for r in jobs.evaluation_prompts(rows, "k", F.lit("open_qa"), **how).collect()}
+    assert got[1]["background"] == ["own1", "text y0", "text y1"] and got[1]["n_shot"] == 2
+    assert got[1]["prompt"].index("text y0") < got[1]["prompt"].index("text y1") < got[1]["prompt"].index("own1")
+    tight = jobs.evaluation_prompts(rows, "k", F.lit("open_qa"), **how, limit=35).collect()
+    assert {(r["n_shot"], len(r["background"])) for r in tight} == {(0, 1)} or all(r["n_shot"] < 2 for r in tight)
+    with pytest.raises(ValueError, match="exactly 5"):
+        jobs.evaluation_prompts(rows, "k", F.lit("open_qa"), **(how | {"dev": dev.filter("k > 0 or subject = 'x'")}))
+    with pytest.raises(ValueError, match="exactly 5"):
+        jobs.evaluation_prompts(rows, "k", F.lit("open_qa"), **(how | {"dev": dev.filter("subject = 'x'")}))
+    free = jobs.evaluation_prompts(rows.drop("subject"), "k", F.lit("open_qa"), dev=dev.select("k", "question").limit(3))
+    assert all(r["background"] == [] and r["n_shot"] == 3 for r in free.collect())
+
+
+def test_end_mark_is_for_encoders_only(value):
+    name = "Intfloat/E5-mistral-7b-instruct"
+    assert value(prompts.passage_text(F.lit("t"), name)) == "t</s>"
+    assert value(prompts.prefixed_passage(F.lit("t"), name)) == "t"
+    assert value(prompts.prefixed_passage(F.lit("t"), "INTFLOAT/e5-large-v2")) == "passage: t"

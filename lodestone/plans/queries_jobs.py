@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chat, wording
-from ..functions.text import tokenize
+from ..functions.text import strip, tokenize
 from ..operators import examples, prompts, search, vocabulary
 from ..storage import stored
 from . import jobs
-from .queries_text import CHUNKS, COMPRESSED, PLAIN, QA_WITH_BACKGROUND, numbers_joined, scratch, with_background
+from .queries_text import CHUNKS, COMPRESSED, PLAIN, QA_WITH_BACKGROUND, answered_sql, numbers_joined, scratch, with_background
 from .queries_vectors import CELLS, DOT, assigned_cells, best
 from .registry import QA, VOCABULARY, as_docs, as_queries, joined, label_means, prompt_tok, query, quoted, tok, trimmed, with_
 
@@ -105,6 +105,49 @@ def training_batches(t):
     )
 
 
+def found_at(tokens: str, run: str) -> str:
+    """Last place of a token run in a list, -1 without one."""
+    return (
+        f"coalesce(list_max(list_filter(range(0, len({tokens}) - len({run}) + 1),"
+        f" lambda i: {tokens}[i + 1 : i + len({run})] = {run})), -1)"
+    )
+
+
+RESTATED = r"E'\n\nBackground: <DOC>\nThe above background document is just a paraphrase of the following: ' || background || E'\n\n'"
+SHOWN_TEXT = r"E'\n\nBackground: ' || background || E'\n\n'"
+
+
+@query(
+    "answered_views",
+    with_(
+        d=f"""SELECT doc_id, 'open_qa' AS task, source || ' ' || lang AS question, n_chars::VARCHAR AS answer,
+              {trimmed('text')} AS background FROM documents""",
+        v=f"""SELECT doc_id, {prompt_tok('background')} AS b, {prompt_tok('answer')} AS a,
+              ({prompt_tok(answered_sql(True, RESTATED))})[1:1024] AS c, ({prompt_tok(answered_sql(True, SHOWN_TEXT))})[1:1024] AS p
+              FROM d""",
+        s=f"""SELECT *, {found_at('c', 'a')} AS ca, {found_at('c', 'b')} AS cb, {found_at('p', 'a')} AS pa FROM v""",
+    )
+    + """SELECT doc_id,
+      len(list_filter(range(0, len(c)), lambda i: (ca >= 0 AND i >= ca AND i < ca + len(a)) OR (ca >= 0 AND i = len(c) - 1)
+        OR (cb >= 0 AND i >= cb AND i < cb + len(b)))) AS live_compressed,
+      len(list_filter(range(0, len(p)), lambda i: (pa >= 0 AND i >= pa AND i < pa + len(a)) OR (pa >= 0 AND i = len(p) - 1))) AS live_plain,
+      md5(array_to_string(c, ' ')) AS compressed, md5(array_to_string(p, ' ')) AS plain FROM s""",
+)
+def answered_views(t):
+    """Answered questions over every document, in both views; the compressed one
+    also restates the document."""
+    rows = t.documents.select(
+        "doc_id",
+        F.concat_ws(" ", "source", "lang").alias("question"),
+        F.col("n_chars").cast("string").alias("answer"),
+        strip(F.col("text")).alias("background"),
+    )
+    views = jobs.answered_rows(rows, "doc_id", F.lit("open_qa"), restate=True)
+    live = [examples.live_labels(F.col(f"{v}.labels")).alias(f"live_{v}") for v in ("compressed", "plain")]
+    texts = [F.md5(F.array_join(f"{v}.input_tokens", " ")).alias(v) for v in ("compressed", "plain")]
+    return views.select("doc_id", *live, *texts)
+
+
 EVAL_QUESTION = "source || ' ' || text"
 EVAL_EXAMPLE = (
     rf"'Background: ' || {trimmed(quoted('passage: ') + ' || source || ' + quoted(' passage: ') + ' || n_chars')} || E'\n\n' || "

@@ -23,43 +23,69 @@ from pyspark.sql import DataFrame, functions as F
 from .tables import map_arrow
 
 LEAF = 1 << 14  # characters or bytes; text that stays unsplit for longer is encoded in parallel
-KEPT = 400_000  # pieces whose tokens a worker remembers
+KEPT = 150_000  # pieces whose tokens a worker remembers
+ROWS = 256  # documents of a batch on its way out
 AFTER_SPACE = re.compile(r"\s ")
 
 
-class Codec:
-    """One vocabulary in one worker."""
+class Bytes:
+    """The bytes that each token of a vocabulary stands for."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        tokenizer = load(path)
+        special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.byte_of, self.char_of = byte_characters()
+        self.bytes_of: list[bytes] = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
+        for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[i] = token.encode() if i in special else bytes(self.byte_of[c] for c in token)
+
+    def text(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def decode(self, ids: bytes) -> bytes:
+        text = self.text(np.frombuffer(ids, "<u4").tolist())
+        try:
+            text.decode()
+            return text
+        except UnicodeDecodeError:
+            return text.decode(errors="replace").encode()
+
+
+def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def byte_characters() -> tuple[dict[str, int], dict[int, str]]:
+    """The printable characters that stand for bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    return byte_of, {b: c for c, b in byte_of.items()}
 
-        self.tokenizer = Tokenizer.from_file(path)
+
+def held(kind, path: str):
+    """One object of ``kind`` for a vocabulary, loaded once a worker, also across tasks."""
+    kept = sys.modules.setdefault("_lodestone_vocabularies", types.ModuleType("_lodestone_vocabularies"))
+    name = f"{kind.__name__} {path}"
+    if name not in kept.__dict__:
+        kept.__dict__[name] = kind(path)
+    return kept.__dict__[name]
+
+
+class Codec:
+    """Encoding with one vocabulary."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.tokenizer = load(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special_of = {i: t for t, i in self.special.items()}
         self.any_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.kept: dict[str, bytes] = {}
-        # the printable characters that stand for bytes in the vocabulary
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in plain]
-        self.byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-        self.char_of = {b: c for c, b in self.byte_of.items()}
-        self.bytes_of: list[bytes] = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            if i in self.special_of:
-                self.bytes_of[i] = token.encode()
-            else:
-                self.bytes_of[i] = bytes(self.byte_of[c] for c in token)
-
-    @staticmethod
-    def of(path: str) -> Codec:
-        """The worker's codec: loaded once, also across tasks."""
-        held = sys.modules.setdefault("_lodestone_codecs", types.ModuleType("_lodestone_codecs"))
-        if path not in held.__dict__:
-            held.__dict__[path] = Codec(path)
-        return held.__dict__[path]
 
     def segments(self, text: str):
         """Stretches of ordinary text, and the special tokens between them."""
@@ -92,20 +118,12 @@ class Codec:
         stand for bytes, without splitting it."""
         return [t.id for t in self.tokenizer.model.tokenize(mapped)]
 
-    def decode(self, ids: bytes) -> bytes:
-        text = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        try:
-            text.decode()
-            return text
-        except UnicodeDecodeError:
-            return text.decode(errors="replace").encode()
-
     def join(self, left: list[int], right: list[int], width: int = 8) -> list[int]:
         """Tokens of two neighbouring stretches as one."""
         while left and right:
             a, b = left[-width:], right[:width]
-            window = b"".join(map(self.bytes_of.__getitem__, a + b))
-            whole = self.encode_raw("".join(map(self.char_of.__getitem__, window)))
+            table = held(Bytes, self.path)
+            whole = self.encode_raw("".join(map(table.char_of.__getitem__, table.text(a + b))))
             if (len(a) == len(left) or whole[0] == a[0]) and (len(b) == len(right) or whole[-1] == b[-1]):
                 return left[: -len(a)] + whole + right[len(b) :]
             width *= 2
@@ -156,12 +174,14 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     )
 
     def short(batch):
-        codec = Codec.of(path)
-        ids = [codec.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        codec = held(Codec, path)
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
+            ids = [codec.encode(t) if t else b"" for t in rows.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     def apart(batch):
-        codec = Codec.of(path)
+        codec = held(Codec, path)
         for doc, row, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "_row", "text")]):
             found = list(parts_of(codec, text, leaf))
             yield pa.RecordBatch.from_pydict(
@@ -176,13 +196,13 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
             )
 
     def each_part(batch):
-        codec = Codec.of(path)
+        codec = held(Codec, path)
         ids = [encode_part(codec, k, t) for k, t in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist())]
         columns = [batch.column(c) for c in ("doc_id", "_row", "part", "run")]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=["doc_id", "_row", "part", "run", "ids"])
 
     def together(batch):
-        codec = Codec.of(path)
+        codec = held(Codec, path)
         out = [join_parts(codec, [(p["run"], p["ids"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
@@ -270,9 +290,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kind = dict(encoded.dtypes)["doc_id"]
 
     def each(batch):
-        codec = Codec.of(path)
-        text = [codec.decode(x or b"") for x in batch.column("ids").to_pylist()]
-        columns = [batch.column("doc_id"), batch.column("ids"), pa.array(text, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+        table = held(Bytes, path)
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
+            text = [table.decode(x or b"") for x in rows.column("ids").to_pylist()]
+            columns = [rows.column("doc_id"), rows.column("ids"), pa.array(text, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
     return map_arrow(encoded.select("doc_id", "ids"), each, f"doc_id {kind}, ids binary, decoded binary")

@@ -12,10 +12,18 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def small_copy(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
     """``df`` as a local table, or None when it is too large to broadcast.
 
-    At most ``rows + 1`` rows are fetched to find out, and a small table is
-    computed only once.
+    A small table is computed only once. Of a larger one, a few rows are fetched
+    first; their size bounds how many more may be: at most ``rows + 1``, and
+    about BROADCAST_BYTES.
     """
-    fetched = df.limit(rows + 1).toArrow()
+    first = 1024
+    fetched = df.limit(min(rows, first) + 1).toArrow()
+    if rows > first and fetched.num_rows > first:
+        each = max(1, fetched.nbytes // fetched.num_rows)
+        rows = min(rows, BROADCAST_BYTES // each)
+        if rows <= first:
+            return None
+        fetched = df.limit(rows + 1).toArrow()
     if fetched.num_rows > rows or fetched.nbytes > BROADCAST_BYTES:
         return None
     if not fetched.num_rows:

@@ -415,8 +415,9 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, bucket_bytes: int, h
     hot = _hot_anchors(again, max(HOT_LEAST, total // hot_share))
     by_doc = again.filter("payload is not null").groupBy("_id", "_mark").agg(F.collect_list("payload").alias("payloads"))
 
-    dealt = source.repartition("_id", "_mark")
-    around = dealt.join(by_doc, ["_id", "_mark"]).select("_id", "_mark", "text", "payloads")
+    # used twice with the same columns, so that Spark deals the texts out once
+    dealt = source.repartition("_id", "_mark").select("doc_id", "_id", "_mark", "text")
+    around = dealt.join(by_doc, ["_id", "_mark"]).select("doc_id", "_id", "_mark", "text", "payloads")
     contexts = map_arrow(around, _context_rows(length, buckets, hot), BY_BUCKET)
     marks = contexts.groupBy("bucket").applyInArrow(_marks_of_bucket(length, buckets), BY_DOC)
     return dealt, marks.groupBy("_id", "_mark").agg(F.collect_list("payload").alias("payloads"))
@@ -477,5 +478,5 @@ def without_repeats(
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    whole = dealt.join(spans, ["_id", "_mark"], "left").select("doc_id", "text", "payloads")
+    whole = dealt.join(spans, ["_id", "_mark"], "left").select("doc_id", "_id", "_mark", "text", "payloads")
     return map_arrow(whole, each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -22,28 +22,39 @@ from .tables import map_arrow, stored, utf8
 from .words import Hashes, blocks, mixed
 
 LEAST = -(2**63)  # stands for a null id, which comes first
-ROW = np.dtype([("id", "<i8"), ("mark", "<i4"), ("at", "<i4"), ("low", "<i4"), ("high", "<i4")])
-KEYED = np.dtype([("hash", "<u8"), *ROW.descr])
-SPAN = np.dtype([("first", "<i4"), ("last", "<i4")])
+DOC = [("id", "<i8"), ("mark", "<i4")]
+KEYED = np.dtype([("hash", "<u8"), *DOC, ("at", "<i4"), ("low", "<i4"), ("high", "<i4")])
+SPAN = np.dtype([*DOC, ("first", "<i4"), ("last", "<i4")])
+BY_BUCKET = "bucket long, group long, payload binary"  # of anchors; groups are of documents
+BY_GROUP = "group long, payload binary"
 BY_DOC = "_id long, _mark int, payload binary"
-BY_BUCKET = f"bucket long, {BY_DOC}"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed payload; fields are stored one after another."""
+    """Arrays as one payload. Larger ones are compressed, their fields stored one
+    after another."""
+    if sum(a.nbytes for a in arrays) < 4096:
+        return b"\0" + b"".join(np.int64(len(a)).tobytes() + a.tobytes() for a in arrays)
     parts = []
     for a in arrays:
         fields = [np.ascontiguousarray(a[f]) for f in a.dtype.names] if a.dtype.names else [a]
         parts.append(np.int64(len(a)).tobytes())
         parts += [np.ascontiguousarray(f.view(np.uint8).reshape(len(a), f.itemsize).T).tobytes() for f in fields]
     raw = b"".join(parts)
-    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return b"\1" + np.int64(len(raw)).tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
 def unpacked(payload: bytes, *kinds: np.dtype) -> list[np.ndarray]:
-    size = int(np.frombuffer(payload, np.int64, 1)[0])
-    raw = pa.Codec("zstd", 1).decompress(payload[8:], decompressed_size=size, asbytes=True)
-    at, out = 0, []
+    at, out = 1, []
+    if payload[0] == 0:
+        for kind in map(np.dtype, kinds):
+            n = int.from_bytes(payload[at : at + 8], "little")
+            out.append(np.frombuffer(payload, kind, n, at + 8))
+            at += 8 + n * kind.itemsize
+        return out
+    size = int(np.frombuffer(payload, np.int64, 1, at)[0])
+    raw = pa.Codec("zstd", 1).decompress(payload[9:], decompressed_size=size, asbytes=True)
+    at = 0
     for kind in map(np.dtype, kinds):
         n = int(np.frombuffer(raw, np.int64, 1, at)[0])
         at += 8
@@ -104,6 +115,9 @@ def _anchor_rows(length: int, gram: int, buckets: int):
         ids = np.array(batch.column("_id").to_numpy(zero_copy_only=False), dtype=np.int64)
         marks = np.array(batch.column("_mark").to_numpy(zero_copy_only=False), dtype=np.int32)
         texts = [x or b"" for x in batch.column("text").to_pylist()]
+        once = np.zeros(len(ids), bool)  # rows that repeat a document add nothing
+        once[np.unique(np.stack([ids, marks], axis=1), axis=0, return_index=True)[1]] = True
+        texts = [t if new else b"" for t, new in zip(texts, once)]
         found = []
         for first, last, data, starts in blocks(texts):
             sizes = np.array([len(t) for t in texts[first:last]], dtype=np.int64)
@@ -119,9 +133,8 @@ def _anchor_rows(length: int, gram: int, buckets: int):
         known = counts[inverse] > 1
         own, out = rows[~known], []
         many = counts > 1
-        by_doc = rows[known]
-        for part in _by_document(by_doc):
-            out.append((buckets + int(part["id"][0]) % buckets, int(part["id"][0]), int(part["mark"][0]), packed(part)))
+        for group, part in _by_group(rows[known], buckets):
+            out.append((buckets + group, group, packed(part)))
         bucket = (own["hash"] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         own, bucket = own[order], bucket[order]
@@ -133,7 +146,7 @@ def _anchor_rows(length: int, gram: int, buckets: int):
         for b in np.union1d(bucket, told_bucket):
             a, z = np.searchsorted(bucket, [b, b + 1])
             c, d = np.searchsorted(told_bucket, [b, b + 1])
-            out.append((int(b), 0, 0, packed(own[a:z], told[c:d])))
+            out.append((int(b), -1, packed(own[a:z], told[c:d])))
         yield _batch(out, BY_BUCKET)
 
     return each
@@ -147,12 +160,27 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _by_document(rows: np.ndarray):
-    """Slices of rows of the same document."""
-    if len(rows):
-        rows = rows[np.lexsort((rows["low"], rows["mark"], rows["id"]))]
-        cut = np.flatnonzero((rows["id"][1:] != rows["id"][:-1]) | (rows["mark"][1:] != rows["mark"][:-1])) + 1
-        yield from np.split(rows, cut)
+def _by_group(rows: np.ndarray, groups: int):
+    """(group of documents, its rows)."""
+    key = rows["id"].view(np.uint64) if rows["id"].flags.c_contiguous else np.ascontiguousarray(rows["id"]).view(np.uint64)
+    group = (mixed(key + rows["mark"].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if len(part):
+            yield int(group[part[0]]), rows[part]
+
+
+def _documents(kind: np.dtype):
+    """The rows of a group of documents, a payload for each document."""
+
+    def each(table: pa.Table) -> pa.Table:
+        rows = np.unique(np.concatenate([unpacked(p, kind)[0] for p in table.column("payload").to_pylist()]))
+        rows = rows[np.lexsort((rows["mark"], rows["id"]))]
+        cut = np.flatnonzero((np.diff(rows["id"]) != 0) | (np.diff(rows["mark"]) != 0)) + 1
+        out = [(int(p["id"][0]), int(p["mark"][0]), packed(p)) for p in np.split(rows, cut) if len(p)]
+        return pa.Table.from_batches([_batch(out, BY_DOC)])
+
+    return each
 
 
 def _repeated_anchors(buckets: int):
@@ -162,18 +190,18 @@ def _repeated_anchors(buckets: int):
     def each(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket >= buckets:  # known already
-            return table.select(["_id", "_mark", "payload"]).append_column("hot", pa.nulls(len(table), pa.binary()))
+            return table.select(["group", "payload"]).append_column("hot", pa.nulls(len(table), pa.binary()))
         parts = [unpacked(p, KEYED, told_kind) for p in table.column("payload").to_pylist()]
         rows, told = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         keys, inverse = np.unique(np.concatenate([rows["hash"], told["hash"]]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([np.ones(len(rows)), told["n"]]), minlength=len(keys)).astype(np.int64)
         again = rows[counts[inverse[: len(rows)]] > 1]
-        out = [(int(p["id"][0]), int(p["mark"][0]), packed(p), None) for p in _by_document(again)]
+        out = [(group, packed(part), None) for group, part in _by_group(again, buckets)]
         most = np.empty(int((counts >= HOT_LEAST).sum()), told_kind)
         most["hash"], most["n"] = keys[counts >= HOT_LEAST], counts[counts >= HOT_LEAST]
         if len(most):
-            out.append((None, None, None, most.tobytes()))
-        return pa.Table.from_batches([_batch(out, BY_DOC + ", hot binary")])
+            out.append((None, None, most.tobytes()))
+        return pa.Table.from_batches([_batch(out, BY_GROUP + ", hot binary")])
 
     return each
 
@@ -192,10 +220,10 @@ def _context_rows(length: int, buckets: int, hot: np.ndarray):
 
     def each(batch):
         seen: dict[tuple, tuple] = {}
-        known: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        columns = [batch.column(c).to_pylist() for c in ("_id", "_mark", "text", "payloads")]
-        for doc, mark, text, payloads in zip(*columns):
-            rows = np.concatenate([unpacked(p, KEYED)[0] for p in payloads])
+        known: list[tuple[int, int, int, int]] = []
+        columns = [batch.column(c).to_pylist() for c in ("_id", "_mark", "text", "payload")]
+        for doc, mark, text, payload in zip(*columns):
+            rows = unpacked(payload, KEYED)[0]
             if len(hot):
                 rows = _split_hot(rows, hot, text, length)
             for key, at, low, high in zip(rows["hash"].tolist(), rows["at"].tolist(), rows["low"].tolist(), rows["high"].tolist()):
@@ -206,10 +234,8 @@ def _context_rows(length: int, buckets: int, hot: np.ndarray):
                     seen[same], place = place, other
                     other = seen[same]
                 if place is not None and place != other:
-                    known.setdefault(place[:2], []).append((place[2], place[2] + high - low))
-        out = [
-            (buckets + doc % buckets, doc, mark, packed(np.array(spans, SPAN))) for (doc, mark), spans in known.items()
-        ]
+                    known.append((*place, place[2] + high - low))
+        out = [(buckets + group, group, packed(part)) for group, part in _by_group(np.array(known, SPAN), buckets)]
         if seen:
             rows = np.empty(len(seen), KEYED)
             sizes = np.empty(len(seen), np.int32)
@@ -223,7 +249,7 @@ def _context_rows(length: int, buckets: int, hot: np.ndarray):
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for part in np.split(order, cuts):
                 text = np.frombuffer(b"".join([contexts[i] for i in part]), np.uint8)
-                out.append((int(bucket[part[0]]), 0, 0, packed(rows[part], text)))
+                out.append((int(bucket[part[0]]), -1, packed(rows[part], text)))
         yield _batch(out, BY_BUCKET)
 
     return each
@@ -249,9 +275,9 @@ def _marks_of_bucket(length: int, buckets: int, chunk: int = 1 << 20):
     def each(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket >= buckets:
-            return table.select(["_id", "_mark", "payload"])
+            return table.select(["group", "payload"])
         groups: dict[int, dict[tuple, list]] = {}
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        spans: list[tuple[int, int, int, int]] = []
         for payload in table.column("payload").to_pylist():
             rows, text = unpacked(payload, KEYED, np.dtype(np.uint8))
             text, end = text.tobytes(), 0
@@ -263,7 +289,7 @@ def _marks_of_bucket(length: int, buckets: int, chunk: int = 1 << 20):
                 if other is None or place < other:
                     same[variant], place, other = place, other, place
                 if place is not None and place != other:
-                    spans.setdefault(place[:2], []).append((place[2], place[2] + high - low))
+                    spans.append((*place, place[2] + high - low))
         contexts, total = [], 0
         for same in groups.values():
             if len(same) < 2:
@@ -276,8 +302,8 @@ def _marks_of_bucket(length: int, buckets: int, chunk: int = 1 << 20):
                 _mark_contexts(contexts, length, spans)
                 contexts, total = [], 0
         _mark_contexts(contexts, length, spans)
-        out = [(doc, mark, packed(np.array(s, SPAN))) for (doc, mark), s in spans.items()]
-        return pa.Table.from_batches([_batch(out, BY_DOC)])
+        out = [(group, packed(part)) for group, part in _by_group(np.array(spans, SPAN), buckets)]
+        return pa.Table.from_batches([_batch(out, BY_GROUP)])
 
     return each
 
@@ -294,7 +320,7 @@ def _mark_contexts(contexts, length: int, spans) -> None:
     cut = np.flatnonzero((np.diff(repeated) != 1) | (np.diff(number) != 0)) + 1
     for a, z in zip(np.r_[0, cut], np.r_[cut, len(repeated)]):
         doc, mark, low = contexts[number[a]][1]
-        spans.setdefault((doc, mark), []).append((low + int(within[a]), low + int(within[z - 1])))
+        spans.append((doc, mark, low + int(within[a]), low + int(within[z - 1])))
 
 
 class RunIndex:
@@ -411,16 +437,16 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, bucket_bytes: int, h
     buckets = int(total // bucket_bytes) + 1
 
     rows = map_arrow(source.select("_id", "_mark", "text"), _anchor_rows(length, gram, buckets), BY_BUCKET)
-    again = stored(rows.groupBy("bucket").applyInArrow(_repeated_anchors(buckets), BY_DOC + ", hot binary"))
+    again = stored(rows.groupBy("bucket").applyInArrow(_repeated_anchors(buckets), BY_GROUP + ", hot binary"))
     hot = _hot_anchors(again, max(HOT_LEAST, total // hot_share))
-    by_doc = again.filter("payload is not null").groupBy("_id", "_mark").agg(F.collect_list("payload").alias("payloads"))
+    by_doc = again.filter("payload is not null").select("group", "payload").groupBy("group").applyInArrow(_documents(KEYED), BY_DOC)
 
     # used twice with the same columns, so that Spark deals the texts out once
     dealt = source.repartition("_id", "_mark").select("doc_id", "_id", "_mark", "text")
-    around = dealt.join(by_doc, ["_id", "_mark"]).select("doc_id", "_id", "_mark", "text", "payloads")
+    around = dealt.join(by_doc, ["_id", "_mark"]).select("doc_id", "_id", "_mark", "text", "payload")
     contexts = map_arrow(around, _context_rows(length, buckets, hot), BY_BUCKET)
-    marks = contexts.groupBy("bucket").applyInArrow(_marks_of_bucket(length, buckets), BY_DOC)
-    return dealt, marks.groupBy("_id", "_mark").agg(F.collect_list("payload").alias("payloads"))
+    marks = contexts.groupBy("bucket").applyInArrow(_marks_of_bucket(length, buckets), BY_GROUP)
+    return dealt, marks.groupBy("group").applyInArrow(_documents(SPAN), BY_DOC)
 
 
 def _hot_anchors(again: DataFrame, least: int) -> np.ndarray:
@@ -446,7 +472,7 @@ def without_repeats(
     earlier: in a document with a smaller doc_id, or in the same one further up.
     Judged on the input. Matches never cross documents.
 
-    ``gram`` bytes make an anchor. Buckets hold the anchors, and the differing
+    ``gram`` bytes make an anchor. Buckets of anchors, and groups of documents, hold the anchors, and the differing
     texts around repeated ones, of about ``bucket_bytes`` of corpus. An anchor
     with an occurrence in every ``hot_share`` bytes or more is hot: its windows
     are dealt out one by one, by their own hashes.
@@ -459,12 +485,12 @@ def without_repeats(
 
     def each(batch):
         n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for text, payloads in zip(batch.column("text").to_pylist(), batch.column("payloads").to_pylist()):
+        for text, payload in zip(batch.column("text").to_pylist(), batch.column("payload").to_pylist()):
             n_bytes.append(len(text))
-            if not payloads:
+            if not payload:
                 n_removed.append(0), n_spans.append(0), kept.append(text)
                 continue
-            rows = np.concatenate([unpacked(p, SPAN)[0] for p in payloads])
+            rows = unpacked(payload, SPAN)[0]
             covered = np.zeros(len(text) + 1, np.int32)
             np.add.at(covered, rows["first"], 1)
             np.add.at(covered, rows["last"].astype(np.int64) + length, -1)
@@ -478,5 +504,5 @@ def without_repeats(
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    whole = dealt.join(spans, ["_id", "_mark"], "left").select("doc_id", "_id", "_mark", "text", "payloads")
+    whole = dealt.join(spans, ["_id", "_mark"], "left").select("doc_id", "_id", "_mark", "text", "payload")
     return map_arrow(whole, each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -123,18 +123,25 @@ def links(prints: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
 def _forest(keys: np.ndarray, prints: np.ndarray, own: np.ndarray, distance: int) -> pa.RecordBatch:
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[first, len(keys)])
-    a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    small = np.repeat((sizes <= 16), sizes)
-    x, k, o = prints[small], keys[small], own[small]
+    place = np.repeat(np.arange(len(first)), sizes)
+    small = np.flatnonzero(sizes[place] <= 16)
+    x, at, o = prints[small], place[small], own[small]
+    none = np.empty(0, np.int64)
+    lefts, rights, places = [none.view(np.uint64)], [none.view(np.uint64)], [none]
     for lag in range(1, 16):
         if len(x) <= lag:
             break
-        near = (k[lag:] == k[:-lag]) & (o[lag:] | o[:-lag]) & (np.bitwise_count(x[lag:] ^ x[:-lag]) <= distance)
-        a.append(x[lag:][near])
-        b.append(x[:-lag][near])
-    for at in np.flatnonzero(sizes > 16):
-        here = np.unique(prints[first[at] : first[at] + sizes[at]])
-        p, q = spanning(here, distance)
+        near = (at[lag:] == at[:-lag]) & (o[lag:] | o[:-lag]) & (np.bitwise_count(x[lag:] ^ x[:-lag]) <= distance)
+        lefts.append(x[lag:][near])
+        rights.append(x[:-lag][near])
+        places.append(at[lag:][near])
+    a, b, at = np.concatenate(lefts), np.concatenate(rights), np.concatenate(places)
+    # places with more pairs than a forest has, and large places
+    full = (np.bincount(at, minlength=len(first)) >= sizes) | (sizes > 16)
+    keep = ~full[at]
+    a, b = [a[keep]], [b[keep]]
+    for i in np.flatnonzero(full):
+        p, q = spanning(np.unique(prints[first[i] : first[i] + sizes[i]]), distance)
         a.append(p)
         b.append(q)
     return pa.RecordBatch.from_arrays(
@@ -148,15 +155,15 @@ def spanning(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
     comparisons are made."""
     left, froms, tos = prints, [], []
     while len(left):
-        frontier, left = left[:1], left[1:]
-        while len(frontier) and len(left):
-            step, frontier = frontier[0], frontier[1:]
+        waiting, left = [left[0]], left[1:]
+        while waiting and len(left):
+            step = waiting.pop()
             near = np.bitwise_count(left ^ step) <= distance
             if near.any():
                 reached, left = left[near], left[~near]
                 froms.append(np.full(len(reached), step))
                 tos.append(reached)
-                frontier = np.concatenate([frontier, reached])
+                waiting.extend(reached)
     empty = np.empty(0, np.uint64)
     return np.concatenate([empty, *froms]), np.concatenate([empty, *tos])
 

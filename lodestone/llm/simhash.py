@@ -201,7 +201,12 @@ def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4, count: int
     the smallest hash of its text, and one of rows that agree in both."""
     prints = stored(fingerprints(docs, shingle))
     table = _rooted(prints, distance, count).select("fingerprint", "root")
-    placed = balanced_lookup(prints, table, "fingerprint")
+    return first_of_each(docs, balanced_lookup(prints, table, "fingerprint"))
+
+
+def first_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first of their component, as ``one_of_each``
+    chooses; ``placed`` has doc_id, a hash of the text and the root of every row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_mark")).alias("first")
     chosen = placed.groupBy("root").agg(first).select("first.doc_id", "first._mark")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))

@@ -33,16 +33,16 @@ _SECRET = re.compile(r"[ ]?[=:][ ]?([A-Za-z0-9_+/.-]{8,})")
 
 
 def automaton():
-    """Anchors and what they stand for."""
+    """Anchors, what they stand for and their length."""
     found = ahocorasick.Automaton()
     for d in "0123456789":
-        found.add_word(d, "digit")
-    found.add_word("@", "at")
-    found.add_word("+", "plus")
+        found.add_word(d, ("digit", 1))
+    found.add_word("@", ("at", 1))
+    found.add_word("+", ("plus", 1))
     for kind, words in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for w in words:
             for form in {w, w.upper(), w.capitalize()}:
-                found.add_word(form, kind)
+                found.add_word(form, (kind, len(form)))
     found.make_automaton()
     return found
 
@@ -69,7 +69,7 @@ def spans_of(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in order; within a kind they don't overlap."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = ip_next = card_end = phone_end = 0
-    for last, kind in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(text):
         if kind == "digit":
             if last >= card_end:
                 m = _CARD.match(text, last)
@@ -102,10 +102,8 @@ def spans_of(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
                     found["phone"].append(m.span())
         elif kind == "scheme":  # an address counts where it names a user
             m = _URL.match(text, last + 1)
-            if m and text[last] != ":":
-                _add(found["url"], text.rfind("http" if text[last - 3] in "pPsS" else "ftp", 0, last), m.end(), last)
-            elif m:
-                _add(found["url"], last - 6, m.end(), last)
+            if m:
+                _add(found["url"], last - size + 1, m.end(), last)
         elif kind == "account":
             m = _AFTER_CUE.match(text, last + 1)
             number = _IBAN.match(text, m.end()) or _ACCOUNT.match(text, m.end())

@@ -59,6 +59,20 @@ def test_added_kinds():
     assert named["secret"] == ["abcdef1234"]
 
 
+def test_addresses_start_at_their_scheme():
+    def urls(text):
+        return [text[a:b] for a, b in pd.spans_of(text, pd.automaton())["url"]]
+
+    for scheme in ("http://", "https://", "ftp://", "mailto:"):
+        for form in (scheme, scheme.upper(), scheme.capitalize()):
+            assert urls(f"at {form}bob@host.example/y.") == [f"{form}bob@host.example/y."]
+    text = "see http://a.example/x and long text ftp://bob@host.example/y"
+    assert pd.spans_of(text, pd.automaton())["url"] == [(37, len(text))]
+    assert pd.redact(text, pd.spans_of(text, pd.automaton())) == "see http://a.example/x and long text [url]"
+    two = "HTTP://ann@a.example/x then Ftp://bob:pw@b.example:21/y"
+    assert urls(two) == ["HTTP://ann@a.example/x", "Ftp://bob:pw@b.example:21/y"]
+
+
 def test_redact_merges_overlaps():
     text = "https://bob@mail.example/x then +1 555 123 4567"
     assert pd.redact(text, pd.spans_of(text, pd.automaton())) == "[url] then [phone]"

@@ -188,7 +188,10 @@ def main_text(page: str) -> str:
         for i in range(1, n):
             if tree.parent[i] == tree.parent[best] and i != best and not tree.dropped[i] and whole[i]:
                 dense = links[i] / whole[i]
-                if tree.tag[i] in HEADINGS and i < best or value[i] >= max(10, 0.2 * value[best]) or tree.tag[i] == "p" and (whole[i] > 80 and dense < 0.25):
+                # beside an article or main, only what is long; else all that reads like the best
+                floor, least = (10, 80) if above > 0 else (0, 0)
+                alike = value[i] >= max(floor, 0.2 * value[best]) and (above > 0 or dense < 0.25)
+                if tree.tag[i] in HEADINGS and i < best or alike or tree.tag[i] == "p" and (whole[i] > least and dense < 0.25):
                     roots.add(i)
     inside, out, block, last = [False] * n, [], [], None
     menu = [False] * n

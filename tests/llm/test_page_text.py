@@ -29,6 +29,16 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+def test_sections_of_unequal_weight_without_article():
+    first, second = f"<p>{BODY}</p><p>{BODY}</p><p>{BODY}</p>", f"<p>{BODY}</p>"
+    whole = " ".join([BODY] * 4)
+    assert main_text(f"<body><section>{first}</section><section>{second}</section></body>") == whole
+    assert main_text(f"<body><section>{second}</section><section>{first}</section></body>") == whole
+    assert main_text(f"<body><p>Before.</p><div>{first}</div><p>Short.</p></body>") == f"Before. {' '.join([BODY] * 3)} Short."
+    links = "<div><a href=a>one, two, three</a> <a href=b>four, five, six</a></div>"
+    assert main_text(f"<body><div>{first}</div>{links}<p><a href=c>more</a></p></body>") == " ".join([BODY] * 3)
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "<p>deep, deep text</p>") == "deep, deep text"
     assert len(main_text(f"<article>{'<p>' + BODY * 10 + '</p>' * 1}{'<p>tail</p>' * 5000}</article>")) > 25_000

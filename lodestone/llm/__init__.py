@@ -1,2 +1,3 @@
 """Operators of a training-data pipeline: repeats, archives, tokens, near copies,
-personal data, benchmark leaks, toxicity, shards, text search and page text."""
+personal data, benchmark leaks, toxicity, shards, text search, page text,
+periodic runs, whitening and language models."""

@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontamination, page_text, personal_data, ranked_search, repeats, sharding, simhash, toxicity, warc
+from ..functions.binding import let
+from . import (
+    bpe,
+    decontamination,
+    language_model,
+    page_text,
+    periodic,
+    personal_data,
+    ranked_search,
+    repeats,
+    sharding,
+    simhash,
+    toxicity,
+    warc,
+    whitening,
+)
 from .tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +179,64 @@ def op9_search(read):
     docs = read("documents")
     queries = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return ranked_search.search(docs, queries)
+
+
+def _text_with_run():
+    """The text of a tenth of the documents from some word on a repetition of the
+    words there, by the checksum of doc_id; all others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def repeated(b):
+        def placed(c):
+            period = c["period"]
+            places = F.sequence(F.lit(0), F.size(c["words"]) - 1)
+            return F.array_join(
+                F.transform(
+                    places,
+                    lambda i: F.get(c["words"], F.when(i < c["a"], i).otherwise(c["a"] + F.pmod(i - c["a"], period))),
+                ),
+                " ",
+            )
+
+        n = F.size(b["words"])
+        a = F.pmod(b["g"], n).cast("int")
+        period = (F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(b["g"], F.lit(8))))).cast("int")
+        return F.when(n > 0, let(placed, words=b["words"], a=a, period=period)).otherwise("")
+
+    return F.when(h % 10 == 0, let(repeated, words=words, g=F.floor(h / 10))).otherwise(F.col("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(read):
+    """The periodic runs of words in every document, and its text without their repeats."""
+    found = periodic.periodic_runs(read("documents").select("doc_id", _text_with_run().alias("text")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        "exponent_milli",
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_whitening")
+def op12_whitening(read):
+    """Every vector on the leading components of all, with unit spread."""
+    return whitening.whiten(read("embeddings"))
+
+
+@query("op13_lm_scores")
+def op13_lm_scores(read):
+    """Every document scored by a model of word pairs, learned from nine tenths of them."""
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    held_out = F.crc32(doc_id.cast("binary")) % 10 == 0
+    docs = read("documents")
+    found = language_model.score(docs, language_model.train(docs.filter(~held_out)))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives the documents it keeps, with
 their columns; the last gives tokens. Between stages the documents are written
 to shared storage and read again.
+
+In every stage null texts are treated as empty ones and stay (near copies of each other,
+without a passage, personal data or words), rows that repeat are judged each by
+itself, but for near copies, of which one stays, and no rows give no rows. Other columns
+are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm import alike, bpe, decontamination, personal_data, toxicity
+from lodestone.llm import bpe, decontamination, personal_data, simhash, toxicity
 from lodestone.llm.tables import stored
 
 
@@ -21,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles alike by 0.8 or more."""
-    return alike.one_of_each(docs)
+    """One document of each group of near copies: fingerprints of four-word shingles that
+    differ in four bits or fewer."""
+    return simhash.one_of_each(docs, distance=4, shingle=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

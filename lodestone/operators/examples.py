@@ -39,10 +39,14 @@ def chunk_tokens(tokens: Column, total_max: int = 1024, single_max: int = 180, s
 
 def chunk_count(tokens: Column, total_max: int = 1024, single_max: int = 180, single_min: int = 20) -> Column:
     """How many chunks :func:`chunk_tokens` gives, without building them."""
-    n = F.least(F.size(tokens), F.lit(total_max))
-    full = F.greatest(F.ceil(n / single_max).cast("int"), F.lit(1))
-    tail = F.pmod(n - 1, F.lit(single_max)) + 1
-    return full - F.when((full > 1) & (tail <= single_min), 1).otherwise(0)
+
+    def count(v):
+        n = v["n"]
+        full = F.greatest(F.ceil(n / single_max).cast("int"), F.lit(1))
+        tail = F.pmod(n - 1, F.lit(single_max)) + 1
+        return full - F.when((full > 1) & (tail <= single_min), 1).otherwise(0)
+
+    return let(count, n=F.least(F.size(tokens), F.lit(total_max)))
 
 
 def split_background(df: DataFrame, keys: list[str], tokens: Column, **limits) -> DataFrame:
@@ -272,14 +276,21 @@ def paraphrase_completion(
 
 
 def dual_views(
-    messages: Column, background: Column, embed_len: int = 1, max_len: int = 1024, single_max: int = 180
+    messages: Column,
+    background: Column,
+    embed_len: int = 1,
+    max_len: int = 1024,
+    single_max: int = 180,
+    tokens: Column | None = None,
 ) -> tuple[Column, Column]:
     """(compressed, plain) messages of one example.
 
     The first user message refers to the background: as one placeholder run
     per chunk in the compressed view, as full text in the plain view.
+    ``tokens`` are those of the background, where they are known.
     """
-    chunks = chunk_count(tokenize(background), total_max=max_len, single_max=single_max)
+    tokens = tokenize(background) if tokens is None else tokens
+    chunks = chunk_count(tokens, total_max=max_len, single_max=single_max)
     compressed = fill(
         F.lit(wording.CHAT_BACKGROUND_PREFIX), background=chat.placeholder_run(chunks * embed_len)
     )
@@ -287,6 +298,45 @@ def dual_views(
     return chat.prefix_first_user(messages, compressed), chat.prefix_first_user(messages, plain)
 
 
+def encoded_views(
+    messages: Column,
+    background: Column,
+    embed_len: int = 1,
+    max_len: int = 1024,
+    chunk_len: int = 180,
+    match_views: bool = True,
+) -> Column:
+    """An array of no or one struct(chunks, compressed, plain): both views of an
+    example as tokens and labels, and the background in chunks. There is none
+    where the plain view has no label, or where the views differ in how many they have and
+    ``match_views`` is set.
+
+    Meant for ``F.inline``: the background and each view are tokenised once,
+    as no filter is pushed below a generator.
+    """
+
+    def chosen(v):
+        live = live_labels(v["plain"]["labels"])
+        good = live > 0
+        if match_views:
+            good = good & (live == live_labels(v["compressed"]["labels"]))
+        return F.filter(F.array(v), lambda _: good)
+
+    def views(v):
+        compressed, plain = dual_views(v["messages"], v["background"], embed_len, max_len, chunk_len, v["tokens"])
+        return let(
+            chosen,
+            chunks=chunk_tokens(v["tokens"], max_len, chunk_len),
+            compressed=messages_label_mask(compressed, max_len=max_len),
+            plain=messages_label_mask(plain, max_len=max_len),
+        )
+
+    def bound(v):
+        return let(views, messages=v["messages"], background=v["background"], tokens=tokenize(v["background"]))
+
+    return let(bound, messages=messages, background=background)
+
+
 def answered_prompt(
     task: Column,
     question: Column,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import chat, wording
-from ..functions.text import has_answer, tokenize
+from ..functions.text import has_answer
 from ..operators import answers, examples, instructions, ordering, prompts, ranking, search
 from ..operators.joins import lookup_join
 from ..operators.vocabulary import SPECIAL_IDS
@@ -39,16 +39,8 @@ def training_rows(
     kept = instructions.exclude_types(table, excluded or [])
     missing = F.raise_error(F.concat(F.lit("no background in row "), F.col("id"))).cast("string")
     background = F.coalesce("background", missing)  # fill gaps with backfill_background first
-    compressed, plain = examples.dual_views(F.col("messages"), background, embed_len, max_len, chunk_len)
-    encoded = kept.select(
-        "id",
-        examples.chunk_tokens(tokenize(background), max_len, chunk_len).alias("chunks"),
-        examples.messages_label_mask(compressed, max_len=max_len).alias("compressed"),
-        examples.messages_label_mask(plain, max_len=max_len).alias("plain"),
-    )
-    good = encoded.filter(examples.has_live_label(F.col("plain.labels")))
-    if match_views:
-        good = good.filter(examples.same_live_labels(F.col("plain.labels"), F.col("compressed.labels")))
+    views = examples.encoded_views(F.col("messages"), background, embed_len, max_len, chunk_len, match_views)
+    good = kept.select("id", F.inline(views))
     return good.withColumn("chunks", F.transform("chunks", lambda c: F.array_join(c, " ")))
 
 

@@ -100,7 +100,7 @@ TWINS = {
     "freebase_qa": ("freebase_qa", "open_qa", QA_LIST, r"question || E'\n'", "answer", "NULL", "* FROM qa"),
     "ms_marco": (
         "ms_marco", "open_qa", QA_LIST, r"ltrim(question, ')') || E'\n'", "answer", "NULL",
-        "* FROM (SELECT * FROM qa ORDER BY key LIMIT 100000)",
+        "* FROM qa",
     ),
     "drop": ("drop", "close_qa", QA_LIST, r"lang || E'\n'", "source", "text", "doc_id AS key, * FROM documents"),
     "narrativeqa": ("narrativeqa", "close_qa", QA_LIST, "question", "answer", "answer", "* FROM qa"),
@@ -120,7 +120,7 @@ TWINS = {
     ),
     "cnn_dailymail": (
         "cnn_dailymail", "summarization", SUM_LIST, "''", "source", "text",
-        "doc_id AS key, * FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 100000)",
+        "doc_id AS key, * FROM documents",
     ),
     "samsum": ("samsum", "summarization", SUM_LIST, "''", "question", r"question || E'\n' || answer", "* FROM qa"),
     "dialogsum": (

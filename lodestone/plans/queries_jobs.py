@@ -27,15 +27,12 @@ def talk_table(t):
     )
 
 
-SHUFFLED = "md5('11:0:' || id), id"
-
-
 @query(
     "training_table",
     with_(
         qa=QA,
         b=QA_WITH_BACKGROUND,
-        s=f"""SELECT *, 'talk_' || key AS id FROM b ORDER BY {SHUFFLED} LIMIT 200""",
+        s="SELECT *, 'talk_' || key AS id FROM b",
         c=f"SELECT *, {CHUNKS.format(t=tok('background'), total=1024)} AS n FROM s WHERE turn <> 2",
         q=f"""SELECT id, n, {chat_length(COMPRESSED)} AS x, {chat_length(PLAIN)} AS y,
               len({prompt_tok(trimmed('answer') + " || '</s>'")}) AS said FROM c""",
@@ -45,8 +42,8 @@ SHUFFLED = "md5('11:0:' || id), id"
         OR (least(said, greatest(1024 - x, 0)) = least(said, greatest(1024 - y, 0)) AND y < 1024)""",
 )
 def training_table(t):
-    """Talks with a document as background: sampled, filtered, encoded twice."""
-    rows = jobs.training_rows(talk_table(t), max_samples=200, excluded=["turn2"], seed=11)
+    """Talks with a document as background: filtered, encoded twice."""
+    rows = jobs.training_rows(talk_table(t), excluded=["turn2"])
     return rows.select(
         "id",
         F.size("chunks").alias("chunks"),
@@ -68,7 +65,7 @@ def batches_sql() -> str:
     return with_(
         qa=QA,
         b=QA_WITH_BACKGROUND,
-        s=f"SELECT *, 'talk_' || key AS id FROM b ORDER BY {SHUFFLED} LIMIT 200",
+        s="SELECT *, 'talk_' || key AS id FROM b",
         c=f"SELECT *, {CHUNKS.format(t=tok('background'), total=1024)} AS n FROM s WHERE turn <> 2",
         v=" UNION ALL ".join(parts),
         live="""SELECT id, view, list_concat(head, said)[1:1024] AS tokens, len(head) AS quiet,
@@ -95,7 +92,7 @@ def batches_sql() -> str:
 @query("training_batches", batches_sql())
 def training_batches(t):
     """Both views of the training table as padded ids, labels and masks."""
-    rows = stored(jobs.training_rows(talk_table(t), max_samples=200, excluded=["turn2"], seed=11))
+    rows = stored(jobs.training_rows(talk_table(t), excluded=["turn2"]))
     words = stored(vocabulary.build_vocabulary(t.documents, tokenize(F.col("text"))))
     parts = [
         jobs.training_batches(rows, view, words, 4, 5, 1).withColumn("view", F.lit(view)) for view in ("compressed", "plain")

@@ -515,16 +515,8 @@ def rag_dual_view(t):
 )
 def filter_equal_labels(t):
     messages = chat.conversation(F.col("question"), F.col("answer"))
-    compressed, plain = examples.dual_views(messages, F.col("background"), max_len=1024)
-    rows = with_background(t).select(
-        "key",
-        examples.messages_label_mask(compressed, max_len=1024)["labels"].alias("a"),
-        examples.messages_label_mask(plain, max_len=1024)["labels"].alias("b"),
-    )
-    kept = rows.filter(examples.has_live_label(F.col("b"))).filter(
-        examples.same_live_labels(F.col("a"), F.col("b"))
-    )
-    return kept.select("key", examples.live_labels(F.col("a")).alias("n_live"))
+    kept = with_background(t).select("key", F.inline(examples.encoded_views(messages, F.col("background"))))
+    return kept.select("key", examples.live_labels(F.col("compressed.labels")).alias("n_live"))
 
 
 TASK = "CASE lang WHEN 'en' THEN 'open_qa' WHEN 'fr' THEN 'fact_checking' ELSE 'multiple_choice' END"

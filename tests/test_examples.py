@@ -231,3 +231,24 @@ def test_stacked_documents_put_positives_first(spark):
     out = examples.stack_documents(examples.with_batch(df, "k", 2, 0, shuffle=False), "p", "n")
     got = {(r["batch"], r["place"]): r["ids"][0] for r in out.collect()}
     assert got == {(0, 0): 0, (0, 1): 1, (0, 2): 10, (0, 3): 11, (1, 0): 2, (1, 1): 12}
+
+
+def test_each_view_is_tokenised_once(spark):
+    rows = spark.createDataFrame([("a", "w " * 300, "what?", "that")], "id string, background string, q string, a string")
+    views = examples.encoded_views(chat.conversation(F.col("q"), F.col("a")), F.col("background"))
+    found = rows.select("id", F.inline(views)).filter(F.size("chunks") > 0).filter(F.size("plain.labels") > 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the background, and each of the two views
+    assert plan.count("regexp_extract_all(") == 3
+    row = found.first()
+    assert len(row["chunks"]) == 2 and row["compressed"]["input_tokens"].count("<DOC>") == 2
+    assert row["plain"]["labels"][-2:] == ["that", "</s>"] and row["plain"]["input_tokens"].count("w") == 300
+
+
+def test_views_with_other_labels_are_left_out(spark):
+    rows = spark.createDataFrame([(1, "w " * 1020), (2, "w " * 2000), (3, "w")], "id int, background string")
+    messages = chat.conversation(F.lit("q"), F.lit("one two three"))
+    both = [r["id"] for r in rows.select("id", F.inline(examples.encoded_views(messages, F.col("background")))).collect()]
+    views = examples.encoded_views(messages, F.col("background"), match_views=False)
+    any_label = [r["id"] for r in rows.select("id", F.inline(views)).collect()]
+    assert both == [3] and set(any_label) <= {1, 3}

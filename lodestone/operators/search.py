@@ -432,14 +432,16 @@ def write_cells(assigned: DataFrame, path: str, mode: str = "errorifexists") ->
     A folder holds the cells that agree modulo CELL_GROUPS; within it, files are
     cut by range of (cell, id), so a large cell fills several files, and the
     statistics of the row groups let a scan skip the other cells. The number of
-    vectors per cell is stored beside them, see ``read_cells``.
+    vectors per cell is stored beside them, see ``read_cells``, and, where their
+    (squared) distances to the centre are known, the largest one as the cell's radius.
     """
     grouped = assigned.withColumn(GROUP, F.pmod("cell", F.lit(CELL_GROUPS)))
     ordered = grouped.repartitionByRange(GROUP, "cell", "pid").sortWithinPartitions(GROUP, "cell", "pid")
     ordered.write.mode(mode).partitionBy(GROUP).parquet(f"{path}/vectors")
     spark = assigned.sparkSession
     cells = spark.read.parquet(f"{path}/vectors")
-    cells.groupBy("cell").agg(F.count("*").alias("n")).write.mode(mode).parquet(f"{path}/counts")
+    radius = [F.sqrt(F.max("distance")).alias("radius")] if "distance" in cells.columns else []
+    cells.groupBy("cell").agg(F.count("*").alias("n"), *radius).write.mode(mode).parquet(f"{path}/counts")
     return cells
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import chat, vectors
 from ..functions.text import tokenize
-from ..operators import examples, prompts, ranking, search
+from ..operators import bounded, examples, prompts, ranking, search
 from ..sources import files
 from ..streaming.retrieve import retrieve_stream
 from .queries_text import CHUNKS, scratch
@@ -603,3 +603,107 @@ def merge_rankings(t):
 )
 def stage_share(t):
     return ranking.stage_shares(t.events, "event_type", "value")
+
+
+# --- searches with bounds -----------------------------------------------------------------------
+
+
+@query("exact_probe_topk", with_(v=VECTORS, p=all_pairs(L2), h=best("p", 10, "ASC")) + OUT)
+def exact_probe_topk(t):
+    """The ten nearest vectors, all of them, from stored cells and their radii."""
+    docs = as_docs(t.embeddings)
+    centroids = stored(search.train_cells(docs, nlist=256, seed=7, iterations=5))
+    path = scratch(t, "cells")
+    search.write_cells(search.nearest_cells(docs, centroids), path)
+    cells, sizes = search.read_cells(t.spark, path)
+    return bounded.exact_probe_topk(as_queries(t.embeddings), cells, centroids, sizes, 10, nprobe=64, exclude_self=True)
+
+
+@query(
+    "probe_recall",
+    with_(v=VECTORS, n="SELECT least(10, count(*) - 1) AS n FROM v")
+    + "SELECT vec_id AS qid, 1.0::DOUBLE AS recall FROM v, n WHERE n > 0",
+)
+def probe_recall(t):
+    """Share of each vector's ten true neighbours that the search by cells and radii finds."""
+    found = exact_probe_topk(t).select("qid", "pid")
+    true = topk(t, 10, "l2").select("qid", "pid")
+    hit = found.withColumn("hit", F.lit(1))
+    share = F.count("hit") / F.count("*")
+    return true.join(hit, ["qid", "pid"], "left").groupBy("qid").agg(share.alias("recall"))
+
+
+@query(
+    "ivf_assign_grouped",
+    with_(**CELLS) + "SELECT vec_id AS pid, cell::BIGINT AS cell, round(distance, 6) AS distance FROM assigned",
+)
+def ivf_assign_grouped(t):
+    """Each vector's nearest centre, by groups of centres and their radii."""
+    found = bounded.nearest_cell_by_groups(as_docs(t.embeddings), label_means(t.embeddings))
+    return found.select("pid", "cell", "distance")
+
+
+@query(
+    "ivfpq_exact_topk",
+    with_(
+        **CELLS,
+        p="""SELECT n.vec_id AS qid, a.vec_id AS pid, pow(list_distance(n.e, a.e), 2) AS score
+             FROM nearest n JOIN assigned a USING (cell) WHERE n.place <= 3 AND n.vec_id <> a.vec_id""",
+        h=best("p", 10, "ASC"),
+    )
+    + OUT,
+)
+def ivfpq_exact_topk(t):
+    """Codes with their errors: the same hits as the vectors of the three cells give."""
+    centroids = label_means(t.embeddings)
+    cells = stored(assigned_cells(t, centroids))
+    codebook = label_codebook(t, cells, centroids)
+    codes = search.pq_encode(cells, centroids, codebook)
+    coded = stored(bounded.with_code_errors(cells, codes, centroids, codebook))
+    return bounded.pq_exact_topk(
+        as_queries(t.embeddings), coded, as_docs(t.embeddings), centroids, codebook, 10, nprobe=3, exclude_self=True
+    )
+
+
+#: Whole numbers, so that products are exact and ties are ties in any order of adding.
+LINE = "[sum(l_quantity)::BIGINT, l_linenumber::BIGINT, round(max(l_discount) * 100)::BIGINT, round(max(l_tax) * 100)::BIGINT]"
+
+
+@query(
+    "recall_deep",
+    with_(
+        d=f"""SELECT l_orderkey * 10 + l_linenumber AS pid, min(l_returnflag || l_linestatus) AS mode, {LINE} AS e
+              FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+        q="""SELECT row_number() OVER (ORDER BY mode) AS qid, mode, count(*) AS n,
+             [round(avg(e[1]))::BIGINT, 3, round(avg(e[3]))::BIGINT, round(avg(e[4]))::BIGINT] AS e FROM d GROUP BY mode""",
+        p="""SELECT qid, pid, q.mode = d.mode AS positive, n,
+             q.e[1] * d.e[1] + q.e[2] * d.e[2] + q.e[3] * d.e[3] + q.e[4] * d.e[4] AS score FROM q JOIN d ON true""",
+        h="SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM p",
+        g="SELECT qid, n, "
+        + ", ".join(f"count(*) FILTER (rank <= {c} AND positive) AS c{c}" for c in (50, 200, 1000, 5000, 10000))
+        + " FROM h GROUP BY qid, n",
+    )
+    + "SELECT "
+    + ", ".join(f"round(avg(c{c} / n::DOUBLE), 6) AS recall_at_{c}" for c in (50, 200, 1000, 5000, 10000))
+    + " FROM g",
+)
+def recall_deep(t):
+    """Recall at up to 10,000 hits: every state of order lines, as their mean, asks for its lines."""
+    line = F.array(
+        F.sum("l_quantity").cast("long"),
+        F.col("l_linenumber").cast("long"),
+        F.round(F.max("l_discount") * 100).cast("long"),
+        F.round(F.max("l_tax") * 100).cast("long"),
+    )
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        F.min(F.concat("l_returnflag", "l_linestatus")).alias("mode"), line.alias("embedding")
+    )
+    docs = stored(lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pid"), "mode", "embedding"))
+    mean = [F.round(F.avg(F.col("embedding")[i])).cast("long") for i in range(4)]
+    mean[1] = F.lit(3).cast("long")
+    modes = docs.groupBy("mode").agg(F.count("*").alias("n_positive"), F.array(*mean).alias("embedding"))
+    place = F.row_number().over(Window.orderBy("mode"))  # a row for each of the few states
+    modes = trained(modes.withColumn("qid", place.cast("long")))
+    hits = bounded.deep_topk(modes, docs, 10_000)
+    marked = hits.join(docs.select("pid", "mode"), "pid").join(F.broadcast(modes.select("qid", F.col("mode").alias("_mode"))), "qid")
+    return ranking.recall(marked.withColumn("positive", F.col("mode") == F.col("_mode")), modes, depth=10_000)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chat, wording
 from ..functions.choice import fill, pick
 from ..functions.text import last_subsequence, stop_truncate, strip, tokenize
+from ..operators.joins import lookup_join
 from ..operators import answers, examples, ordering, prompts, vocabulary
 from ..sources import files
 from ..storage import shared_folder
@@ -315,7 +316,8 @@ def with_background(t):
     placed = ordering.with_position(pairs, [F.col("key")], ordering.range_bucket(pairs, "key"), name="place")
     docs = t.documents.select("doc_id", F.col("text").alias("background"))
     dealt = docs.withColumn("place", F.pmod("doc_id", F.lit(max(1, pairs.count()))))
-    return dealt.join(placed.drop("key"), "place").select(
+    # the texts stay where they were read, spread over all cores, if the pairs are few
+    return lookup_join(dealt, placed.drop("key"), ["place"], [F.col("doc_id")]).select(
         F.col("doc_id").alias("key"), "conv_id", "turn", "question", "answer", "background"
     )
 

@@ -252,3 +252,23 @@ def test_views_with_other_labels_are_left_out(spark):
     views = examples.encoded_views(messages, F.col("background"), match_views=False)
     any_label = [r["id"] for r in rows.select("id", F.inline(views)).collect()]
     assert both == [3] and set(any_label) <= {1, 3}
+
+
+def test_ids_in_slots_and_beyond_them(spark, monkeypatch):
+    """The same ids whether all words, some or none have a slot."""
+    rng = random.Random(2)
+    lists = [[rng.choice(["a", "b", "</s>", *[f"w{i}" for i in range(60)]]) for _ in range(rng.randint(0, 30))] for _ in range(40)]
+    lists += [None, [], ["a", None, "never seen", "</s>"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "k int, t array<string>")
+    words = vocabulary.build_vocabulary(rows.filter("k < 30"), F.col("t"))
+    number = {r["token"]: r["token_id"] for r in words.collect()} | vocabulary.SPECIAL_IDS
+    unknown = vocabulary.SPECIAL_IDS[wording.UNK]
+    want = {k: [number.get(x, unknown) for x in (t or []) if x is not None][:20] for k, t in enumerate(lists) if k < 42}
+    for slots, count in ((65_536, 16_384), (64, 16_384), (2, 3), (65_536, 5)):
+        monkeypatch.setattr(vocabulary, "SLOTS", slots)
+        monkeypatch.setattr(vocabulary, "SLOT_WORDS", count)
+        got = {r["k"]: r["ids"] for r in vocabulary.encode(rows.filter("k < 42"), ["k"], F.col("t"), words, 20).collect()}
+        assert got == want
+        last = vocabulary.encode(rows.filter("k = 42"), ["k"], F.col("t"), words).first()["ids"]
+        assert last == [number["a"], unknown, number["</s>"]]
+    assert vocabulary.encode(rows.limit(0), ["k"], F.col("t"), words).count() == 0

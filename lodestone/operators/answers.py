@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import wording
@@ -59,14 +60,14 @@ def find_answers(docs: DataFrame, answers: DataFrame, small_rows: int = 20_000,
     """(item_id, doc_id): documents that hold an answer as a token run.
 
     ``docs`` is (doc_id, text), ``answers`` is (item_id, answer), both large.
-    Each answer is looked up by the token that the fewest documents have, and
-    the hits are then checked in full, so no document meets an answer it shares
-    no rare word with. An answer without tokens is found in every document;
-    it has one row here, with a null doc_id that stands for all of them.
-
-    A few answers are broadcast and checked while the document row is at hand.
-    Many answers are salted against common tokens and travel with their hits,
-    and only the ids of hits are shuffled before the check.
+    An answer without tokens is found in every document; it has one row here,
+    with a null doc_id that stands for all of them.
+
+    Answers that fit into a task (their number and size are checked) become one automaton, which runs
+    along each document's tokens once. More of them are looked up by the token
+    that the fewest documents have, so no document meets an answer it shares no
+    rare word with: (document, token) pairs without the text are joined with the answers,
+    salted against common tokens, and only documents with a hit get their text for the check.
     """
     lists = answers.select("item_id", tokenize(nfd(F.col("answer")), uncased=True).alias("_run"))
     runs = lists.filter(F.size("_run") > 0).select(
@@ -74,40 +75,65 @@ def find_answers(docs: DataFrame, answers: DataFrame, small_rows: int = 20_000,
     )
     everywhere = lists.filter(F.size("_run") <= 0).select("item_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"))
     parsed = docs.select("doc_id", tokenize(nfd(F.col("text")), uncased=True).alias("_tokens"))
-    framed_docs = parsed.select("doc_id", "_tokens", framed(F.col("_tokens")).alias("_haystack"))
-    exploded = parsed.select("doc_id", F.explode(F.array_distinct("_tokens")).alias("token"))
-    local = small_copy(runs, small_rows)
-    runs = runs if local is None else local
-    spread = runs.select("item_id", "_needle", F.explode("_words").alias("token"))
-    asked = spread.select("token").distinct()
-    # partial counts come first, so a common word is no hot key
-    known = exploded.join(F.broadcast(asked) if local is not None else asked, "token", "left_semi")
-    counts = known.groupBy("token").agg(F.count("*").alias("_df"))
-    rarity = F.struct(F.coalesce("_df", F.lit(0)), "token")
-    keyed = (
-        spread.join(counts, "token", "left")
-        .groupBy("item_id", "_needle")
-        .agg(F.min_by("token", rarity).alias("token"), F.min(F.coalesce("_df", F.lit(0))).alias("_least"))
-        .filter("_least > 0")  # a word of the answer that no document has
-        .drop("_least")
-    )
+    framed_docs = parsed.select("doc_id", framed(F.col("_tokens")).alias("_haystack"))
+    local = small_copy(runs.select("item_id", "_needle"), small_rows)
     if local is not None:
-        by_token = keyed.groupBy("token").agg(F.collect_list(F.struct("item_id", "_needle")).alias("_items"))
-        rows = framed_docs.select("doc_id", "_haystack", F.explode(F.array_distinct("_tokens")).alias("token"))
-        met = rows.join(F.broadcast(by_token), "token")  # at most small_rows answers
-        checked = met.select(
-            "doc_id", F.explode(F.filter("_items", lambda i: F.contains(F.col("_haystack"), i["_needle"]))).alias("i")
-        )
-        found = checked.select("i.item_id", "doc_id")
+        found = _run_automaton(framed_docs, local)
     else:
+        spread = runs.select("item_id", "_needle", F.explode("_words").alias("token"))
+        asked = spread.select("token").distinct()
+        exploded = parsed.select("doc_id", F.explode(F.array_distinct("_tokens")).alias("token"))
+        # partial counts come first, so a common word is no hot key
+        known = exploded.join(asked, "token", "left_semi")
+        counts = known.groupBy("token").agg(F.count("*").alias("_df"))
+        rarity = F.struct(F.coalesce("_df", F.lit(0)), "token")
+        keyed = (
+            spread.join(counts, "token", "left")
+            .groupBy("item_id", "_needle")
+            .agg(F.min_by("token", rarity).alias("token"), F.min(F.coalesce("_df", F.lit(0))).alias("_least"))
+            .filter("_least > 0")  # a word of the answer that no document has
+            .drop("_least")
+        )
         salted_docs = exploded.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
         salted_keys = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         pairs = salted_docs.join(salted_keys, ["token", "_salt"]).select("item_id", "_needle", "doc_id")
-        held = pairs.join(framed_docs.select("doc_id", "_haystack"), "doc_id")
+        held = pairs.join(framed_docs, "doc_id")
         found = held.filter(F.contains(F.col("_haystack"), F.col("_needle"))).select("item_id", "doc_id")
     return found.distinct().unionByName(everywhere)
 
 
+def _run_automaton(framed_docs: DataFrame, needles: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of framed needles inside framed documents. ``needles`` is local and
+    of bounded size; its automaton is built once a task."""
+    table = needles.toArrow()
+    shared = framed_docs.sparkSession.sparkContext.broadcast((table.column("item_id").combine_chunks(), table.column("_needle").to_pylist()))
+
+    def run(batches):
+        import ahocorasick
+
+        items, texts = shared.value
+        owners: dict[str, list[int]] = {}
+        for place, text in enumerate(texts):
+            owners.setdefault(text, []).append(place)
+        automaton = ahocorasick.Automaton()
+        for text, places in owners.items():
+            automaton.add_word(text, tuple(places))
+        automaton.make_automaton()
+        for batch in batches:
+            hits, rows = [], []
+            for row, text in enumerate(batch.column("_haystack").to_pylist()):
+                if text is not None and owners:
+                    found = {place for _, places in automaton.iter(text) for place in places}
+                    hits.extend(found)
+                    rows.extend([row] * len(found))
+            yield pa.RecordBatch.from_arrays(
+                [items.take(pa.array(hits, pa.int64())), batch.column("doc_id").take(pa.array(rows, pa.int64()))], names=["item_id", "doc_id"]
+            )
+
+    schema = T.StructType([needles.schema["item_id"], framed_docs.schema["doc_id"]])
+    return framed_docs.mapInArrow(run, schema)
+
+
 # --- overlap of token bags ------------------------------------------------------------
 
 

@@ -286,7 +286,9 @@ def join_parts(codec: Codec, parts: list[tuple[int, bytes]]) -> bytes:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded (UTF-8 bytes) per row: the text of the library's
-    ``decode(ids, skip_special_tokens=False)``."""
+    ``decode(ids, skip_special_tokens=False)``. Null and empty ids give empty bytes;
+    rows that repeat keep their own rows, an empty table gives none; other
+    columns are ignored."""
     kind = dict(encoded.dtypes)["doc_id"]
 
     def each(batch):

@@ -143,7 +143,9 @@ def without_contaminated(
     docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have no window of an
-    item. Blocks of items are taken one after another, without a shuffle."""
+    item. Blocks of items are taken one after another, without a shuffle. Null and
+    empty texts stay, rows that repeat are judged each by itself, and without
+    rows or without items nothing goes."""
     number, index_of = item_blocks(items, window, gram, block_bytes)
 
     def of_block(rows: DataFrame, index: Index) -> DataFrame:

@@ -357,7 +357,9 @@ def scores(model: Model, texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``.
+    Null and empty texts score as texts without tokens; rows that repeat are
+    judged each by itself; no rows give no rows."""
 
     def each(batch):
         yield batch.filter(pa.array(scores(model, column_bytes(batch, "text"))[0] < threshold))

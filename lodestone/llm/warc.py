@@ -45,7 +45,9 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes: int
     any other. Payloads that many rows share are looked up in a list of bounded
     length, without gathering their rows. Blocks are framed in chunks of
     ``chunk_bytes`` and cut into segments of ``segment_bytes``; a file has at
-    most ``records_per_file`` records.
+    most ``records_per_file`` records. Null and empty html is an empty payload;
+    rows that repeat each get a record; an empty table gives archives without
+    records; other columns are ignored.
     """
     payload = utf8("html")
     rows = pages.select(
@@ -211,7 +213,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     refers_to (the response's page_id, for revisits), payload (null for
     revisits, which carry none), complete: false, with a null payload, if
     segments are missing, their total length is wrong, the framing is broken or
-    the payload doesn't have its digest.
+    the payload doesn't have its digest. Empty payloads come back as empty, also
+    where the html was null; archives without records give no rows.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..storage import stored
-from .joins import BROADCAST_BYTES, skewed_join
+from .joins import BROADCAST_BYTES, skewed_join, stored_join
+from .ranking import query_rows, ranked_pairs, score_pairs
 from .search import HITS, _codebook, _grid, best_vectors, goodness, grid_topk, matrix, nearest_cells, probed, ranked, residuals, rounding
 
 #: Centres of a trained table that is sent to every task.
@@ -378,3 +379,133 @@ def deep_topk(
 
     hits = docs.mapInArrow(send, HITS)
     return (ranked(hits, k, metric), hits) if sent else ranked(hits, k, metric)
+
+
+# --- late interaction -------------------------------------------------------------------
+
+
+def _directions(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cells in order, unit vector of each centre); a centre of length zero has none."""
+    table = _table(centroids, ["cell", "embedding"])
+    cells = table.column("cell").to_numpy()
+    centres = matrix(table)[np.argsort(cells)]
+    lengths = np.linalg.norm(centres, axis=1, keepdims=True) if len(centres) else np.ones((0, 1))
+    return np.sort(cells), np.divide(centres, lengths, out=np.zeros_like(centres), where=lengths > 0)
+
+
+def token_signatures(doc_tokens: DataFrame, centroids: DataFrame, doc_max_len: int = 180) -> DataFrame:
+    """(pid, cells, along, aside): of each of a document's first tokens its cell, its length along the
+    cell's direction and the length of the rest: 12 bytes a token instead of its vector.
+
+    ``doc_tokens`` is (pid, pos, embedding); a document has at most ``doc_max_len`` entries.
+    """
+    shared = doc_tokens.sparkSession.sparkContext.broadcast(_directions(centroids))
+    kept = doc_tokens.filter(F.col("pos") < doc_max_len).select("pid", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, units = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch)
+            unit = units[np.searchsorted(cells, batch.column("cell").to_numpy())]
+            along = (x * unit).sum(axis=1)
+            aside = np.sqrt(((x - along[:, None] * unit) ** 2).sum(axis=1))
+            columns = [batch.column("pid"), batch.column("cell"), pa.array(along, pa.float32()), pa.array(aside, pa.float32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["pid", "cell", "along", "aside"])
+
+    tokens = nearest_cells(kept, centroids).mapInArrow(run, "pid bigint, cell int, along float, aside float")
+    entries = tokens.groupBy("pid").agg(F.collect_list(F.struct("cell", "along", "aside")).alias("_t"))
+    return entries.select("pid", *[F.col(f"_t.{c}").alias(n) for c, n in (("cell", "cells"), ("along", "along"), ("aside", "aside"))])
+
+
+def score_bounds(
+    candidates: DataFrame, queries: DataFrame, signatures: DataFrame, centroids: DataFrame, doc_max_len: int = 180
+) -> DataFrame:
+    """(qid, pid, bound): no candidate's late-interaction score is above its bound.
+
+    A query token with part a in a cell's direction and length b beside it meets a token of that cell with
+    at most a * along + b * aside. The largest such value over a document's tokens bounds the
+    token's maximum, and their sum the score. Products with the cells are formed once for the
+    candidates of a query that lie together, then only looked up.
+    """
+    shared = candidates.sparkSession.sparkContext.broadcast(_directions(centroids))
+    met = skewed_join(candidates.select("qid", "pid"), signatures, "pid", [F.col("qid")])
+    rows = met.join(queries, "qid")  # a query has a bounded number of candidates
+
+    def flat(batch, name):
+        return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+        cells, units = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                qids = batch.column("qid").to_numpy()
+                bound = np.empty(len(qids))
+                for qid in np.unique(qids):
+                    mine = np.flatnonzero(qids == qid)
+                    some = batch.take(pa.array(mine))
+                    q = flat(some.slice(0, 1), "query").reshape(some.column("query_n")[0].as_py(), -1)
+                    used, place = np.unique(np.searchsorted(cells, flat(some, "cells")), return_inverse=True)
+                    part = q @ units[used].T
+                    length = np.linalg.norm(q, axis=1, keepdims=True)
+                    rest = np.sqrt(np.maximum(0.0, length**2 - part**2))
+                    along, aside = flat(some, "along"), flat(some, "aside")
+                    # the last term covers rounding, of the stored lengths above all
+                    most = part[:, place] * along + rest[:, place] * aside + 1e-6 * length * (np.abs(along) + aside)
+                    n = np.diff(some.column("cells").offsets.to_numpy())
+                    best = np.maximum.reduceat(most, np.r_[0, n.cumsum()[:-1]], axis=1)
+                    bound[mine] = np.where(n < doc_max_len, np.maximum(best, 0.0), best).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("pid"), pa.array(bound)], names=["qid", "pid", "bound"])
+
+    return rows.mapInArrow(run, "qid bigint, pid bigint, bound double")
+
+
+def bounded_late_interaction(
+    candidates: DataFrame,
+    query_tokens: DataFrame,
+    docs: DataFrame,
+    signatures: DataFrame,
+    centroids: DataFrame,
+    query_max_len: int = 32,
+    doc_max_len: int = 180,
+    save_k: int = 1000,
+    scored: bool = False,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """The rows of ``ranking.late_interaction``, with matrices only for candidates that could be among
+    the ``save_k`` best.
+
+    ``docs`` are ``ranking.document_rows`` kept by ``storage.bucketed`` on ``pid``, ``signatures`` those of
+    :func:`token_signatures`. A query's candidates are taken by falling bound, ``save_k`` at first
+    and then in waves of twice as many; the save_k-th score so far is a floor, and the
+    query is done when no bound left reaches it. Candidates carry their query's matrix to the
+    documents, which don't move. With ``scored`` a table (qid, n_scored, n_candidates) is returned too.
+
+    A candidate given twice counts once. A document without tokens or a query without tokens
+    has no row, as in ``late_interaction``.
+    """
+    queries = stored(query_rows(query_tokens, query_max_len))
+    pairs = candidates.select("qid", "pid").distinct()
+    down = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "pid")
+    bounds = score_bounds(pairs, queries, signatures, centroids, doc_max_len)
+    bounds = stored(bounds.withColumn("place", F.row_number().over(down)))
+    done, width, hits, parts = 0, save_k, None, []
+    left = bounds
+    while True:
+        wave = left.filter(F.col("place") <= done + width).select("qid", "pid")
+        part = stored(score_pairs(wave, queries, docs, doc_max_len, stored_join))
+        parts.append(part)
+        hits = stored(ranked_pairs(part if hits is None else hits.drop("rank").unionByName(part), save_k))
+        done, width = done + width, 2 * width
+        floor = hits.filter(F.col("rank") == save_k).select("qid", F.col("score").alias("floor"))
+        left = bounds.filter(F.col("place") > done).join(floor, "qid").filter(F.col("bound") >= F.col("floor"))
+        if left.isEmpty():
+            break
+    if not scored:
+        return hits
+    met = parts[0]
+    for more in parts[1:]:
+        met = met.unionByName(more)
+    known = bounds.groupBy("qid").agg(F.count("*").alias("n_candidates"))
+    return hits, met.groupBy("qid").agg(F.count("*").alias("n_scored")).join(known, "qid")

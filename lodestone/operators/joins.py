@@ -117,3 +117,30 @@ def skewed_join(
     repeated = repeated.withColumn("_salt", F.explode(everywhere)).drop("_mark", "_hot")
     payload = [c for c in right.columns if c != key]
     return salted.join(repeated, [key, "_salt"], how).select(*big.columns, *payload)
+
+
+def stored_join(
+    big: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: list[Column],
+    how: str = "inner",
+    heavy: int = 65_536,
+    hot_rows: int = 100_000,
+) -> DataFrame:
+    """As :func:`skewed_join`, with a ``right`` stored in buckets of ``key`` (``storage.bucketed``).
+
+    The rows of ``big`` move to the buckets and ``right`` stays where it is: no exchange on
+    its side. Only what meets a key of at least ``hot_rows`` rows, or has no key, goes
+    the salted way; the rows of ``right`` with such keys, which are few, are
+    picked out by a broadcast of at most ``heavy`` keys.
+    """
+    counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hottest = counts.filter(F.col("_n") >= hot_rows).orderBy(F.col("_n").desc(), key).limit(heavy)
+    hot = F.broadcast(hottest.select(key, F.lit(True).alias("_hot")))
+    marked = big.join(hot, key, "left")
+    apart = F.coalesce("_hot", F.col(key).isNull())
+    cold, salted = (marked.filter(side).select(*big.columns) for side in (~apart, apart))
+    payload = [c for c in right.columns if c != key]
+    met = cold.join(right, key, how).select(*big.columns, *payload)
+    return met.unionByName(skewed_join(salted, right.join(hot, key, "left_semi"), key, spread_by, how, heavy, hot_rows))

@@ -197,6 +197,16 @@ def _as_rows(tokens: DataFrame, key: str, limit: int, name: str) -> DataFrame:
     )
 
 
+def document_rows(doc_tokens: DataFrame, doc_max_len: int = 180) -> DataFrame:
+    """(pid, doc, doc_n): the first token vectors of each document, flattened, and their number."""
+    return _as_rows(doc_tokens, "pid", doc_max_len, "doc")
+
+
+def query_rows(query_tokens: DataFrame, query_max_len: int = 32) -> DataFrame:
+    """(qid, query, query_n), as :func:`document_rows`."""
+    return _as_rows(query_tokens, "qid", query_max_len, "query")
+
+
 def late_interaction(
     candidates: DataFrame,
     query_tokens: DataFrame,
@@ -215,11 +225,28 @@ def late_interaction(
     (qid, pid, score) goes on from there. Candidates are scored in blocks, as
     one product of padded arrays; no token pair becomes a row.
     """
+    queries = query_rows(query_tokens, query_max_len)
+    docs = document_rows(doc_tokens, doc_max_len)
+    return ranked_pairs(score_pairs(candidates, queries, docs, doc_max_len), save_k)
+
+
+def ranked_pairs(scored: DataFrame, save_k: int) -> DataFrame:
+    best_first = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
+    return (
+        scored.withColumn("rank", F.row_number().over(best_first))
+        .filter(F.col("rank") <= save_k)
+        .select("qid", "pid", "rank", "score")
+    )
+
+
+def score_pairs(
+    candidates: DataFrame, queries: DataFrame, docs: DataFrame, doc_max_len: int = 180, join=skewed_join
+) -> DataFrame:
+    """(qid, pid, score) of every candidate, from :func:`query_rows` and
+    :func:`document_rows`. ``join`` brings the candidates to the documents."""
     pairs = candidates.select("qid", "pid")
-    queries = _as_rows(query_tokens, "qid", query_max_len, "query")
-    docs = _as_rows(doc_tokens, "pid", doc_max_len, "doc")
     asked = pairs.join(queries, "qid")  # a query has a bounded number of candidates
-    joined = skewed_join(asked, docs, "pid", [F.col("qid")])
+    joined = join(asked, docs, "pid", [F.col("qid")])
 
     def padded(column, counts, length):
         """Matrices of a list column, as one array with zeros after the last token."""
@@ -244,13 +271,7 @@ def late_interaction(
                     [batch.column("qid"), batch.column("pid"), pa.array(scores)], names=["qid", "pid", "score"]
                 )
 
-    scored = joined.mapInArrow(score, "qid bigint, pid bigint, score double")
-    best_first = Window.partitionBy("qid").orderBy(F.col("score").desc(), "pid")
-    return (
-        scored.withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") <= save_k)
-        .select("qid", "pid", "rank", "score")
-    )
+    return joined.mapInArrow(score, "qid bigint, pid bigint, score double")
 
 
 def regroup_embeddings(backgrounds: DataFrame, key: str, column: str, vectors_by_text: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from ..operators import bounded, examples, prompts, ranking, search
 from ..sources import files
 from ..streaming.retrieve import retrieve_stream
 from .queries_text import CHUNKS, scratch
-from ..operators.joins import skewed_join
-from ..storage import stored
+from ..operators.joins import skewed_join, stored_join
+from ..storage import bucketed, stored
 from .registry import (
     CENTROIDS,
     VECTORS,
@@ -324,18 +324,18 @@ def candidate_docs(t):
     return candidates(t)
 
 
-@query(
-    "maxsim_rerank",
-    with_(
+def maxsim_sql(save_k: int) -> str:
+    return with_(
         **TOKEN_HITS,
         c=CANDIDATES,
         m=f"""SELECT c.qid, c.pid, q.vec_id, greatest(max({DOT}), 0) AS s FROM c
               JOIN v q ON q.vec_id // 10 = c.qid JOIN v d ON d.vec_id // 10 = c.pid GROUP BY ALL""",
         s="SELECT qid, pid, sum(s) AS score FROM m GROUP BY ALL",
-        r=best("s", 1000),
-    )
-    + "SELECT qid, pid, rank, round(score, 6) AS score FROM r",
-)
+        r=best("s", save_k),
+    ) + "SELECT qid, pid, rank, round(score, 6) AS score FROM r"
+
+
+@query("maxsim_rerank", maxsim_sql(1000))
 def maxsim_rerank(t):
     return ranking.late_interaction(
         candidates(t), token_vectors(t.embeddings, "qid"), token_vectors(t.embeddings)
@@ -707,3 +707,34 @@ def recall_deep(t):
     hits = bounded.deep_topk(modes, docs, 10_000)
     marked = hits.join(docs.select("pid", "mode"), "pid").join(F.broadcast(modes.select("qid", F.col("mode").alias("_mode"))), "qid")
     return ranking.recall(marked.withColumn("positive", F.col("mode") == F.col("_mode")), modes, depth=10_000)
+
+
+# --- tables that stay where they are ------------------------------------------------------------------
+
+
+def bounded_maxsim(t, save_k, **options):
+    """Late interaction by the bounds of cells, over documents in buckets."""
+    vectors = as_docs(t.embeddings)
+    centroids = stored(search.train_cells(vectors, nlist=64, seed=7, iterations=5))
+    tokens = token_vectors(t.embeddings)
+    signatures = stored(bounded.token_signatures(tokens, centroids))
+    docs = bucketed(ranking.document_rows(tokens), "pid", 16)
+    return bounded.bounded_late_interaction(
+        stored(candidates(t)), token_vectors(t.embeddings, "qid"), docs, signatures, centroids, save_k=save_k, **options
+    )
+
+
+@query("maxsim_bounded", maxsim_sql(5))
+def maxsim_bounded(t):
+    return bounded_maxsim(t, 5)
+
+
+@query(
+    "fetch_stored_docs",
+    with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 3))
+    + "SELECT qid, pid, rank, text FROM h LEFT JOIN documents ON doc_id = pid",
+)
+def fetch_stored_docs(t):
+    """The texts of hits, from documents kept in buckets: the hits move, the texts stay."""
+    docs = bucketed(t.documents.select(F.col("doc_id").alias("pid"), "text"), "pid", 16)
+    return stored_join(stored(topk(t, 3)), docs, "pid", [F.col("qid")], "left").select("qid", "pid", "rank", "text")

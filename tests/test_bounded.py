@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bounded, search
+from lodestone import storage
+from lodestone.operators import bounded, joins, ranking, search
 
 from .test_search import grouped, table
 
@@ -107,3 +108,79 @@ def test_deep_lists(spark, islands, metric):
     assert grouped(bounded.deep_topk(q, d, 3, metric, exclude_self=True)) == grouped(search.exact_topk(q, d, 3, metric, exclude_self=True))
     assert bounded.deep_topk(q, d.limit(0), 3, metric).count() == 0
     assert bounded.deep_topk(q.limit(0), d, 3, metric).count() == 0
+
+
+def token_table(spark, docs, key, per):
+    """Consecutive vectors, ``per[i]`` of them for document i."""
+    ends = np.cumsum(per)
+    rows = [(i, j, docs[end - n + j].tolist()) for i, (n, end) in enumerate(zip(per, ends)) for j in range(n)]
+    return spark.createDataFrame(rows, f"{key} bigint, pos int, embedding array<float>")
+
+
+@pytest.mark.parametrize("save_k", [4, 500])
+def test_late_interaction_by_bounds_scores_few_documents(spark, islands, save_k):
+    docs, middles = islands
+    order = np.argsort(search.goodness(docs, middles, "l2").argmax(axis=1), kind="stable")
+    per = np.r_[np.full(90, 5), np.full(50, 3)]
+    tokens = token_table(spark, docs[order], "pid", per)
+    asked = token_table(spark, docs[::25] + 0.05, "qid", [3, 4, 5, 6, 6])
+    centroids = spark.createDataFrame([(3 * i, c.tolist()) for i, c in enumerate(middles)], "cell int, embedding array<float>")
+    pairs = spark.range(5).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(139).cast("long"))).alias("pid"))
+    pairs = pairs.unionByName(pairs.filter("pid % 3 = 0"))
+    want = ranking.late_interaction(pairs.distinct(), asked, tokens, doc_max_len=5, save_k=save_k)
+    stored = storage.bucketed(ranking.document_rows(tokens, 5), "pid", 4)
+    signatures = bounded.token_signatures(tokens, centroids, 5)
+    hits, scored = bounded.bounded_late_interaction(
+        pairs, asked, stored, signatures, centroids, doc_max_len=5, save_k=save_k, scored=True
+    )
+    assert grouped(hits) == grouped(want)
+    met, known = scored.agg(F.sum("n_scored"), F.sum("n_candidates")).first()
+    assert known == 5 * 140
+    assert met < 0.35 * known if save_k < 5 else met <= known
+
+
+def test_bounds_hold_and_edges_of_late_interaction(spark):
+    rng = np.random.default_rng(4)
+    flat = rng.normal(size=(300, 9)).astype(np.float32)
+    flat[:30] = flat[30]  # ties
+    flat[40] = 0
+    tokens, asked = token_table(spark, flat, "pid", [6] * 50), token_table(spark, flat[20:60], "qid", [10] * 4)
+    centres = np.r_[flat[100:106], np.zeros((1, 9), np.float32)]
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, embedding array<float>")
+    pairs = spark.range(4).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(60).cast("long"))).alias("pid"))
+    signatures = bounded.token_signatures(tokens, centroids)
+    docs = storage.bucketed(ranking.document_rows(tokens), "pid", 3)
+    queries = ranking.query_rows(asked)
+    for length in (6, 180):
+        bounds = bounded.score_bounds(pairs, queries, signatures, centroids, length)
+        true = ranking.score_pairs(pairs, queries, ranking.document_rows(tokens), length)
+        rows = bounds.join(true, ["qid", "pid"]).collect()
+        assert len(rows) == 200 and all(r["bound"] >= r["score"] for r in rows)
+        want = ranking.late_interaction(pairs, asked, tokens, doc_max_len=length, save_k=7)
+        found = bounded.bounded_late_interaction(pairs, asked, docs, signatures, centroids, doc_max_len=length, save_k=7)
+        assert grouped(found) == grouped(want)
+    for none in ((pairs.limit(0), asked), (pairs, asked.limit(0))):
+        assert bounded.bounded_late_interaction(*none, docs, signatures, centroids).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_table_in_buckets_stays_where_it_is(spark, how):
+    right = spark.range(400).select(F.col("id").alias("pid"), F.concat(F.lit("text "), "id").alias("text"))
+    hits = spark.range(3000).select(
+        F.col("id").alias("qid"), F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 100 = 1 THEN null ELSE id % 500 END").alias("pid")
+    )
+    table = storage.bucketed(right, "pid", 6)
+    joined = joins.stored_join(hits, table, "pid", [F.col("qid")], how, hot_rows=500)
+    want = hits.join(right, "pid", how).select("qid", "pid", "text")
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, want.collect()))
+    assert joined.count() == want.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = hits.join(table, "pid")._jdf.queryExecution().executedPlan().toString()
+        plan = joins.stored_join(hits, table, "pid", [F.col("qid")], how, hot_rows=500)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # one shuffle of the hits, none of the table
+    assert plain.count("Exchange hashpartitioning(pid") == 1 and "Bucketed: true" in plain
+    assert "Bucketed: true" in plan

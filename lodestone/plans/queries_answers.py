@@ -256,7 +256,51 @@ def rouge_n(t):
     return one.unionByName(two)
 
 
-@query("rouge_lsum")
+def line_tokens(text: str) -> str:
+    """(key, s, i, t): the tokens of every line of a text."""
+    lines = rf"""SELECT key, unnest(string_split({text}, E'\n')) AS line,
+      generate_subscripts(string_split({text}, E'\n'), 1) AS s FROM qa"""
+    return f"""SELECT key, s, unnest(w) AS t, generate_subscripts(w, 1) AS i
+      FROM (SELECT key, s, {tok('lower(line)')} AS w FROM ({lines}))"""
+
+
+# Rows of lengths for every reference line (u) and predicted line (s), then a walk
+# back from the last cell of each pair: along the diagonal where the tokens agree, else to
+# the longer of the two neighbours.
+LSUM = f"""WITH RECURSIVE qa AS ({QA}),
+  l AS MATERIALIZED ({line_tokens('answer')}),
+  r AS MATERIALIZED ({line_tokens('question')}),
+  dp AS (
+    SELECT r.key, r.s AS u, p.s, 0 AS j, r.i, 0 AS v FROM r JOIN (SELECT DISTINCT key, s FROM l) p USING (key)
+    UNION ALL
+    SELECT key, u, s, j, i, max(c) OVER (PARTITION BY key, u, s ORDER BY i) AS v FROM (
+      SELECT d.key, d.u, d.s, l.i AS j, d.i,
+        greatest(d.v, CASE WHEN l.t = r.t THEN 1 + coalesce(d.before, 0) ELSE 0 END) AS c
+      FROM (SELECT *, lag(v) OVER (PARTITION BY key, u, s ORDER BY i) AS before FROM dp) d
+      JOIN l ON l.key = d.key AND l.s = d.s AND l.i = d.j + 1
+      JOIN r ON r.key = d.key AND r.s = d.u AND r.i = d.i)),
+  moves AS MATERIALIZED (
+    SELECT d.key, d.u, d.s, d.i, d.j, l.t = r.t AS hit, above > coalesce(beside, 0) AS up FROM (
+      SELECT *, lag(v) OVER (PARTITION BY key, u, s, i ORDER BY j) AS above,
+        lag(v) OVER (PARTITION BY key, u, s, j ORDER BY i) AS beside FROM dp) d
+    JOIN l ON l.key = d.key AND l.s = d.s AND l.i = d.j
+    JOIN r ON r.key = d.key AND r.s = d.u AND r.i = d.i),
+  walk AS (
+    SELECT m.* FROM moves m JOIN (SELECT key, u, s, max(i) AS i, max(j) AS j FROM moves GROUP BY ALL) USING (key, u, s, i, j)
+    UNION ALL
+    SELECT m.* FROM walk w JOIN moves m ON m.key = w.key AND m.u = w.u AND m.s = w.s
+      AND m.i = w.i - (w.hit OR NOT w.up)::INT AND m.j = w.j - (w.hit OR w.up)::INT),
+  hits AS (
+    SELECT key, t, count(*) AS n FROM (SELECT DISTINCT key, u, i FROM walk WHERE hit) w
+    JOIN (SELECT key, s AS u, i, t FROM r) USING (key, u, i) GROUP BY ALL),
+  lc AS (SELECT key, t, count(*) AS n FROM l GROUP BY ALL),
+  c AS (SELECT key, sum(least(hits.n, lc.n))::DOUBLE AS common FROM hits JOIN lc USING (key, t) GROUP BY key),
+  n AS (SELECT key, (SELECT count(*) FROM l WHERE l.key = qa.key) AS nl, (SELECT count(*) FROM r WHERE r.key = qa.key) AS nr FROM qa)
+SELECT key, round(CASE WHEN common IS NULL THEN 0
+  ELSE 2 * (common / nl) * (common / nr) / (common / nl + common / nr) END, 6) AS rouge_lsum FROM n LEFT JOIN c USING (key)"""
+
+
+@query("rouge_lsum", LSUM)
 def rouge_lsum(t):
     pairs = qa_pairs(t)
     return pairs.select("key", answers.rouge_lsum(F.col("answer"), F.col("question")).alias("rouge_lsum"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import has_answer, nfd
+from ..functions.text import has_answer, nfd, tokenize
 from ..operators import instructions
-from ..sources import files, schemas
+from ..sources import files, schemas, shards
 from .queries_text import scratch
-from .registry import query, trimmed
+from .registry import query, tok, trimmed
 
 #: A text on one line, without tabs and without white space at its ends.
 LINE = r"trim(regexp_replace(text, '[\n\r\t]', ' ', 'g'), ' ')"
@@ -83,6 +83,21 @@ def shard_files(t):
     return found.join(sizes, "file").select("doc_id", "text", "fits")
 
 
+@query(
+    "shard_lengths",
+    f"""SELECT doc_id, len({tok('text')}) AS length, (SELECT count(*) FROM documents) AS listed,
+      (SELECT sum(len({tok('text')}))::BIGINT FROM documents) AS total FROM documents""",
+)
+def shard_lengths(t):
+    """The lengths committed with the shards, beside the totals their manifest lists."""
+    path = scratch(t, "listed")
+    docs = t.documents.select("doc_id", "text")
+    shards.write_listed_shards(docs, path, "doc_id", F.size(tokenize(F.col("text"))), rows_per_shard=50)
+    rows, total = shards.shard_manifest(t.spark, path).agg(F.sum("rows"), F.sum("length")).first()
+    lengths = shards.read_shard_lengths(t.spark, path, "doc_id")
+    return lengths.withColumn("listed", F.lit(rows).cast("bigint")).withColumn("total", F.lit(total).cast("bigint"))
+
+
 @query("token_array_file", "SELECT doc_id, n_chars AS first, lang = 'en' AS second FROM documents")
 def token_array_file(t):
     path = scratch(t, "arrays")

@@ -8,6 +8,7 @@ from ..functions import chat, vectors
 from ..functions.text import tokenize
 from ..operators import bounded, examples, prompts, ranking, search
 from ..sources import files
+from ..streaming.memory import retrieve_once
 from ..streaming.retrieve import retrieve_stream
 from .queries_text import CHUNKS, scratch
 from ..operators.joins import skewed_join, stored_join
@@ -398,6 +399,34 @@ def bulk_retrieve_dedup(t):
     return ranking.answer_repeated_once(asked, "vec_id", "question", find)
 
 
+@query(
+    "stream_memory",
+    with_(
+        v=VECTORS,
+        c=CENTROIDS,
+        p="SELECT c.cell AS qid, d.vec_id AS pid, list_dot_product(c.e, d.e) AS score FROM c JOIN v d ON true",
+        h=best("p", 5),
+    )
+    + """SELECT vec_id AS qid, 'label ' || label AS question, pid, rank, round(score, 6) AS score,
+      (SELECT count(DISTINCT label) FROM v) AS searches FROM v JOIN h ON h.qid = v.label""",
+)
+def stream_memory(t):
+    """A stream of every vector's label as a question: each label is searched once, in its first micro-batch."""
+    root = scratch(t, "memory")
+    encoder = label_means(t.embeddings, "label").select("label", "embedding")
+    asked = t.embeddings.select(F.col("vec_id").alias("qid"), "label").join(encoder, "label")
+    question = F.concat(F.lit("label "), F.col("label").cast("string")).alias("question")
+    asked.select("qid", question, "embedding").repartition(3, "qid").write.parquet(f"{root}/questions")
+    schema = "qid bigint, question string, embedding array<double>"
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/questions")
+    docs = as_docs(t.embeddings)
+    paths = [f"{root}/{name}" for name in ("hits", "memory", "checkpoint")]
+    retrieve_once(stream, lambda new: search.exact_topk(new, docs, 5), *paths).awaitTermination()
+    searches = t.spark.read.parquet(paths[1]).count()
+    hits = t.spark.read.parquet(paths[0]).select("qid", "question", "pid", "rank", "score")
+    return hits.withColumn("searches", F.lit(searches).cast("bigint"))
+
+
 @query("stream_retrieve", with_(v=VECTORS, p=all_pairs(DOT), h=best("p", 5), s=SOFTMAX)
        + "SELECT qid, pid, rank, round(score, 6) AS score, round(prob, 6) AS prob FROM s")
 def stream_retrieve(t):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import components
 from .tables import balanced_lookup, column_bytes, map_arrow, stored
@@ -61,63 +61,153 @@ def _fingerprint(words: list[bytes], shingle: int) -> int:
     return int(np.packbits(2 * votes > count, bitorder="little").view(np.uint64)[0])
 
 
-def segments(count: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of ``count`` segments of nearly equal width."""
-    cuts = [BITS * i // count for i in range(count + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
-def lookups(prints: DataFrame, distance: int, count: int) -> DataFrame:
-    """(key, fingerprint, own): every fingerprint under the keys of its segments
-    and of their Hamming balls of radius ``distance // count``. Of two segments
-    that differ only the larger one looks up the smaller: both would find the
-    same pair."""
-    radius = distance // count
-    if radius > 1:
-        raise ValueError("use more than distance / 2 segments")
-    x = F.col("fingerprint")
-    found = []
-    for number, (first, width) in enumerate(segments(count)):
-        part = F.shiftrightunsigned(x, first).bitwiseAND(F.lit((1 << width) - 1))
-
-        def key(value, number=number):
-            return F.struct((F.lit(number).cast("long") * F.lit(1 << 34) + value).alias("key"), F.lit(False).alias("own"))
+def segments(count: int, level: int = 0) -> list[list[int]]:
+    """Per path, the bits of its ``count`` segments of nearly equal width, as
+    masks. There is one path at first; each segment of a path is a path of the
+    next level, and there the bits outside the segments taken are cut anew."""
+    left = [(1 << BITS) - 1]
+    for _ in range(level + 1):
+        paths = []
+        for free in left:
+            bits = [1 << b for b in range(BITS) if free >> b & 1]
+            paths.append([sum(bits[len(bits) * i // count : len(bits) * (i + 1) // count]) for i in range(count)])
+        left = [free & ~mask for free, masks in zip(left, paths) for mask in masks]
+    return paths
+
+
+class Places:
+    """Where the rows (place, path, fingerprint) of one level meet at the next."""
+
+    def __init__(self, distance: int, count: int, level: int):
+        self.radius, self.count, self.paths = distance // count, count, segments(count, level)
+        if self.radius > 1:
+            raise ValueError("use more than distance / 2 segments")
+        self.widest = max(mask.bit_count() for masks in self.paths for mask in masks)
+
+    def _of_path(self, entries) -> Column:
+        """The fixed (number, mask, bit) structs of a row's path."""
+
+        def fixed(number, mask, bit):
+            return f"named_struct('number', {number}, 'mask', {_signed(mask)}L, 'bit', {_signed(bit)}L)"
+
+        paths = ", ".join(f"array({', '.join(fixed(*e) for e in entries(masks))})" for masks in self.paths)
+        return F.element_at(F.expr(f"array({paths})"), F.col("path") + 1)
+
+    def _place(self, number: Column, value: Column, own: bool) -> Column:
+        # texts whose places collide are compared needlessly, nothing else
+        return F.struct(
+            F.xxhash64("place", number, value).alias("place"),
+            (F.col("path") * self.count + number).alias("path"),
+            F.lit(own).alias("own"),
+        )
 
-        found.append(F.array(F.struct((F.lit(number).cast("long") * F.lit(1 << 34) + part).alias("key"), F.lit(True).alias("own"))))
-        if radius:
-            bits = F.filter(
-                F.array(*[F.lit(1 << b).cast("long") for b in range(width)]), lambda b: part.bitwiseAND(b) != 0
-            )
-            found.append(F.transform(bits, lambda b: key(part.bitwiseXOR(b))))
-    return prints.select(F.explode(F.concat(*found)).alias("k"), "fingerprint").select("k.key", "fingerprint", "k.own")
+    def parts(self) -> Column:
+        """(number, value) of each segment."""
+        every = self._of_path(lambda masks: [(n, mask, 0) for n, mask in enumerate(masks)])
+        return F.transform(
+            every, lambda e: F.struct(e["number"].alias("number"), F.col("fingerprint").bitwiseAND(e["mask"]).alias("value"))
+        )
 
+    def own(self, part: Column) -> Column:
+        return self._place(part["number"], part["value"], True)
 
-def links(prints: DataFrame, distance: int = 4, count: int = 3) -> DataFrame:
+    def around(self, value: Column, number: Column | None = None) -> Column:
+        """The places one bit below the segments of ``value`` (below segment ``number``)."""
+        bits = self._of_path(
+            lambda masks: [(n, mask, 1 << b) for n, mask in enumerate(masks) for b in range(BITS) if mask >> b & 1]
+        )
+        has = F.filter(
+            bits, lambda e: (value.bitwiseAND(e["bit"]) != 0) & (F.lit(True) if number is None else e["number"] == number)
+        )
+        return F.transform(has, lambda e: self._place(e["number"], value.bitwiseAND(e["mask"]).bitwiseXOR(e["bit"]), False))
+
+    def lookups(self, rows: DataFrame) -> DataFrame:
+        """(place, path, own, fingerprint): every fingerprint in the places of its
+        segments and of their Hamming balls of radius ``distance // count``. Of two
+        segments that differ only the larger one looks up the smaller: both would
+        find the same pair."""
+        found = F.transform(self.parts(), self.own)
+        if self.radius:
+            found = F.concat(found, self.around(F.col("fingerprint")))
+        return rows.select(F.explode(found).alias("k"), "fingerprint").select("k.*", "fingerprint")
+
+    def hot(self, rows: DataFrame, most: int, list_rows: int) -> DataFrame:
+        """Places that may get more than ``most`` fingerprints: those that a segment
+        held by many looks up. A place is looked up by at most ``widest + 1``
+        segments, so without such a one it stays below ``most``. The list never
+        has more than ``list_rows`` rows: in very large tables the bound rises."""
+        spread = self.widest + 1 if self.radius else 1
+        least = max(most // spread, rows.count() * self.count * spread // list_rows + 1)
+        parts = rows.select("place", "path", F.explode(self.parts()).alias("part"))
+        heavy = parts.groupBy("place", "path", "part").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        found = F.array(self.own(F.col("part")))
+        if self.radius:
+            found = F.concat(found, self.around(F.col("part.value"), F.col("part.number")))
+        return heavy.select(F.explode(found).alias("k")).select("k.place").distinct()
+
+
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def links(
+    prints: DataFrame, distance: int = 4, count: int = 3, most: int = 1 << 14, levels: int = 4, list_rows: int = 1_000_000
+) -> DataFrame:
     """Links that connect every two fingerprints at ``distance`` or fewer bits.
 
     ``prints`` has one row per fingerprint. Fingerprints meet where one's ball
     has the other's segment; a meeting place of n gives at most n - 1 links (a
     spanning forest of the pairs found there), never all pairs.
+
+    Places that may hold more than ``most`` fingerprints are not compared in one
+    task: their bits outside the segment are cut into segments anew, and their
+    fingerprints meet in the places of these, up to ``levels`` cuts deep. Two
+    that differ in ``distance`` bits differ in no more of the bits left, so no
+    pair is lost. The list of such places has at most ``list_rows`` rows and is
+    broadcast.
     """
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = lookups(prints, distance, count).repartition(parts, "key").sortWithinPartitions("key")
+    rows = prints.select(F.lit(0).cast("long").alias("place"), F.lit(0).alias("path"), "fingerprint")
+    found = None
+    for level in range(levels):
+        places = Places(distance, count, level)
+        sent = places.lookups(rows)
+        hot = stored(places.hot(rows, most, list_rows)) if level + 1 < levels else None
+        deeper = hot is not None and not hot.isEmpty()
+        if deeper:
+            rows = stored(sent.join(F.broadcast(hot), "place", "left_semi").select("place", "path", "fingerprint"))
+            sent = sent.join(F.broadcast(hot), "place", "left_anti")
+        part = _forests(sent, distance)
+        found = part if found is None else found.unionByName(part)
+        if not deeper:
+            break
+    return found
+
+
+def _forests(sent: DataFrame, distance: int) -> DataFrame:
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = sent.select("place", "fingerprint", "own").repartition(parts, "place").sortWithinPartitions("place")
+
+    def forest(part, last):
+        return _forest(part[0][:last], part[1][:last].view(np.uint64), part[2][:last], distance)
 
     def run(batches):
-        rest = None
+        held = []  # pieces of one place that may go on
         for batch in batches:
             part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if rest is not None:
-                part = [np.concatenate(p) for p in zip(rest, part)]
             if not len(part[0]):
                 continue
+            held.append(part)
+            if part[0][-1] == held[0][0][0]:
+                continue
+            part = [np.concatenate(p) for p in zip(*held)]
             cut = int(np.searchsorted(part[0], part[0][-1]))
-            if cut:
-                yield _forest(part[0][:cut], part[1][:cut].view(np.uint64), part[2][:cut], distance)
-            rest = [p[cut:] for p in part]
-        if rest is not None and len(rest[0]):
-            yield _forest(rest[0], rest[1].view(np.uint64), rest[2], distance)
+            yield forest(part, cut)
+            held = [[p[cut:] for p in part]]
+        if held:
+            part = [np.concatenate(p) for p in zip(*held)]
+            yield forest(part, len(part[0]))
 
-    return sent.mapInArrow(run, "a long, b long")
+    return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 def _forest(keys: np.ndarray, prints: np.ndarray, own: np.ndarray, distance: int) -> pa.RecordBatch:
@@ -189,7 +279,7 @@ def near_copies(docs: DataFrame, distance: int = 4, shingle: int = 4, count: int
 def _rooted(prints: DataFrame, distance: int, count: int) -> DataFrame:
     """(fingerprint, least, root): per fingerprint, the smallest doc_id that has
     it and the smallest fingerprint it reaches."""
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     found = components(links(nodes.select("fingerprint"), distance, count))
     rooted = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     return stored(rooted.withColumn("root", F.coalesce("root", "fingerprint")))

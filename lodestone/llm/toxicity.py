@@ -242,7 +242,10 @@ def _training_chains(sample: DataFrame, strong: np.ndarray, limit: int):
             told = np.zeros(last - first, dtype=bool)
             np.logical_or.at(told, doc, hit)
             use = has | ~toxic[first + owner] | told[owner]
-            mark = mixed(np.arange(rows, dtype=np.uint64) * np.uint64(7919) + np.uint64(table[::CHAIN].astype(np.int64).sum() & 0xFFFFFFFF))
+            # by the text and the chain's number in it: the same sample on any partitioning
+            ends = np.r_[starts[1:] - 1, len(data)]
+            number = np.arange(rows) - np.searchsorted(owner, owner)
+            mark = mixed(Hashes(data).of(starts, ends)[owner] + number.astype(np.uint64) * np.uint64(7919))
             keep = np.flatnonzero(use)
             keep = keep[np.lexsort((mark[keep], ~has[keep]))]
             keep = np.concatenate([keep[has[keep]][:limit], keep[~has[keep]][:limit]])

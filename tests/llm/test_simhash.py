@@ -73,6 +73,32 @@ def test_a_hot_meeting_place_gives_a_forest(spark):
     assert rows < 3 * 23 * 512
 
 
+@pytest.mark.parametrize("count", [3, 5])
+def test_full_places_are_cut_anew_and_lose_no_component(spark, count):
+    rng = random.Random(count)
+    family = rng.getrandbits(64)
+    prints = {family ^ (rng.getrandbits(22) << 21) for _ in range(300)}  # alike in two of three segments
+    for _ in range(30):
+        at = family ^ (rng.getrandbits(43) if rng.random() < 0.7 else rng.getrandbits(64))
+        for _ in range(8):
+            prints.add(at)
+            for _ in range(rng.randint(1, 5)):
+                at ^= 1 << rng.randrange(64)
+    prints = sorted(prints)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")
+    places = simhash.Places(4, count, 0)
+    start = df.selectExpr("0L as place", "0 as path", "fingerprint")
+    hot = {r["place"] for r in places.hot(start, 40, 10**6).collect()}
+    sizes = {r["place"]: r["count"] for r in places.lookups(start).groupBy("place").count().collect()}
+    assert hot and all(n <= 40 or place in hot for place, n in sizes.items())
+    want = roots(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    for levels in (1, 2, 4):
+        linked = {frozenset((r["a"] % 2**64, r["b"] % 2**64)) for r in simhash.links(df, 4, count, 40, levels).collect()}
+        assert all(a.bit_count() <= 4 for a in (x ^ y for x, y in map(tuple, linked)))
+        assert roots(prints, lambda a, b: frozenset((a, b)) in linked) == want
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (None, 3), (3, None)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "x long, y long")).collect()))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import column_bytes, map_arrow
+from .tables import column_bytes, map_arrow, stored
 from .words import Hashes, blocks, lower_table, mixed, sliding_min, word_spans, word_table
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -125,9 +125,13 @@ def _hits(index: Index, data: np.ndarray, starts: np.ndarray, count: int):
 
 
 def item_blocks(items: DataFrame, window: int, gram: int, block_bytes: int):
-    """Number of blocks of items, and a function that gives a block's index."""
-    texts = items.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")
+    """Number of blocks of items, and a function that gives a block's index.
+    Items that repeat are taken once, so blocks keep near their size."""
+    texts = stored(
+        items.select(
+            F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        ).distinct()
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, -(-total // block_bytes))

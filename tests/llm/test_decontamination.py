@@ -3,7 +3,7 @@
 import random
 import re
 
-from lodestone.llm.decontamination import contamination
+from lodestone.llm.decontamination import contamination, item_blocks, without_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -73,3 +73,22 @@ def test_long_texts_and_no_items(spark):
     assert row[2] == list(range(300_000, 300_030)) and row[3] == ["1"]
     assert run(spark, [(1, "a b")], []) == [(1, 2, [], [])]
     assert run(spark, [], [(1, passage)]) == []
+
+
+def test_items_that_repeat_fill_no_block(spark):
+    docs, items = sample(5)
+    assert run(spark, docs, items * 40, block_bytes=60) == brute(docs, items)
+    many = spark.createDataFrame(items * 40, "item_id long, text string")
+    number, index_of = item_blocks(many, 10, 5, 60)
+    assert sum(len(index_of(b).ids) for b in range(number)) == len({(i, t or "") for i, t in items})
+
+
+def test_rows_without_a_passage_stay_whole(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, None, "a"), (1, None, "a"), (2, "", "b"), (3, "x " + passage, "c"), (None, "clean text", "d"), (None, "clean text", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(9, passage), (10, None), (None, "")], "item_id long, text string")
+    got = sorted(map(tuple, without_contaminated(docs, items).collect()), key=repr)
+    assert got == sorted((r for r in rows if r[0] != 3), key=repr)
+    assert without_contaminated(docs, items.limit(0)).count() == len(rows)
+    assert without_contaminated(docs.limit(0), items).count() == 0

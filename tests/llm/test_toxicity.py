@@ -65,3 +65,11 @@ def test_labels_of_one_class_or_none(spark):
         labels = spark.createDataFrame([(i, value) for i in [*range(20), 99, None]], "doc_id long, toxic int")
         got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
         assert {r["predicted"] for r in got} == {want}
+
+
+def test_training_is_the_same_on_any_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    models = [toxicity.train(d, labels, chain_rows=60) for d in (docs.coalesce(1), docs.repartition(7, "text"))]
+    assert np.array_equal(models[0].weights, models[1].weights)
+    assert np.allclose(models[0].calibration, models[1].calibration, rtol=1e-9)

@@ -316,8 +316,9 @@ def with_background(t):
     placed = ordering.with_position(pairs, [F.col("key")], ordering.range_bucket(pairs, "key"), name="place")
     docs = t.documents.select("doc_id", F.col("text").alias("background"))
     dealt = docs.withColumn("place", F.pmod("doc_id", F.lit(max(1, pairs.count()))))
-    # the texts stay where they were read, spread over all cores, if the pairs are few
-    return lookup_join(dealt, placed.drop("key"), ["place"], [F.col("doc_id")]).select(
+    # the texts stay where they were read, spread over all cores, if the pairs, whole chat turns, are few;
+    # else texts and pairs move once
+    return lookup_join(dealt, placed.drop("key"), ["place"], [F.col("doc_id")], rows=4096).select(
         F.col("doc_id").alias("key"), "conv_id", "turn", "question", "answer", "background"
     )
 

@@ -109,6 +109,22 @@ def test_joins_agree_with_a_plain_join(spark):
     assert plain.exceptAll(weighted).count() == 0 and weighted.count() == plain.count()
 
 
+def test_a_large_lookup_is_repeated_for_hot_keys_only(spark):
+    keys = ["hot"] * 300 + [f"k{i % 60}" for i in range(300)] + [None] * 5
+    big = spark.createDataFrame([(i, k, i % 2) for i, k in enumerate(keys)], "i bigint, key string, half int")
+    right = spark.createDataFrame([(f"k{j}", j % 2, j) for j in range(60)] + [("hot", 0, 99), ("hot", 1, 98)], "key string, half int, v int")
+    salted, repeated = joins.spread_sides(big, right, ["key", "half"], [F.col("i")], heavy=9, hot_rows=100, salts=64)
+    assert repeated.count() == 60 + 2 * 64 and salted.count() == big.count()
+    assert salted.filter("key = 'hot'").select("_salt").distinct().count() > 30
+    for how in ("inner", "left"):
+        plain = big.join(right, ["key", "half"], how).select("i", "key", "half", "v")
+        for looked in (
+            joins.skewed_join(big, right, ["key", "half"], [F.col("i")], how, heavy=9, hot_rows=100),
+            joins.lookup_join(big, right, ["key", "half"], [F.col("i")], how, rows=1),
+        ):
+            assert looked.count() == plain.count() and plain.exceptAll(looked.select(plain.columns)).count() == 0
+
+
 def test_trailing_mean_crosses_blocks(spark):
     rows = [(0, i * 3, float(i * i % 17)) for i in range(40)] + [(1, 5, 2.0)]
     df = spark.createDataFrame(rows, "run int, step bigint, loss double")

@@ -222,3 +222,31 @@ def test_probing_reads_the_probed_cells_only(spark, tmp_path):
     got = [r["pid"] for r in search.probe_topk(queries, cells, centroids, 7, 2, counts=counts).orderBy("rank").collect()]
     near = sorted((float(((np.array(v) - 20.1) ** 2).sum()), i) for i, v in rows if i % 8 in (1, 2, 3))
     assert got == [i for _, i in near[:7]]
+
+
+@pytest.mark.parametrize("metric", ["dot", "cosine", "l2"])
+def test_long_lists_are_cut_once_a_query(monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    docs = rng.normal(size=(400, 8))
+    docs[300:] = docs[:100]  # ties go to the smaller id
+    ids, sorted_rows, best = np.arange(400), [], search._best
+    monkeypatch.setattr(search, "BLOCK_CELLS", 4000)
+    monkeypatch.setattr(search, "_best", lambda q, p, s, k: sorted_rows.append(len(q)) or best(q, p, s, k))
+    q, p, s = search.best_vectors(ids, docs, ids, docs, 150, metric, True)
+    assert sum(sorted_rows) < 400 * 150 * 1.1  # not anew with every block of documents
+    scores = search.goodness(docs, docs, metric)
+    np.fill_diagonal(scores, -np.inf)
+    want = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1)[:, :150]
+    assert np.array_equal(q, np.repeat(ids, 150)) and np.array_equal(p.reshape(400, 150), want)
+    twice = search.best_vectors(np.r_[ids, ids], np.r_[docs, docs], ids, docs, 150, metric, True)
+    assert np.array_equal(np.unique(twice[0], return_counts=True)[1], np.full(400, 150))
+
+
+def test_hits_beyond_a_limit_are_not_sent(spark):
+    rng = np.random.default_rng(6)
+    docs = rng.normal(size=(90, 8)).astype(np.float32)
+    near = np.sort(((docs[:, None] - docs[None]) ** 2).sum(axis=2), axis=1)[:, 3] ** 0.5
+    limits = spark.createDataFrame([(i, float(x) * (1 + 1e-6)) for i, x in enumerate(near)], "qid bigint, limit double")
+    q = table(spark, docs, "qid").join(limits, "qid")
+    d = table(spark, docs, "pid")
+    assert grouped(search.grid_topk(q, d, 9, "l2")) == grouped(search.exact_topk(q, d, 4, "l2"))

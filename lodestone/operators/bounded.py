@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..storage import stored
 from .joins import BROADCAST_BYTES, skewed_join, stored_join
 from .ranking import query_rows, ranked_pairs, score_pairs
-from .search import HITS, _codebook, _grid, best_vectors, goodness, grid_topk, matrix, nearest_cells, probed, ranked, residuals, rounding
+from .search import BLOCK_CELLS, HITS, _codebook, _grid, best_hits, best_vectors, goodness, grid_topk, matrix, nearest_cells, probed, ranked, residuals, rounding, scorer, squares_apart
 
 #: Centres of a trained table that is sent to every task.
 MOST_CENTRES = 65_536
@@ -86,8 +86,8 @@ def exact_probe_topk(
                         seen.append(np.concatenate([before or [], number[now]]).astype(np.int32))
                     kind = pa.list_(pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("qid"), batch.column("embedding"), pa.array(chosen, kind), pa.array(seen, kind)],
-                        names=["qid", "embedding", "cells", "seen"],
+                        [*(batch.column(c) for c in ("qid", "embedding", "limit")), pa.array(chosen, kind), pa.array(seen, kind)],
+                        names=["qid", "embedding", "limit", "cells", "seen"],
                     )
 
         return run
@@ -96,6 +96,7 @@ def exact_probe_topk(
         [
             T.StructField("qid", T.LongType()),
             queries.schema["embedding"],
+            T.StructField("limit", T.DoubleType()),
             *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("cells", "seen")],
         ]
     )
@@ -109,14 +110,16 @@ def exact_probe_topk(
         if wave.isEmpty():
             break
         visited.append(wave.select("qid", F.size("cells").alias("n")))
-        probes = wave.select("qid", "embedding", F.explode("cells").alias("cell"))
+        # hits beyond the k-th so far are not sent; a hair more, as the limit is a rounded root
+        limit = (F.col("limit") * (1 + 1e-12)).alias("limit")
+        probes = wave.select("qid", "embedding", limit, F.explode("cells").alias("cell"))
         found = grid_topk(probes, probed(cells, probes), k, "l2", exclude_self, counts=sizes.select("cell", "n"))
         found = found.select("qid", "pid", (-F.col("score")).alias("score"))
         hits = stored(ranked(found if hits is None else hits.unionByName(found), k).select("qid", "pid", "score"))
         worst = hits.groupBy("qid").agg(F.count("*").alias("n"), F.sqrt(-F.min("score")).alias("limit"))
         limit = F.when(F.col("n") >= k, F.col("limit")).otherwise(F.lit(float("inf")))
         reached = worst.select("qid", limit.alias("limit"))
-        state = wave.join(reached, "qid", "left").select(
+        state = wave.drop("limit").join(reached, "qid", "left").select(
             "qid", "embedding", F.coalesce("limit", F.lit(float("inf"))).alias("limit"), "seen"
         )
         width *= 2
@@ -232,8 +235,8 @@ def pq_exact_topk(
     k: int,
     nprobe: int,
     exclude_self: bool = False,
-    query_rows: int = 1024,
-    doc_rows: int = 65_536,
+    query_rows: int = 4096,
+    doc_rows: int = 32_768,
     counts: DataFrame | None = None,
     rescored: bool = False,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -241,59 +244,88 @@ def pq_exact_topk(
     of the probed cells, found by their codes.
 
     ``codes`` has the ``error`` of :func:`with_code_errors`: a vector is at most that much
-    nearer or farther than its codes say. Of each query, what is surely not nearer than k others
-    is left out, in each block and then among all blocks; the rest is scored again on
-    its vectors (pid, embedding), which only these pairs fetch. With ``rescored``
-    a table (qid, n_scored, n_probed) is returned too.
+    nearer or farther than its codes say. A first pass over the codes sends the k least upper bounds of each
+    query and block; the k-th of all blocks is the query's limit. In a second pass, vectors (pid, embedding)
+    travel with their codes; what is surely not nearer than the limit is left out, the rest is scored on its
+    vectors inside the block. Either pass sends k rows a query and block, however little the
+    codes tell apart. With ``rescored`` a table (qid, n_scored, n_probed) is returned too.
     """
     shared = queries.sparkSession.sparkContext.broadcast(_codebook(codebook))
-    bounds = "qid bigint, pid bigint, low double, high double, met bigint"
 
-    def score_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["qid", "pid", "low", "high", "met"]
-        if not (len(left) and len(right)):
-            none = [pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-            return pa.Table.from_arrays(none, names)
+    def bounds(left: pa.Table, right: pa.Table):
+        """(low, high) of a slice of the queries and all documents of a block."""
         book = shared.value
         gap = matrix(left, "residual").reshape(len(left), len(book), -1)
         code = matrix(right, "codes").astype(np.int64)
         qids, pids = left.column("qid").to_numpy(), right.column("pid").to_numpy()
-        error = right.column("error").to_numpy()
+        error = right.column("error").to_numpy() * (1 + 1e-12)
         to_code = [-goodness(gap[:, j], book[j], "l2") for j in range(len(book))]
         slack = sum(rounding(gap[:, j], book[j], "l2") for j in range(len(book)))[:, None]
-        parts = []
-        step = max(1, 2_000_000 // len(pids))
-        for a in range(0, len(qids), step):
-            rows = slice(a, a + step)
+
+        def some(rows):
             squares = sum(to_code[j][rows][:, code[:, j]] for j in range(len(book)))
-            low = np.sqrt(np.maximum(0.0, squares - slack[rows])) - error * (1 + 1e-12)
-            high = np.sqrt(squares + slack[rows]) + error * (1 + 1e-12)
+            low = np.sqrt(np.maximum(0.0, squares - slack[rows])) - error
+            high = np.sqrt(squares + slack[rows]) + error
             if exclude_self:
                 own = qids[rows, None] == pids[None, :]
                 low[own] = high[own] = np.inf
-            limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(pids) > k else np.full(len(high), np.finfo(float).max)
-            i, j = np.nonzero((low <= limit[:, None]) & np.isfinite(low))
-            parts.append((qids[rows][i], pids[j], low[i, j], high[i, j]))
-        q, p, low, high = map(np.concatenate, zip(*parts))
-        first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.empty(0, bool)
-        return pa.Table.from_arrays([pa.array(x) for x in (q, p, low, high, np.where(first, len(pids), 0))], names)
+            return low, high
+
+        return some
+
+    def limit_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (len(left) and len(right)):
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64())], ["qid", "high"])
+        qids, some = left.column("qid").to_numpy(), bounds(left, right)
+        width, step, least = min(k, len(right)), max(1, BLOCK_CELLS // len(right)), []
+        for a in range(0, len(qids), step):
+            least.append(np.partition(some(slice(a, a + step))[1], width - 1, axis=1)[:, :width])
+        high = np.concatenate(least).ravel()
+        found = np.isfinite(high)
+        return pa.Table.from_arrays([pa.array(np.repeat(qids, width)[found]), pa.array(high[found])], ["qid", "high"])
+
+    def score_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["qid", "pid", "score", "scored", "met"]
+        if not (len(left) and len(right)):
+            return pa.Table.from_arrays([pa.array([], pa.float64() if c == "score" else pa.int64()) for c in names], names)
+        qids, pids, some = left.column("qid").to_numpy(), right.column("pid").to_numpy(), bounds(left, right)
+        limit = left.column("limit").to_numpy()[:, None]
+        asked, docs = matrix(left), matrix(right)
+        whole = scorer(asked, docs, "l2")
+        scored = np.zeros(len(qids), dtype=np.int64)
+
+        def score(rows):
+            low, _ = some(rows)
+            near = (low <= limit[rows]) & np.isfinite(low)
+            scored[rows] = near.sum(axis=1)
+            return np.where(near, whole(rows), -np.inf)
+
+        q, p, distance = best_hits(qids, pids, score, k, exclude_self, None, rounding(asked, docs, "l2"), squares_apart(asked, docs))
+        hits = [pa.array(x) for x in (q, p, distance)]
+        counts = [pa.array(qids), *(pa.nulls(len(qids), x.type) for x in hits[1:])]  # and a row of counts for each query
+        zeros = np.zeros(len(q), dtype=np.int64)
+        numbers = [np.r_[zeros, scored], np.r_[zeros, np.full(len(qids), len(pids))]]
+        return pa.Table.from_arrays([*(pa.concat_arrays(pair) for pair in zip(hits, counts)), *map(pa.array, numbers)], names)
 
     probes = stored(nearest_cells(queries.select("qid", "embedding"), centroids, nprobe))
-    gaps = residuals(probes, centroids, "qid").select("qid", "cell", "residual")
+    gaps = residuals(probes, centroids, "qid").select("qid", "cell", "embedding", "residual")
     asked = probed(codes, probes).select("pid", "cell", "codes", "error")
-    found = stored(_grid(gaps, asked, query_rows, doc_rows, counts).applyInArrow(score_block, bounds))
-    nearest = Window.partitionBy("qid").orderBy("high", "pid")
-    limits = found.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") == k).select("qid", F.col("high").alias("_limit"))
-    kept = found.join(limits, "qid", "left").filter(F.col("_limit").isNull() | (F.col("low") <= F.col("_limit")))
-    pairs = skewed_join(kept.select("qid", "pid"), vectors.select("pid", F.col("embedding").alias("_doc")), "pid", [F.col("qid")])
-    pairs = pairs.join(queries.select("qid", F.col("embedding").alias("_query")), "qid")
-    gap = F.zip_with("_query", "_doc", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    square = F.aggregate(gap, F.lit(0.0), lambda a, x: a + x)
-    hits = ranked(pairs.select("qid", "pid", (-square).alias("score")), k, "l2")
+    bounded = _grid(gaps.select("qid", "cell", "residual"), asked, query_rows, doc_rows, counts).applyInArrow(
+        limit_block, "qid bigint, high double"
+    )
+    nearest = Window.partitionBy("qid").orderBy("high")
+    limits = bounded.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") == k).select("qid", F.col("high").alias("limit"))
+    limited = gaps.join(limits, "qid", "left").withColumn("limit", F.coalesce("limit", F.lit(np.finfo(float).max)))
+    placed = asked.join(vectors.select("pid", "embedding"), "pid").select("pid", "cell", "codes", "error", "embedding")
+    found = _grid(limited, placed, query_rows, doc_rows, counts).applyInArrow(
+        score_block, "qid bigint, pid bigint, score double, scored bigint, met bigint"
+    )
+    found = stored(found) if rescored else found
+    hits = ranked(found.filter(F.col("pid").isNotNull()).select("qid", "pid", "score"), k, "l2")
     if not rescored:
         return hits
-    met = found.groupBy("qid").agg(F.sum("met").alias("n_probed"))
-    return hits, kept.groupBy("qid").agg(F.count("*").alias("n_scored")).join(met, "qid")
+    sums = found.groupBy("qid").agg(F.sum("scored").alias("n_scored"), F.sum("met").alias("n_probed"))
+    return hits, sums.filter(F.col("n_scored") > 0)
 
 
 # --- deep lists -------------------------------------------------------------------------

@@ -184,3 +184,20 @@ def test_a_table_in_buckets_stays_where_it_is(spark, how):
     # one shuffle of the hits, none of the table
     assert plain.count("Exchange hashpartitioning(pid") == 1 and "Bucketed: true" in plain
     assert "Bucketed: true" in plan
+
+
+def test_codes_that_tell_nothing_apart_keep_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    docs = rng.normal(size=(500, 8)).astype(np.float32)
+    centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(docs[:4])], "cell int, embedding array<float>")
+    assigned = search.nearest_cells(table(spark, docs, "pid"), centroids)
+    book = spark.createDataFrame([(j, c, [9.0 * c] * 4) for j in range(2) for c in range(2)], "part int, code int, embedding array<float>")
+    codes = bounded.with_code_errors(assigned, search.pq_encode(assigned, centroids, book), centroids, book)
+    kept = []
+    monkeypatch.setattr(bounded, "stored", lambda df: kept.append(storage.stored(df)) or kept[-1])
+    queries = table(spark, docs, "qid")
+    want = grouped(search.probe_topk(queries, assigned, centroids, 5, 3, exclude_self=True))
+    hits, scored = bounded.pq_exact_topk(queries, codes, table(spark, docs, "pid"), centroids, book, 5, 3, exclude_self=True, rescored=True)
+    assert grouped(hits) == want
+    assert scored.agg(F.sum("n_scored")).first()[0] > 500 * 100  # nearly all pairs of the three cells
+    assert max(df.count() for df in kept) <= 500 * 3 * (5 + 1)

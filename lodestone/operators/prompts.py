@@ -52,11 +52,14 @@ def retriever_texts(rows: DataFrame, key: str, texts: str, retriever: str) -> Da
 # --- keywords ---------------------------------------------------------------
 
 
+PART_CHARS = 8_000_000  # characters whose words are counted, joined and weighed in one task
+
+
 def _weighted_terms(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf, idf) and the document frequencies (term, df).
+    """(key, term, tf, idf), placed by key, and the document frequencies (term, df).
 
     Documents are placed by key first, so the counts of a document need no
-    further shuffle. Frequencies come from the distinct terms of each row and
+    further shuffle. There are as many parts as the texts are long, so a task's words stay as many. Frequencies come from the distinct terms of each row and
     collapse per task. The lookup of idf treats frequent words apart.
     """
     rows = docs.select(key, terms(F.col(text)).alias("_terms"))
@@ -65,7 +68,9 @@ def _weighted_terms(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
-    placed = docs.select(key, text).repartition(F.col(key))
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+    placed = docs.select(key, text).repartition(parts, F.col(key))
     counted = (
         placed.select(key, F.explode(terms(F.col(text))).alias("term"))
         .groupBy(key, "term")
@@ -73,7 +78,8 @@ def _weighted_terms(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     )
     total = docs.agg(F.count("*")).scalar()
     idf = df.withColumn("idf", F.log((1 + total) / (1 + F.col("df"))) + 1.0)
-    return weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)]), df
+    weighed = weighted_lookup_join(counted, idf, "term", "df", ["idf"], [F.col(key)], parts=parts)
+    return weighed.repartition(parts, F.col(key)), df
 
 
 def tfidf_scores(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -152,3 +152,13 @@ def test_end_mark_is_for_encoders_only(value):
     assert value(prompts.passage_text(F.lit("t"), name)) == "t</s>"
     assert value(prompts.prefixed_passage(F.lit("t"), name)) == "t"
     assert value(prompts.prefixed_passage(F.lit("t"), "INTFLOAT/e5-large-v2")) == "passage: t"
+
+
+def test_words_are_weighed_in_as_many_parts_as_texts_are_long(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 30, f"alpha beta word{i} word{i % 7} beta") for i in range(40)] + [(99, None), (None, "alpha")], "doc_id bigint, text string")
+    few = {tuple(r) for r in prompts.tfidf_scores(docs, "doc_id", "text").select("doc_id", "term", F.round("weight", 9)).collect()}
+    monkeypatch.setattr(prompts, "PART_CHARS", 50)
+    weighed, _ = prompts._weighted_terms(docs, "doc_id", "text")
+    assert weighed.rdd.getNumPartitions() >= 20
+    many = {tuple(r) for r in prompts.tfidf_scores(docs, "doc_id", "text").select("doc_id", "term", F.round("weight", 9)).collect()}
+    assert few == many and len(few) > 90

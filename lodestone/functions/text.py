@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from .binding import let
@@ -50,9 +50,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_RUN), lambda word: word != "")
 
 
-@F.pandas_udf(T.StringType())
-def _decompose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
+def _mapped(values: pa.Array, each, kind: pa.DataType, rows: int = 256) -> pa.Array:
+    """``each`` of every value that is not null; a few rows at a time become Python objects."""
+    parts = [
+        pa.array([None if v is None else each(v) for v in values.slice(start, rows).to_pylist()], kind)
+        for start in range(0, len(values), rows)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(T.StringType())
+def _decompose(texts: pa.Array) -> pa.Array:
+    return _mapped(texts, lambda s: unicodedata.normalize("NFD", s), pa.string())
 
 
 def nfd(text: Column) -> Column:
@@ -61,12 +70,12 @@ def nfd(text: Column) -> Column:
     return F.coalesce(_decompose(foreign), text)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _decompose_all(lists: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _decompose_all(lists: pa.Array) -> pa.Array:
     def each(items):
         return [None if s is None else unicodedata.normalize("NFD", s) for s in items]
 
-    return lists.map(lambda items: None if items is None else each(items))
+    return _mapped(lists, each, pa.list_(pa.string()))
 
 
 def nfd_all(texts: Column) -> Column:

@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,10 @@ def test_ngrams(value):
 def test_words_drops_blank_pieces(value):
     assert value(text.words(F.lit("  a \n b c "))) == ["a", "b", "c"]
     assert value(text.words(F.lit("  "))) == []
+
+
+def test_decomposition_takes_few_rows_at_a_time():
+    values = pa.array(["é", None, "a"] * 300)
+    found = text._mapped(values, lambda s: unicodedata.normalize("NFD", s), pa.string(), rows=7)
+    assert found.to_pylist() == ["e\u0301", None, "a"] * 300
+    assert text._mapped(pa.array([], pa.string()), len, pa.string()).to_pylist() == []

@@ -308,14 +308,13 @@ def pq_exact_topk(
         return pa.Table.from_arrays([*(pa.concat_arrays(pair) for pair in zip(hits, counts)), *map(pa.array, numbers)], names)
 
     probes = stored(nearest_cells(queries.select("qid", "embedding"), centroids, nprobe))
-    gaps = residuals(probes, centroids, "qid").select("qid", "cell", "embedding", "residual")
+    gaps = residuals(probes, centroids, "qid").select("qid", "cell", "residual")
     asked = probed(codes, probes).select("pid", "cell", "codes", "error")
-    bounded = _grid(gaps.select("qid", "cell", "residual"), asked, query_rows, doc_rows, counts).applyInArrow(
-        limit_block, "qid bigint, high double"
-    )
+    bounded = _grid(gaps, asked, query_rows, doc_rows, counts).applyInArrow(limit_block, "qid bigint, high double")
     nearest = Window.partitionBy("qid").orderBy("high")
     limits = bounded.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") == k).select("qid", F.col("high").alias("limit"))
     limited = gaps.join(limits, "qid", "left").withColumn("limit", F.coalesce("limit", F.lit(np.finfo(float).max)))
+    limited = limited.join(queries.select("qid", "embedding"), "qid")
     placed = asked.join(vectors.select("pid", "embedding"), "pid").select("pid", "cell", "codes", "error", "embedding")
     found = _grid(limited, placed, query_rows, doc_rows, counts).applyInArrow(
         score_block, "qid bigint, pid bigint, score double, scored bigint, met bigint"

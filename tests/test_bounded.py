@@ -201,3 +201,7 @@ def test_codes_that_tell_nothing_apart_keep_few_rows(spark, monkeypatch):
     assert grouped(hits) == want
     assert scored.agg(F.sum("n_scored")).first()[0] > 500 * 100  # nearly all pairs of the three cells
     assert max(df.count() for df in kept) <= 500 * 3 * (5 + 1)
+    again = queries.unionByName(queries.filter("qid = 7"))  # a query given twice: each row of it meets both
+    hits = bounded.pq_exact_topk(again, codes, table(spark, docs, "pid"), centroids, book, 5, 3, exclude_self=True)
+    found = [r["pid"] for r in hits.filter("qid = 7").orderBy("rank").collect()]
+    assert found == [want[7][0]] * 4 + [want[7][1]]

@@ -76,9 +76,15 @@ def same_live_labels(labels: Column, other: Column) -> Column:
     return live_labels(labels) == live_labels(other)
 
 
+def run_start(tokens: Column, run: Column) -> Column:
+    """:func:`last_subsequence`, for runs that may be empty: an empty one lies behind the last token."""
+    return F.when(F.size(run) == 0, F.size(tokens)).otherwise(last_subsequence(tokens, run))
+
+
 def span_labels(tokens: Column, answer: Column, background: Column | None = None) -> Column:
     """Labels that keep the last occurrence of the answer (and of the background)
-    plus, when the answer is found, the last position. All else is ignored."""
+    plus, when the answer is found, the last position. All else is ignored.
+    An answer or a background without tokens is found, and covers nothing."""
 
     def inside(i, start, length):
         return (start >= 0) & (i >= start) & (i < start + length)
@@ -96,11 +102,11 @@ def span_labels(tokens: Column, answer: Column, background: Column | None = None
     values = {
         "tokens": tokens,
         "last": F.size(tokens) - 1,
-        "answer_at": last_subsequence(tokens, answer),
+        "answer_at": run_start(tokens, answer),
         "answer_len": F.size(answer),
     }
     if background is not None:
-        values["background_at"] = last_subsequence(tokens, background)
+        values["background_at"] = run_start(tokens, background)
         values["background_len"] = F.size(background)
     return let(labels, **values)
 

@@ -1,12 +1,13 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import chat, wording
 from lodestone.functions.text import tokenize
 from lodestone.operators import examples, vocabulary
-from lodestone.plans import jobs
+from lodestone.plans import catalog, jobs
 
 
 def tokens_of(n):
@@ -217,6 +218,24 @@ def test_training_batches(spark):
     assert jobs.training_rows(table, max_len=100).count() == 0
 
 
+def test_an_answer_or_background_without_tokens_labels_nothing(value):
+    x = value(examples.answer_example(F.lit("a b : 12"), F.lit("12"), F.lit(" \u200b ")))
+    assert x["labels"] == ["-100", "-100", "-100", "12"]
+    x = value(examples.answer_example(F.lit("a b : 12"), F.lit(""), F.lit("a b")))
+    assert x["labels"] == ["a", "b", "-100", "12"]
+
+
+def test_answered_views_of_documents_without_tokens(spark, tmp_path):
+    texts = ["", " \n", "\u200b", "some words, 12 of them"]
+    rows = [(i, text, "en", "web", 12) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(catalog.SQL["answered_views"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["answered_views"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_answered_rows_label_the_answer_in_both_views(spark):
     df = spark.createDataFrame([(1, "why", "because", "some background words")], "k int, question string, answer string, background string")
     for restate in (False, True):

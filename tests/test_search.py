@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
 from lodestone.operators import ranking, search
+from lodestone.plans import catalog
 
 
 def table(spark, array, key):
@@ -250,3 +251,27 @@ def test_hits_beyond_a_limit_are_not_sent(spark):
     q = table(spark, docs, "qid").join(limits, "qid")
     d = table(spark, docs, "pid")
     assert grouped(search.grid_topk(q, d, 9, "l2")) == grouped(search.exact_topk(q, d, 4, "l2"))
+
+
+@pytest.mark.parametrize("metric", ["dot", "cosine", "l2"])
+@pytest.mark.parametrize("order", ["mixed", "rising"])
+def test_a_few_hits_of_a_wide_block(monkeypatch, metric, order):
+    """The k-th score among some columns is only a first limit, ties and documents in order of their score included."""
+    rng = np.random.default_rng(3)
+    docs, queries = (np.round(4 * rng.normal(size=(n, 4))) / 4 for n in (900, 40))  # quarters: sums are exact
+    docs[600:] = docs[:300]
+    if order == "rising":
+        docs = docs[np.argsort(search.goodness(queries[:1], docs, metric)[0])]
+        docs[::9] = docs[0]
+    scores = -((queries[:, None] - docs) ** 2).sum(axis=2) if metric == "l2" else search.goodness(queries, docs, metric)
+    monkeypatch.setattr(search, "SOME_COLUMNS", 50)
+    for cells in (search.BLOCK_CELLS, 2000):
+        monkeypatch.setattr(search, "BLOCK_CELLS", cells)
+        q, p, _ = search.best_vectors(np.arange(40), queries, np.arange(900), docs, 5, metric, False)
+        for i, row in enumerate(scores):
+            assert p[q == i].tolist() == np.lexsort((np.arange(900), -row))[:5].tolist()
+
+
+def test_merged_rankings_are_searched_once(spark):
+    plan = catalog.QUERIES["merge_rankings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapCoGroupsInArrow" not in plan

@@ -253,33 +253,34 @@ def pq_exact_topk(
     shared = queries.sparkSession.sparkContext.broadcast(_codebook(codebook))
 
     def bounds(left: pa.Table, right: pa.Table):
-        """(low, high) of a slice of the queries and all documents of a block."""
+        """Two functions of a slice of the queries, the least and the greatest distance to all documents of a
+        block: a vector is at most its error away from what its codes stand for, and the distances
+        to that are one product."""
         book = shared.value
-        gap = matrix(left, "residual").reshape(len(left), len(book), -1)
-        code = matrix(right, "codes").astype(np.int64)
+        gap, code = matrix(left, "residual"), matrix(right, "codes").astype(np.int64)
+        rebuilt = np.concatenate([book[j][code[:, j]] for j in range(len(book))], axis=1)
         qids, pids = left.column("qid").to_numpy(), right.column("pid").to_numpy()
         error = right.column("error").to_numpy() * (1 + 1e-12)
-        to_code = [-goodness(gap[:, j], book[j], "l2") for j in range(len(book))]
-        slack = sum(rounding(gap[:, j], book[j], "l2") for j in range(len(book)))[:, None]
+        apart, slack = scorer(gap, rebuilt, "l2"), rounding(gap, rebuilt, "l2")[:, None]
 
-        def some(rows):
-            squares = sum(to_code[j][rows][:, code[:, j]] for j in range(len(book)))
-            low = np.sqrt(np.maximum(0.0, squares - slack[rows])) - error
-            high = np.sqrt(squares + slack[rows]) + error
+        def bound(rows, sign):
+            found = apart(rows)  # negative squares
+            found -= sign * slack[rows]
+            np.sqrt(np.maximum(0.0, np.negative(found, out=found), out=found), out=found)
+            found += sign * error
             if exclude_self:
-                own = qids[rows, None] == pids[None, :]
-                low[own] = high[own] = np.inf
-            return low, high
+                found[qids[rows, None] == pids[None, :]] = np.inf
+            return found
 
-        return some
+        return lambda rows: bound(rows, -1), lambda rows: bound(rows, 1)
 
     def limit_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not (len(left) and len(right)):
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64())], ["qid", "high"])
-        qids, some = left.column("qid").to_numpy(), bounds(left, right)
+        qids, (_, greatest) = left.column("qid").to_numpy(), bounds(left, right)
         width, step, least = min(k, len(right)), max(1, BLOCK_CELLS // len(right)), []
         for a in range(0, len(qids), step):
-            least.append(np.partition(some(slice(a, a + step))[1], width - 1, axis=1)[:, :width])
+            least.append(np.partition(greatest(slice(a, a + step)), width - 1, axis=1)[:, :width])
         high = np.concatenate(least).ravel()
         found = np.isfinite(high)
         return pa.Table.from_arrays([pa.array(np.repeat(qids, width)[found]), pa.array(high[found])], ["qid", "high"])
@@ -288,14 +289,14 @@ def pq_exact_topk(
         names = ["qid", "pid", "score", "scored", "met"]
         if not (len(left) and len(right)):
             return pa.Table.from_arrays([pa.array([], pa.float64() if c == "score" else pa.int64()) for c in names], names)
-        qids, pids, some = left.column("qid").to_numpy(), right.column("pid").to_numpy(), bounds(left, right)
+        qids, pids, (least, _) = left.column("qid").to_numpy(), right.column("pid").to_numpy(), bounds(left, right)
         limit = left.column("limit").to_numpy()[:, None]
         asked, docs = matrix(left), matrix(right)
         whole = scorer(asked, docs, "l2")
         scored = np.zeros(len(qids), dtype=np.int64)
 
         def score(rows):
-            low, _ = some(rows)
+            low = least(rows)
             near = (low <= limit[rows]) & np.isfinite(low)
             scored[rows] = near.sum(axis=1)
             return np.where(near, whole(rows), -np.inf)
@@ -313,6 +314,7 @@ def pq_exact_topk(
     bounded = _grid(gaps, asked, query_rows, doc_rows, counts).applyInArrow(limit_block, "qid bigint, high double")
     nearest = Window.partitionBy("qid").orderBy("high")
     limits = bounded.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") == k).select("qid", F.col("high").alias("limit"))
+    limits = stored(limits)  # a number a query; the second pass counts its queries before it joins them
     limited = gaps.join(limits, "qid", "left").withColumn("limit", F.coalesce("limit", F.lit(np.finfo(float).max)))
     limited = limited.join(queries.select("qid", "embedding"), "qid")
     placed = asked.join(vectors.select("pid", "embedding"), "pid").select("pid", "cell", "codes", "error", "embedding")

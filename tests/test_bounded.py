@@ -205,3 +205,14 @@ def test_codes_that_tell_nothing_apart_keep_few_rows(spark, monkeypatch):
     hits = bounded.pq_exact_topk(again, codes, table(spark, docs, "pid"), centroids, book, 5, 3, exclude_self=True)
     found = [r["pid"] for r in hits.filter("qid = 7").orderBy("rank").collect()]
     assert found == [want[7][0]] * 4 + [want[7][1]]
+
+
+def test_code_search_meets_every_pair_twice_at_most(spark, islands):
+    """The bounds are searched once; the limits they give are stored before the second pass counts its queries."""
+    docs, centres = islands
+    centroids = table(spark, centres[:4], "cell").withColumn("cell", F.col("cell").cast("int"))
+    assigned = search.nearest_cells(table(spark, docs[:200], "pid"), centroids)
+    book = search.train_codes(assigned, centroids, m=2, bits=2, iterations=2)
+    codes = bounded.with_code_errors(assigned, search.pq_encode(assigned, centroids, book), centroids, book)
+    hits = bounded.pq_exact_topk(table(spark, docs[:200], "qid"), codes, table(spark, docs[:200], "pid"), centroids, book, 3, 2)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1

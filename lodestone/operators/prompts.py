@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import chat, wording
 from ..functions.binding import let
 from ..functions.text import strip, terms
+from ..storage import stored
 from .joins import lookup_join, weighted_lookup_join
 
 
@@ -82,16 +83,51 @@ def _weighted_terms(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     return weighed.repartition(parts, F.col(key)), df
 
 
+#: Words whose idf is broadcast; each of the others holds less than one in as many of all pairs of document and word.
+FREQUENT_TERMS = 65_536
+
+
 def tfidf_scores(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): l2-normalised TF-IDF with smooth idf.
 
     idf = ln((1 + n) / (1 + df)) + 1 over lower-cased words of two or more word
-    characters.
+    characters. Rows of one key, or without one, are one document; each counts for n and df.
+
+    The words of the texts are placed by key, and counted there each time they are needed. Frequent words find
+    their idf in a broadcast and never move; only the rare ones go to their idf and back to the part of their key,
+    where both sums of squares meet. So what is written is the words once and the rare ones three times.
     """
-    weighed, _ = _weighted_terms(docs, key, text)
-    weighed = weighed.withColumn("raw", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return weighed.withColumn("weight", F.col("raw") / length)
+    total, chars = docs.agg(F.count("*"), F.sum(F.length(text))).first()
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(chars or 0) // PART_CHARS))
+    df = (
+        docs.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"))
+    )
+    idf = stored(df.withColumn("idf", F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1.0))
+    frequent = F.broadcast(idf.orderBy(F.col("df").desc(), "term").limit(FREQUENT_TERMS).select("term", "idf"))
+    whole = F.struct(F.col(key).alias("key"))  # equal for rows without a key, too
+    placed = docs.select(whole.alias("_key"), F.array_join(terms(F.col(text)), " ").alias("_words")).repartition(parts, "_key")
+    counted = (
+        placed.select("_key", F.explode(F.split("_words", " ")).alias("term"))
+        .filter("term <> ''")
+        .groupBy("_key", "term")
+        .agg(F.count("*").alias("tf"))
+        .join(frequent, "term", "left")
+        .withColumn("raw", F.col("tf") * F.col("idf"))
+    )
+    squares = F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("_key"))
+    counted = counted.withColumn("_frequent", F.coalesce(squares, F.lit(0.0)))
+    rare = counted.filter(F.col("idf").isNull()).select("_key", "term", "tf", "_frequent")
+    rare = rare.repartition(parts, "term").join(idf.select("term", "idf").repartition(parts, "term"), "term")
+    rare = rare.withColumn("raw", F.col("tf") * F.col("idf")).repartition(parts, "_key")
+    rare = rare.select("_key", "term", "raw", "_frequent", squares.alias("_rare"))
+    # all columns are named, so that both uses of the rare words read the same shuffle
+    of_rare = rare.groupBy("_key").agg(F.max(F.struct("_rare", "_frequent", "term")).alias("_most"))
+    found = counted.filter(F.col("idf").isNotNull()).join(of_rare, "_key", "left").withColumn("_rare", F.col("_most._rare"))
+    length = F.sqrt(F.col("_frequent") + F.coalesce("_rare", F.lit(0.0)))
+    columns = [F.col("_key.key").alias(key), "term", (F.col("raw") / length).alias("weight")]
+    return found.select(*columns).unionByName(rare.select(*columns))
 
 
 def tfidf_keywords(docs: DataFrame, key: str, text: str, k: int = 1) -> DataFrame:

@@ -162,3 +162,22 @@ def test_words_are_weighed_in_as_many_parts_as_texts_are_long(spark, monkeypatch
     assert weighed.rdd.getNumPartitions() >= 20
     many = {tuple(r) for r in prompts.tfidf_scores(docs, "doc_id", "text").select("doc_id", "term", F.round("weight", 9)).collect()}
     assert few == many and len(few) > 90
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 1000])
+def test_weights_of_frequent_and_rare_words(spark, monkeypatch, frequent):
+    """The same weights however many words are broadcast; rows of one key, or without one, are one document."""
+    monkeypatch.setattr(prompts, "FREQUENT_TERMS", frequent)
+    rows = [(1, "aa bb aa cc"), (2, "AA dd ee"), (2, "dd ff"), (None, "aa bb"), (None, "gg"), (3, ""), (4, None), (5, "a . hh")]
+    held = {}
+    for k, text in rows:
+        held.setdefault(k, []).append([w for w in (text or "").lower().split() if len(w) > 1])
+    df = Counter(w for parts in held.values() for words in parts for w in set(words))
+    want = {}
+    for k, parts in held.items():
+        raw = {w: n * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in Counter(sum(parts, [])).items()}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        want |= {(k, w): pytest.approx(x / length) for w, x in raw.items()}
+    docs = spark.createDataFrame(rows, "k long, text string")
+    found = prompts.tfidf_scores(docs, "k", "text").collect()
+    assert len(found) == len(want) and {(r["k"], r["term"]): r["weight"] for r in found} == want

@@ -1,9 +1,12 @@
 import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import ranking
+from lodestone.plans import catalog
 
 RANKING = "qid bigint, pid bigint, rank int"
 
@@ -107,3 +110,15 @@ def test_validation_ignores_foreign_judgements(spark):
     pairs = qrels(spark, [(7, 1), (7, 2), (8, 1)])
     out = jobs.validate_candidates(pairs, qrels(spark, [(7, 1), (99, 1)]), queries, docs)
     assert out.first()["mrr_at_10"] == 0.25  # query 7 at rank 2, query 8 has no positive
+
+
+@pytest.mark.parametrize("name", ["mrr_at_10", "recall_at_k"])
+def test_vectors_without_a_label_ask_too(spark, tmp_path, name):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], None if i % 10 == 9 else i % 3) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = db.execute(catalog.SQL[name]).fetchone()
+    assert tuple(catalog.QUERIES[name](spark, str(tmp_path)).first()) == pytest.approx(want, abs=2e-6)
